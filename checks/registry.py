@@ -19,7 +19,7 @@ from paylens.session import shared_folder
 from paylens.sinks import load_tables, register_views, write_csv, write_table
 from paylens.sources import geo, tables
 from paylens.sources.json_drops import PARSERS
-from paylens.sources.star_schema import star_model
+from paylens.sources.star_schema import read_star_table, star_model
 
 # The tables cover 1995 to 2001, the last year up to its third quarter.
 YEARS = CaseYears(
@@ -119,8 +119,8 @@ def _standardised(spark: SparkSession, folder: str) -> DataFrame:
 
 def _standardised_from(spark: SparkSession, folder: str) -> DataFrame:
     """Aliases from a table: each nation by the name of its region."""
-    nations = spark.read.parquet(f"{folder}/nation.parquet")
-    regions = spark.read.parquet(f"{folder}/region.parquet")
+    nations = read_star_table(spark, folder, "nation")
+    regions = read_star_table(spark, folder, "region")
     aliases = nations.join(regions, F.col("n_regionkey") == F.col("r_regionkey")).select(
         F.col("n_name").alias("alias"), F.col("r_name").alias("name")
     )
@@ -179,8 +179,8 @@ def _color_bounds(dataset: str) -> Registered:
 def _geo(report: Callable[..., DataFrame]) -> Registered:
     def run(spark: SparkSession, folder: str) -> DataFrame:
         docs = feature_documents(
-            spark.read.parquet(f"{folder}/nation.parquet"),
-            spark.read.parquet(f"{folder}/region.parquet"),
+            read_star_table(spark, folder, "nation"),
+            read_star_table(spark, folder, "region"),
             LEFT_OUT_REGION,
         )
         metrics = explorer.state_metrics(star_model(spark, folder), "users", YEAR, QUARTER)
