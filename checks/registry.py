@@ -40,7 +40,7 @@ def _case_query(name: str, spark: SparkSession, folder: str) -> DataFrame:
 
 def _case_report(name: str, spark: SparkSession, folder: str) -> DataFrame:
     """All reports of a case in one plan, reduced to their sizes."""
-    reports = run_case(star_model(spark, folder), name, YEARS)
+    reports = run_case(star_model(spark, folder), name, YEARS, store_at=_scratch(spark))
     sizes = [
         df.agg(F.count("*").alias("row_count")).select(F.lit(q).alias("report"), "row_count")
         for q, df in reports.items()

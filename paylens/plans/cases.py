@@ -290,18 +290,27 @@ CASES: dict[str, list[str]] = {
     ],
 }
 
-# Tables that at least two questions of a case read in full.
-_SHARED = {
+# The tables that several questions of a case read.
+SHARED: dict[str, list[str]] = {
     "transaction_dynamics": ["agg_trans"],
     "device_engagement": ["map_user"],
     "insurance_penetration": ["agg_ins"],
+    "user_growth": ["map_user"],
+    "insurance_transactions": ["top_ins"],
 }
 
 
 def run_case(
-    model: FactModel, name: str, years: CaseYears | None = None, *, cache: bool = False
+    model: FactModel,
+    name: str,
+    years: CaseYears | None = None,
+    *,
+    store_at: str | None = None,
 ) -> dict[str, DataFrame]:
-    """All reports of one case. ``cache`` keeps the tables they share between runs."""
-    if cache:
-        model.cache(*_SHARED.get(name, []))
+    """All reports of one case.
+
+    With ``store_at`` the tables they share are first written there, once.
+    """
+    if store_at is not None:
+        model = model.stored(store_at, *SHARED[name])
     return {q: QUERIES[q](model, years or CaseYears()) for q in CASES[name]}

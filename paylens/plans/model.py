@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from paylens import schemas
 from paylens.operators.cleaning import clean_table
+from paylens.sinks import write_table
 from paylens.sources import json_drops, tables
 
 Loader = Callable[[str, "tuple[int, int] | None", "int | None"], DataFrame]
@@ -44,6 +45,25 @@ class FactModel:
                 self._cached[name] = self.table(name).persist(StorageLevel.MEMORY_AND_DISK)
         return self
 
+    def stored(self, root: str, *names: str) -> FactModel:
+        """Write tables once and go on from there; the rest stays as it is.
+
+        Reports that share a table then read its rows instead of deriving them
+        again, prune by year and quarter, and lose nothing with an executor.
+        """
+        root = root.rstrip("/")
+        for name in names:
+            write_table(self.table(name), path=f"{root}/{name}")
+
+        def load(name, years, quarter):
+            if name not in names:
+                return self.table(name, years, quarter)
+            session = SparkSession.active()
+            stored = tables.read_parquet_table(session, f"{root}/{name}", name)
+            return tables.slice_period(stored, years, quarter)
+
+        return FactModel(load)
+
     def uncache(self) -> None:
         for df in self._cached.values():
             df.unpersist()
