@@ -24,5 +24,5 @@ def parse_features(
 def read_geo_features(
     spark: SparkSession, path: str, key: str = "State", name_property: str = NAME_PROPERTY
 ) -> DataFrame:
-    docs = spark.read.option("wholetext", True).text(path)
+    docs = spark.read.text(path, wholetext=True)
     return parse_features(docs, key, name_property)

@@ -20,11 +20,8 @@ _KEY_PATTERN = r"/([^/]+)/(\d{4})/(\d)\.json$"
 
 def documents(spark: SparkSession, root: str) -> DataFrame:
     """Every JSON document below ``root``, whole, with its path."""
-    texts = (
-        spark.read.option("wholetext", True)
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.json")
-        .text(root)
+    texts = spark.read.text(
+        root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.json"
     )
     return texts.select(F.col("_metadata.file_path").alias("path"), "value")
 

@@ -1,0 +1,125 @@
+import pytest
+
+from pyspark.sql import functions as F
+
+from paylens import schemas
+from paylens.functions import canonical_pincode, title_case
+from paylens.operators.cleaning import (
+    DISTRICT_ALIASES,
+    clean_table,
+    standardise,
+    standardise_from,
+)
+from paylens.operators.quality import (
+    dimensions,
+    members,
+    null_profile,
+    null_profiles,
+    preview,
+    random_preview,
+)
+from paylens.sources.json_drops import read_drop_table
+from tests.drop import write_drop
+
+NAMES = [
+    "andaman-&-nicobar-islands",
+    "east  khasi-hills",
+    "  dadra & nagar haveli\t& daman-diu ",
+    "TAMIL NADU",
+    "d'souza nagar (east)",
+    "élan ÉCOLE",
+    "24-parganas north",
+    "a b",
+    "",
+    "-",
+]
+
+
+def spelled(name):
+    """The wanted spelling, in plain Python."""
+    return " ".join(word[:1].upper() + word[1:].lower() for word in name.replace("-", " ").split())
+
+
+def test_title_case_of_whole_words(spark, rows):
+    df = spark.createDataFrame([(n,) for n in NAMES] + [(None,)], "n string")
+    got = rows(df.select("n", title_case(F.col("n"))))
+    assert got == [(n, spelled(n)) for n in NAMES] + [(None, None)]
+
+
+def test_canonical_pincode(spark, rows):
+    df = spark.createDataFrame([("560001.0",), ("560001",), ("001",), (None,)], "p string")
+    assert rows(df.select(canonical_pincode(F.col("p")))) == [("560001",), ("560001",), ("1",), (None,)]
+    with pytest.raises(Exception):
+        spark.createDataFrame([("n/a",)], "p string").select(canonical_pincode(F.col("p"))).collect()
+
+
+@pytest.fixture(scope="module")
+def drop(tmp_path_factory):
+    return write_drop(tmp_path_factory.mktemp("drop"))
+
+
+def test_cleaning_merges_the_two_spellings_of_a_district(spark, drop, rows):
+    raw = read_drop_table(spark, drop, "map_trans")
+    cleaned = clean_table(raw, "map_trans")
+    assert cleaned.columns == raw.columns
+    assert sorted({r[3] for r in rows(cleaned)}) == [
+        "Nicobar District", "North And Middle Andaman District",
+    ]
+    assert {r[0] for r in rows(cleaned)} == {"Andaman & Nicobar Islands"}
+    assert rows(members(cleaned, "District_name", list(DISTRICT_ALIASES))) == []
+    assert len(rows(members(cleaned, "District_name", ["Nicobar District"]))) == 2
+
+
+def test_cleaning_touches_only_names(spark, drop, rows):
+    types = {r[3] for r in rows(clean_table(read_drop_table(spark, drop, "agg_trans"), "agg_trans"))}
+    assert types == {"Peer To Peer Payments", "Recharge & Bill Payments", "Others"}
+    brands = {r[3] for r in rows(clean_table(read_drop_table(spark, drop, "agg_user"), "agg_user"))}
+    assert brands == {"Xiaomi", "COOLPAD"}
+    users = rows(clean_table(read_drop_table(spark, drop, "map_user"), "map_user"))
+    assert {r[3] for r in users} == {"Nicobar District", "South Andaman District"}
+    assert len(rows(clean_table(read_drop_table(spark, drop, "map_ins"), "map_ins"))) == 6
+
+
+@pytest.mark.parametrize("name", schemas.TABLES)
+def test_cleaning_needs_no_shuffle(spark, drop, name):
+    plan = clean_table(read_drop_table(spark, drop, name), name)
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in text and "Python" not in text
+
+
+def test_aliases_from_a_table_equal_aliases_by_hand(spark, rows):
+    df = spark.createDataFrame([("a", 1), ("b", 2), (None, 3)], "d string, n bigint")
+    table = spark.createDataFrame([("a", "A"), ("z", "Z")], "alias string, name string")
+    by_hand = sorted(rows(standardise(df, "d", {"a": "A", "z": "Z"})), key=repr)
+    assert sorted(rows(standardise_from(df, "d", table)), key=repr) == by_hand
+    assert standardise_from(df, "d", table).columns == df.columns
+
+
+def test_null_profile_counts_nulls_and_nan(spark, rows):
+    df = spark.createDataFrame(
+        [(None, 1, 1.0), ("a", None, float("nan")), ("b", 2, None)], "s string, n bigint, v double"
+    )
+    assert rows(null_profile(df, "t")) == [("t", "s", 1), ("t", "n", 1), ("t", "v", 2)]
+
+
+def test_null_profile_finds_what_the_reader_filled_in(spark, drop, rows):
+    tables = {n: read_drop_table(spark, drop, n) for n in schemas.TABLES}
+    found = {(t, c): n for t, c, n in rows(null_profiles(tables)) if n}
+    assert found == {
+        ("map_ins", "District_name"): 3,
+        ("map_ins", "Insurance_count"): 5,
+        ("map_ins", "Insurance_amount"): 5,
+    }
+
+
+def test_dimensions(spark, rows):
+    frames = {"a": spark.range(3), "b": spark.range(0).withColumn("x", F.lit(1))}
+    assert rows(dimensions(frames)) == [("a", 3, 1), ("b", 0, 2)]
+
+
+def test_previews(spark, rows):
+    df = spark.range(100)
+    assert rows(preview(df, 2, ["id"])) == [(0,), (1,)]
+    drawn = rows(random_preview(df, 10, seed=1))
+    assert len(set(drawn)) == 10 and drawn == rows(random_preview(df, 10, seed=1))
+    assert random_preview(df, 500).count() == 100

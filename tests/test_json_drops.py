@@ -1,0 +1,112 @@
+import pytest
+
+from paylens import schemas
+from paylens.sources.json_drops import PARSERS, documents, read_drop_table, table_root
+from tests.drop import write_drop
+
+ISLANDS, JK, TAMIL = "andaman-&-nicobar-islands", "jammu-&-kashmir", "tamil-nadu"
+
+
+@pytest.fixture(scope="module")
+def drop(tmp_path_factory):
+    return write_drop(tmp_path_factory.mktemp("drop"))
+
+
+@pytest.fixture
+def read(spark, drop):
+    return lambda name: sorted((tuple(r) for r in read_drop_table(spark, drop, name).collect()), key=repr)
+
+
+@pytest.mark.parametrize("name", schemas.TABLES)
+def test_tables_have_the_declared_schema(spark, drop, name):
+    got = read_drop_table(spark, drop, name).schema
+    assert [(f.name, f.dataType) for f in got] == [
+        (f.name, f.dataType) for f in schemas.TABLES[name]
+    ]
+
+
+def test_agg_trans_takes_the_first_instrument(read):
+    assert read("agg_trans") == [
+        (ISLANDS, 2018, 1, "Peer-to-peer payments", 4, 20.25),
+        (ISLANDS, 2018, 1, "Recharge & bill payments", 3, 10.5),
+        (JK, 2018, 2, "Others", 1, 0.1),
+    ]
+
+
+def test_agg_ins(read):
+    assert read("agg_ins") == [(TAMIL, 2020, 2, "Insurance", 6, 1360.0)]
+
+
+def test_agg_user_skips_a_null_list(read):
+    assert read("agg_user") == [
+        (TAMIL, 2018, 1, "COOLPAD", 3, 0.375), (TAMIL, 2018, 1, "Xiaomi", 5, 0.625),
+    ]
+
+
+def test_map_trans_skips_an_empty_list(read):
+    assert read("map_trans") == [
+        (ISLANDS, 2018, 1, "nicobar district", 1, 4.0),
+        (ISLANDS, 2018, 1, "nicobars district", 2, 5.0),
+        (ISLANDS, 2018, 1, "north  and-middle andaman district", 8, 80.0),
+    ]
+
+
+def test_map_ins_keeps_what_is_missing_as_nulls(read):
+    assert read("map_ins") == sorted(
+        [
+            (ISLANDS, 2020, 2, "nicobars district", 2, 5.0),
+            (ISLANDS, 2020, 2, "south andaman district", None, None),
+            (ISLANDS, 2020, 2, "north district", None, None),
+            (JK, 2020, 2, None, None, None),
+            (TAMIL, 2020, 3, None, None, None),
+            (TAMIL, 2020, 4, None, None, None),
+        ],
+        key=repr,
+    )
+
+
+def test_map_user_reads_an_object_by_district(read):
+    assert read("map_user") == [
+        (ISLANDS, 2018, 1, "nicobars district", 7, 0),
+        (ISLANDS, 2018, 1, "south andaman district", 20, 50),
+    ]
+
+
+def test_top_tables(read):
+    assert read("top_trans") == [
+        (TAMIL, "600001", 2018, 1, 4, 44.0), (TAMIL, "600002", 2018, 1, 3, 33.5),
+    ]
+    assert read("top_ins") == [(TAMIL, "600001", 2020, 2, 1, 9.0)]
+    assert read("top_user") == [(TAMIL, "600001", 2018, 1, 12), (TAMIL, "600002", 2018, 1, 8)]
+
+
+@pytest.mark.parametrize("name", ["top_trans", "top_ins", "top_user"])
+@pytest.mark.parametrize("value", ['{"data": {}}', '{"data": {"pincodes": ', "[]"])
+def test_top_tables_fail_on_a_malformed_document_unless_told_to_skip(spark, name, value):
+    docs = spark.createDataFrame([("/state/x/2020/1.json", value)], "path string, value string")
+    with pytest.raises(Exception):
+        PARSERS[name](docs).collect()
+    assert PARSERS[name](docs, "PERMISSIVE").collect() == []
+
+
+def test_only_json_files_are_documents(spark, tmp_path):
+    root = write_drop(tmp_path)
+    folder = table_root(root, "top_ins")
+    with open(f"{folder}/{TAMIL}/2020/notes.txt", "w") as notes:
+        notes.write("not a document")
+    assert documents(spark, folder).count() == 1
+
+
+def test_reading_is_narrow(spark, drop):
+    for name in schemas.TABLES:
+        plan = read_drop_table(spark, drop, name)._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Python" not in plan
+
+
+def test_file_names_give_the_keys(spark):
+    docs = spark.createDataFrame(
+        [("file:/a/state/b/state/jammu-&-kashmir/2024/3.json", '{"data": {"hoverDataList": []}}')],
+        "path string, value string",
+    )
+    row = PARSERS["map_ins"](docs).select("State", "Year", "Quarter").first()
+    assert tuple(row) == (JK, 2024, 3)

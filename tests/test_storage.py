@@ -1,0 +1,135 @@
+import pytest
+
+from paylens import schemas
+from paylens.plans.load import export_csv, load_drop
+from paylens.plans.model import FactModel
+from paylens.session import shared_folder
+from paylens.sinks import load_tables, register_views, write_csv, write_table
+from paylens.sources.star_schema import star_model
+from paylens.sources.tables import read_csv_table, read_parquet_table, read_slice, scan_table
+from paylens.streaming.incremental import load_new_documents
+from tests.drop import write_drop
+
+
+def same(left, right):
+    assert left.schema.simpleString() == right.schema.simpleString()
+    assert sorted(map(tuple, left.collect()), key=repr) == sorted(map(tuple, right.collect()), key=repr)
+
+
+@pytest.fixture(scope="module")
+def drop(tmp_path_factory):
+    return write_drop(tmp_path_factory.mktemp("drop"))
+
+
+def test_drop_to_parquet_and_back(spark, drop, tmp_path):
+    assert load_drop(spark, drop, str(tmp_path)) == dict.fromkeys(schemas.TABLES)
+    stored, direct = FactModel.from_parquet(spark, str(tmp_path)), FactModel.from_drop(spark, drop)
+    for name in schemas.TABLES:
+        same(stored.table(name), direct.table(name))
+    assert stored.table("agg_trans", years=(2018, 2018), quarter=2).count() == 1
+
+
+def test_loading_twice_replaces(spark, drop, tmp_path):
+    load_drop(spark, drop, str(tmp_path))
+    load_drop(spark, drop, str(tmp_path))
+    assert FactModel.from_parquet(spark, str(tmp_path)).table("top_user").count() == 2
+
+
+def test_csv_round_trip(spark, drop, tmp_path):
+    direct = FactModel.from_drop(spark, drop)
+    export_csv(direct, str(tmp_path))
+    stored = FactModel.from_csv(spark, str(tmp_path))
+    for name in schemas.TABLES:
+        same(stored.table(name), direct.table(name))
+
+
+def test_csv_has_a_header_and_replaces(spark, tmp_path):
+    path = str(tmp_path / "t")
+    df = spark.createDataFrame([("s", 2020, 1, "Insurance", 6, 1360.0)], schemas.TABLES["agg_ins"])
+    write_csv(df, path)
+    write_csv(df, path)
+    assert spark.read.text(path).collect()[0][0] == ",".join(schemas.column_names("agg_ins"))
+    same(read_csv_table(spark, path, "agg_ins"), df)
+
+
+def test_catalog_tables_are_listed_read_and_sliced(spark, drop, rows):
+    direct = FactModel.from_drop(spark, drop)
+    spark.sql("CREATE DATABASE IF NOT EXISTS facts")
+    outcome = load_tables({"map_trans": direct.table("map_trans")}, database="facts")
+    assert outcome == {"map_trans": None}
+    assert [t.name for t in spark.catalog.listTables("facts")] == ["map_trans"]
+    assert spark.table("facts.map_trans").count() == 3
+
+    names = register_views(direct.all_tables())
+    assert names == sorted(schemas.TABLES)
+    same(scan_table(spark, "top_ins"), direct.table("top_ins"))
+    same(FactModel.from_catalog(spark).table("map_ins"), direct.table("map_ins"))
+    assert rows(read_slice(spark, "top_trans", 2018, 1).select("Pincode").orderBy("Pincode")) == [
+        ("600001",), ("600002",),
+    ]
+    assert read_slice(spark, "top_trans", 2018, 2).count() == 0
+
+
+def test_one_failing_table_does_not_stop_the_others(spark, drop, tmp_path):
+    direct = FactModel.from_drop(spark, drop)
+    broken = direct.table("agg_ins").withColumnRenamed("Year", "Jahr")
+    outcome = load_tables({"agg_ins": broken, "top_ins": direct.table("top_ins")}, str(tmp_path))
+    assert outcome["agg_ins"] and outcome["top_ins"] is None
+    assert read_parquet_table(spark, f"{tmp_path}/top_ins", "top_ins").count() == 1
+
+
+def test_unknown_names_are_refused(spark):
+    for call in (scan_table, lambda s, n: read_slice(s, n, 2020, 1), lambda s, n: star_model(s, "/").table(n)):
+        with pytest.raises(ValueError):
+            call(spark, "agg_trans; DROP TABLE x")
+    with pytest.raises(ValueError):
+        write_table(spark.range(1))
+
+
+def test_year_filters_prune_stored_partitions(spark, star, tmp_path):
+    model = star_model(spark, star).stored(str(tmp_path), "agg_trans")
+    df = model.table("agg_trans", years=(1996, 1997), quarter=2)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(Year" in plan
+    whole = star_model(spark, star).table("agg_trans").filter("Year IN (1996, 1997) AND Quarter = 2")
+    same(df, whole)
+    same(model.table("agg_ins"), star_model(spark, star).table("agg_ins"))
+
+
+def test_cached_tables_are_reused(spark, drop):
+    model = FactModel.from_drop(spark, drop).cache("agg_trans", "agg_trans")
+    cached = model.table("agg_trans", years=(2018, 2018))
+    assert "InMemoryTableScan" in cached._jdf.queryExecution().executedPlan().toString()
+    assert cached.count() == 3
+    model.uncache()
+    plan = model.table("agg_trans")._jdf.queryExecution().executedPlan().toString()
+    assert "InMemoryTableScan" not in plan
+
+
+def test_shared_folder_is_the_one_the_session_names(spark):
+    assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+@pytest.mark.parametrize("name", ["agg_trans", "map_ins", "map_user", "top_user"])
+def test_incremental_load_equals_the_batch_load(spark, tmp_path, name):
+    drop, target, marks = (str(tmp_path / d) for d in ("drop", "target", "marks"))
+    write_drop(drop)
+    load_new_documents(spark, drop, name, target, marks, max_files_per_trigger=1).awaitTermination()
+    batch = FactModel.from_drop(spark, drop).table(name)
+    stored = FactModel.from_parquet(spark, target).table(name)
+    same(stored, batch)
+    # Nothing new, nothing added.
+    load_new_documents(spark, drop, name, target, marks).awaitTermination()
+    same(stored, batch)
+
+
+def test_incremental_load_picks_up_a_new_quarter(spark, tmp_path):
+    from tests.drop import _write, pincode
+
+    drop, target, marks = (str(tmp_path / d) for d in ("drop", "target", "marks"))
+    write_drop(drop)
+    load_new_documents(spark, drop, "top_ins", target, marks).awaitTermination()
+    _write(drop, "top_ins", "tamil-nadu", 2020, 3, {"data": {"pincodes": [pincode("600009", 5, 2.0)]}})
+    load_new_documents(spark, drop, "top_ins", target, marks).awaitTermination()
+    stored = FactModel.from_parquet(spark, target).table("top_ins")
+    assert sorted(r.Pincode for r in stored.collect()) == ["600001", "600009"]
