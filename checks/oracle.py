@@ -457,5 +457,8 @@ ORACLES["preview"] = _query(
     f"SELECT {_columns('map_trans')} FROM map_trans"
     f" ORDER BY {', '.join(schemas.natural_key('map_trans'))} LIMIT 5"
 )
+ORACLES["brands_in_any_case"] = ORACLES["brand_top_bottom"].replace(
+    "SELECT Brand_name, total_users, CASE", "SELECT lower(Brand_name) AS Brand_name, total_users, CASE"
+)
 ORACLES["canonical_pincodes"] = _query(f"SELECT {_columns('top_trans')} FROM top_trans")
 # random_preview draws at random and has no SQL counterpart.

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from checks.documents import documents_of, feature_documents
 from paylens import schemas
-from paylens.operators import cleaning, quality, rollup
+from paylens.operators import cleaning, quality, ranking, rollup
 from paylens.plans import cases, explorer
 from paylens.plans.cases import CASES, QUERIES, CaseYears, run_case
 from paylens.plans.model import FactModel
@@ -142,6 +142,17 @@ def _random_preview(spark: SparkSession, folder: str) -> DataFrame:
     return quality.random_preview(star_model(spark, folder).table("map_trans"), 5, seed=7)
 
 
+def _brands_in_any_case(spark: SparkSession, folder: str) -> DataFrame:
+    """Brand names shouted in the states of even name length, and counted as one."""
+    rows = star_model(spark, folder).table("agg_user")
+    shouted = F.when(F.length("State") % 2 == 0, F.upper("Brand_name")).otherwise(
+        F.col("Brand_name")
+    )
+    brands = cleaning.collated(rows.withColumn("Brand_name", shouted), ["Brand_name"])
+    ranked = ranking.top_bottom(brands, "Brand_name", "User_count", 3, name="total_users")
+    return ranked.withColumn("Brand_name", F.lower(F.col("Brand_name").cast("string")))
+
+
 def _canonical_pincodes(spark: SparkSession, folder: str) -> DataFrame:
     rows = star_model(spark, folder).table("top_trans")
     decimal_text = rows.withColumn("Pincode", F.concat("Pincode", F.lit(".0")))
@@ -232,5 +243,6 @@ def all_queries() -> dict[str, Registered]:
     registered["membership_check"] = _members
     registered["preview"] = _preview
     registered["random_preview"] = _random_preview
+    registered["brands_in_any_case"] = _brands_in_any_case
     registered["canonical_pincodes"] = _canonical_pincodes
     return registered

@@ -50,6 +50,15 @@ def canonical_pincodes(df: DataFrame, column: str = "Pincode") -> DataFrame:
     return df.withColumn(column, canonical_pincode(F.col(column)))
 
 
+def collated(df: DataFrame, columns: Sequence[str], collation: str = "UTF8_LCASE") -> DataFrame:
+    """Compare, group and join these columns without regard to case.
+
+    Names are compared byte by byte otherwise. Databases often ignore case, and
+    then count ``COOLPAD`` and ``Coolpad`` as one brand.
+    """
+    return df.withColumns({c: F.collate(F.col(c), collation) for c in columns})
+
+
 def clean_table(df: DataFrame, name: str) -> DataFrame:
     """All cleaning steps that apply to table ``name``."""
     cleaned = title_columns(df, TITLE_COLUMNS[name])

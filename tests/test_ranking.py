@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from paylens.operators.cleaning import collated
 from paylens.operators.ranking import (
     nested_topk_share,
     peak_period,
@@ -50,9 +51,11 @@ def test_top_bottom_keeps_ties_and_each_key_once(spark, rows):
     ]
 
 
-def test_brands_differing_in_case_stay_apart(spark, rows):
+def test_brands_differing_in_case_stay_apart_unless_collated(spark, rows):
     df = spark.createDataFrame([("COOLPAD", 2), ("Coolpad", 1)], "k string, n bigint")
     assert len(rows(top_bottom(df, "k", "n", 3, name="t"))) == 2
+    merged = rows(top_bottom(collated(df, ["k"]), "k", "n", 3, name="t"))
+    assert [(k.lower(), t, side) for k, t, side in merged] == [("coolpad", 3, "top")]
 
 
 def test_ratio_top_bottom_repeats_keys_when_there_are_few(spark, rows):
