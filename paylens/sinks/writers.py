@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame
 
@@ -34,23 +35,30 @@ def write_table(df: DataFrame, path: str | None = None, table: str | None = None
 
 
 def load_tables(
-    tables: Mapping[str, DataFrame], root: str | None = None, database: str | None = None
+    tables: Mapping[str, DataFrame],
+    root: str | None = None,
+    database: str | None = None,
+    at_once: int = 4,
 ) -> dict[str, str | None]:
     """Create or replace every table; returns each one's error, or None.
 
-    A table that fails is reported and the others still load.
+    A table that fails is reported and the others still load. The writes do not
+    depend on each other, so a few jobs are submitted together: one table's last
+    tasks need not leave the cluster idle.
     """
-    outcome: dict[str, str | None] = {}
-    for name, df in tables.items():
+
+    def load(name: str) -> str | None:
         try:
             if root is not None:
-                write_table(df, path=f"{root.rstrip('/')}/{name}")
+                write_table(tables[name], path=f"{root.rstrip('/')}/{name}")
             else:
-                write_table(df, table=f"{database}.{name}" if database else name)
-            outcome[name] = None
+                write_table(tables[name], table=f"{database}.{name}" if database else name)
         except Exception as error:
-            outcome[name] = f"{type(error).__name__}: {error}"
-    return outcome
+            return f"{type(error).__name__}: {error}"
+        return None
+
+    with ThreadPoolExecutor(max_workers=at_once) as pool:
+        return dict(zip(tables, pool.map(load, tables)))
 
 
 def register_views(tables: Mapping[str, DataFrame]) -> list[str]:

@@ -1,6 +1,7 @@
 import pytest
 
 from paylens import schemas
+from paylens.plans.model import FactModel
 from paylens.sources.json_drops import PARSERS, documents, read_drop_table, table_root
 from tests.drop import write_drop
 
@@ -110,3 +111,11 @@ def test_file_names_give_the_keys(spark):
     )
     row = PARSERS["map_ins"](docs).select("State", "Year", "Quarter").first()
     assert tuple(row) == (JK, 2024, 3)
+
+
+def test_documents_of_other_periods_are_never_opened(spark, drop):
+    df = FactModel.from_drop(spark, drop).table("agg_trans", years=(2018, 2018), quarter=2)
+    assert df.count() == 1
+    rows = df.collect()
+    scan = df._jdf.queryExecution().executedPlan().collectLeaves().head()
+    assert len(rows) == 1 and scan.metrics().get("numFiles").get().value() == 1
