@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_MICROS = 1_000_000
+_MILLION = 1_000_000
 
 
 def ratio(numerator: Column, denominator: Column) -> Column:
@@ -39,15 +39,24 @@ def relative_growth_pct(current: Column, previous: Column) -> Column:
 def exact_total(value: Column) -> Column:
     """Order-independent sum of a floating column, as a decimal.
 
-    The whole and the fractional part are summed as two integers, so the
-    aggregation buffer is a pair of longs; the decimal appears once per group.
-    NaN counts as missing. Values beyond the bigint range raise.
+    Each value is cut into millions, units and millionths, which are summed as
+    integers: the aggregation buffer is three longs, good for 10^12 rows of up to
+    10^18 each, and the decimal appears once per group. NaN counts as missing.
+    A value beyond the bigint range raises.
     """
+    million = F.lit(_MILLION)
     present = F.when(~F.isnan(value), value)
-    whole = present.cast("bigint")
-    micros = F.rint((present - whole) * F.lit(float(_MICROS))).cast("bigint")
-    scaled = F.sum(micros).cast("decimal(20,0)") * F.lit("0.000001").cast("decimal(7,6)")
-    return F.sum(whole).cast("decimal(20,0)") + scaled
+    units = present.cast("bigint")
+    millionths = F.rint((present - units) * F.lit(float(_MILLION))).cast("bigint")
+
+    def summed(limb: Column) -> Column:
+        return F.sum(limb).cast("decimal(20,0)")
+
+    return (
+        summed(F.call_function("div", units, million)) * million.cast("decimal(7,0)")
+        + summed(units % million)
+        + summed(millionths) * F.lit("0.000001").cast("decimal(7,6)")
+    )
 
 
 def _is_floating(data_type: T.DataType) -> bool:

@@ -61,6 +61,13 @@ def test_totals_keep_integers_and_leave_out_missing_values(spark):
     assert df.agg(mean(df, "n")).first()[0] == 1.5
 
 
+def test_totals_outgrow_single_values(spark):
+    df = spark.createDataFrame([(9e18,), (9e18,), (0.5,), (-1e18,)], "v double")
+    assert df.agg(total(df, "v")).first()[0] == 1.7e19
+    df = spark.createDataFrame([(-2500000.75,), (-0.25,), (1.5,)], "v double")
+    assert df.agg(total(df, "v")).first()[0] == -2499999.5
+
+
 def test_overflow_raises_instead_of_wrapping(spark):
     df = spark.createDataFrame([(1e30,)], "v double")
     with pytest.raises(ArithmeticException):
