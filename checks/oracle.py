@@ -214,11 +214,13 @@ ORACLES["insurance_value_range"] = _query(f"""
 {_RANGES}
 SELECT * FROM ranges ORDER BY insurance_value_crore DESC NULLS LAST, State LIMIT 5""")
 
+# A state without insurance counts as zero.
 ORACLES["pct_difference_of_two"] = _query(f"""
-{_RANGES}
-SELECT (a.insurance_value_crore - b.insurance_value_crore) * 100.0 / b.insurance_value_crore
-    AS pct_difference
-FROM ranges a, ranges b WHERE a.State = '{PAIR[0]}' AND b.State = '{PAIR[1]}'""")
+{_RANGES},
+pair AS (SELECT
+    coalesce(sum(insurance_value_crore) FILTER (WHERE State = '{PAIR[0]}'), 0) AS a,
+    coalesce(sum(insurance_value_crore) FILTER (WHERE State = '{PAIR[1]}'), 0) AS b FROM ranges)
+SELECT (a - b) * 100.0 / nullif(b, 0) AS pct_difference FROM pair""")
 
 ORACLES["insurance_penetration"] = _query(f"""
 WITH paid AS (SELECT State, sum(Transaction_count) AS tn, sum(Transaction_amount) AS tv

@@ -32,7 +32,7 @@ def read_parquet_table(spark: SparkSession, path: str, name: str) -> DataFrame:
 
 def scan_table(spark: SparkSession, name: str) -> DataFrame:
     """A table or view of the session by its name."""
-    return spark.table(_known(name))
+    return spark.table(_known(name)).select(*schemas.column_names(name))
 
 
 def slice_period(
