@@ -51,15 +51,17 @@ class FactModel:
         Reports that share a table then read its rows instead of deriving them
         again, prune by year and quarter, and lose nothing with an executor.
         """
-        root = root.rstrip("/")
+        sessions = {}
         for name in names:
-            write_table(self.table(name), path=f"{root}/{name}")
+            df = self.table(name)
+            write_table(df, path=f"{root.rstrip('/')}/{name}")
+            sessions[name] = df.sparkSession
 
         def load(name, years, quarter):
-            if name not in names:
+            if name not in sessions:
                 return self.table(name, years, quarter)
-            session = SparkSession.active()
-            stored = tables.read_parquet_table(session, f"{root}/{name}", name)
+            path = f"{root.rstrip('/')}/{name}"
+            stored = tables.read_parquet_table(sessions[name], path, name)
             return tables.slice_period(stored, years, quarter)
 
         return FactModel(load)
