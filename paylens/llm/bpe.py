@@ -4,19 +4,19 @@ The automaton reads tokens: it accepts a sequence if byte-pair encoding makes
 just that sequence of its text. It begins with one state in which every byte's
 token loops, and is refined by one gadget for each merge (u, v) -> uv in order:
 
+- if the state after u has no arc v, the gadget changes nothing: uv is never made;
 - the state after u is copied, and the copy, where u now leads, loses its arc v;
 - wherever u has an arc (after that), so has uv; it leads to the old state after v.
 
-So a state is a list of lost arcs, newest first, that continues the list of the
-state it was copied from, and an arc of a merged token was copied from its left
-part's when it was made. Both are told by the order of merges: arc t is lost in
-a state if the state lost v at merge i, v begins t by its chain of left parts,
-and the next longer part in that chain was made at i or later. Rows of the
-transition table are filled from these lists when first asked for.
+So the state after uv has lost what the state after v had lost when uv was made,
+and an arc uv is lost where the arc u was lost when uv was made. Gadgets are kept
+in this form: for each token the chain of its right parts and of its left parts,
+each with the merge up to which it counts, and for each merge the arc that it
+takes away. An arc of the table follows from both chains; rows of the table are
+filled when first asked for.
 
-Encoding runs over the bytes of a pre-split word: at each place, the token that
-ends there is the one whose arc exists in the state after the token before it.
-There is exactly one, for each beginning of the word has one encoding. Decoding
+Encoding runs over the bytes of a pre-split word, from arc to arc. There is
+exactly one path, for each beginning of the word has one encoding. Decoding
 joins the bytes on the arcs.
 """
 
@@ -71,30 +71,28 @@ class TokenAutomaton:
         self.labels = labels
         self.special = dict(special or {})
         self.split_special = re.compile("|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True))) if special else None
-        by_bytes = {}
-        self.left: dict[int, int] = {}
-        self.made: dict[int, int] = {}
-        # A state: (merge, lost arc, the state that it copies), newest loss first; None loses nothing.
-        self.after: dict[int, tuple | None] = {}
-        for token, label in labels.items():
-            if len(label) == 1:
-                by_bytes[label] = token
-                self.after[token] = None
+        self.by_bytes = by_bytes = {label: token for token, label in labels.items() if len(label) == 1}
+        #: The merge at which the state after a token lost an arc, for both as they stand in the merge.
+        self.lost_at: dict[tuple[int, int], int] = {}
+        end = len(merges)
+        #: (part, the merge up to which its losses count), from the whole token on.
+        self.right = {token: ((token, end),) for token in by_bytes.values()}
+        self.left = dict(self.right)
+        self.rows: dict[int, dict[int, bool]] = {}
         for i, (u, v, uv) in enumerate(merges):
-            if uv in self.after:
-                continue  # made before: this merge can't happen again
-            follows_v = self.after[v]
-            self.after[u] = (i, v, self.after[u])
-            self.after[uv] = follows_v
-            self.left[uv], self.made[uv] = u, i
+            if uv in self.right:
+                raise ValueError("two merges make one token")
+            if u not in self.right or v not in self.right or self._lost(u, v):
+                continue
+            self.right[uv] = ((uv, end), (v, i), *self.right[v][1:])
+            self.left[uv] = ((uv, end), (u, i), *self.left[u][1:])
+            self.lost_at[u, v] = i
             by_bytes[labels[uv]] = uv
-        self.by_bytes = by_bytes
         #: The length of the longest token by its first three bytes.
         self.reach: dict[bytes, int] = {}
         for label in by_bytes:
             if len(label) > 2:
                 self.reach[label[:3]] = max(len(label), self.reach.get(label[:3], 0))
-        self.rows: dict[int, tuple[dict[int, int], dict[int, bool]]] = {}
         self.known = _Words(self)
 
     @classmethod
@@ -111,27 +109,24 @@ class TokenAutomaton:
         automaton.labels = labels | {i: s.encode() for s, i in special.items()}
         return automaton
 
+    def _lost(self, before: int, token: int) -> bool:
+        at = self.lost_at.get
+        for right, until in self.right[before]:
+            for left, made in self.left[token]:
+                merge = at((right, left))
+                # A part's arc that was lost at the very merge that made the token was lost to it too.
+                if merge is not None and merge < until and merge <= made:
+                    return True
+        return False
+
     def has_arc(self, before: int, token: int) -> bool:
         """Whether the state after one token has an arc for another."""
         row = self.rows.get(before)
         if row is None:
-            lost: dict[int, int] = {}
-            state = self.after[before]
-            while state is not None:
-                lost.setdefault(state[1], state[0])
-                state = state[2]
-            row = self.rows[before] = (lost, {})
-        lost, known = row
-        answer = known.get(token)
+            row = self.rows[before] = {}
+        answer = row.get(token)
         if answer is None:
-            answer, part, longer = True, token, None
-            while part is not None:
-                at = lost.get(part)
-                if at is not None and (longer is None or self.made[longer] >= at):
-                    answer = False
-                    break
-                part, longer = self.left.get(part), part
-            known[token] = answer
+            answer = row[token] = not self._lost(before, token)
         return answer
 
     def encode_word(self, word: bytes) -> list[int]:
