@@ -64,7 +64,7 @@ class Profiles:
             return np.empty(0, np.int64), np.empty(0, np.int64)
         kept[1:] |= codes[:-1] != _BLANK  # the first blank of each run
         codes = codes[kept]
-        codes = codes[codes[0] == _BLANK : len(codes) - (codes[-1] == _BLANK)]
+        codes = codes[int(codes[0] == _BLANK) : len(codes) - int(codes[-1] == _BLANK)]
         codes = np.concatenate([[_BLANK], codes, [_BLANK]]).astype(np.int64)
         return np.unique(codes[:-2] << 42 | codes[1:-1] << 21 | codes[2:], return_counts=True)
 
