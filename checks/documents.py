@@ -2,7 +2,7 @@
 
 One document per state and quarter for the tables whose lists are short by
 nature (payment types, brands, districts). A quarter can hold any number of
-pincodes, so there each pincode gets a document of its own.
+pincodes, so there each stretch of 64 pincodes gets a document of its own.
 """
 
 from __future__ import annotations
@@ -44,8 +44,10 @@ def _instruments(df: DataFrame, label: str) -> DataFrame:
     return _listed(df, "transactionData", item)
 
 
-def _singles(df: DataFrame, item: Column) -> DataFrame:
-    return df.select(_path().alias("path"), _document("pincodes", F.array(item)))
+def _stretches(df: DataFrame, item: Column) -> DataFrame:
+    stretch = F.floor(F.col("Pincode").cast("int") / 64)
+    grouped = df.groupBy("State", "Year", "Quarter", stretch).agg(F.collect_list(item).alias("items"))
+    return grouped.select(_path().alias("path"), _document("pincodes", F.col("items")))
 
 
 def documents_of(model: FactModel, name: str) -> DataFrame:
@@ -94,9 +96,9 @@ def documents_of(model: FactModel, name: str) -> DataFrame:
         item = F.struct(
             F.col("Pincode").alias("name"), F.col("Registered_users").alias("registeredUsers")
         )
-        return _singles(df, item)
+        return _stretches(df, item)
     label = "Transaction" if name == "top_trans" else "Insurance"
-    return _singles(df, F.struct(F.col("Pincode").alias("entityName"), _metric(label).alias("metric")))
+    return _stretches(df, F.struct(F.col("Pincode").alias("entityName"), _metric(label).alias("metric")))
 
 
 def feature_documents(nations: DataFrame, regions: DataFrame, left_out: int) -> DataFrame:

@@ -15,6 +15,7 @@ from checks.registry import (
     LEFT_OUT_REGION,
     PAIR,
     QUARTER,
+    WHOLE_YEARS,
     YEAR,
     YEARS,
 )
@@ -110,7 +111,7 @@ def _yearly(view: str, measure: str, name: str, where: str = "true") -> str:
         WINDOW w AS (PARTITION BY State ORDER BY Year))"""
 
 
-_SINCE, _UNTIL = YEARS.since, YEARS.until
+_SINCE = YEARS.since
 _LOW, _HIGH = YEARS.window
 _FIRST, _LAST = YEARS.span
 _SLICE = f"Year = {YEAR} AND Quarter = {QUARTER}"
@@ -234,9 +235,11 @@ FROM paid LEFT JOIN insured ON paid.State = insured.State
 WHERE {_round(_pct('xn', 'tn'), 5)} IS NOT NULL
 ORDER BY penetration_rate, paid.State LIMIT 5""")
 
-ORACLES["consistent_growth"] = _query(f"""
-WITH {_yearly('map_user', 'Registered_users', 'users', f'Year BETWEEN {YEARS.base} AND {_UNTIL}')},
-{_yearly('agg_trans', 'Transaction_count', 'txns', f'Year BETWEEN {YEARS.base} AND {_UNTIL}')},
+def _consistent_growth(last: int | None) -> str:
+    years = "true" if last is None else f"Year BETWEEN {YEARS.base} AND {last}"
+    return _query(f"""
+WITH {_yearly('map_user', 'Registered_users', 'users', years)},
+{_yearly('agg_trans', 'Transaction_count', 'txns', years)},
 means AS (
     SELECT u.State, {_dbl('sum(CAST(u.pct AS DECIMAL(18,2)))')} / count(u.pct) AS mu,
         {_dbl('sum(CAST(t.pct AS DECIMAL(18,2)))')} / count(t.pct) AS mt
@@ -245,6 +248,10 @@ means AS (
 SELECT State, {_round('mu', 2)} AS avg_user_growth_pct, {_round('mt', 2)} AS avg_txn_growth_pct
 FROM means WHERE mu > 0 AND mt > 0 ORDER BY avg_txn_growth_pct DESC, State LIMIT 10""")
 
+
+ORACLES["consistent_growth"] = _consistent_growth(None)
+ORACLES["consistent_growth_of_whole_years"] = _consistent_growth(WHOLE_YEARS.until)
+
 ORACLES["district_share_top_states"] = _query(f"""
 WITH best AS (SELECT State, sum(Number_of_app_opens) AS whole FROM map_user GROUP BY State
     ORDER BY sum(Registered_users) DESC, State LIMIT 3)
@@ -277,10 +284,43 @@ SELECT b.Pincode, {_big('b.n - a.n')} AS growth_from_prev_year
 FROM sums a JOIN sums b ON a.Pincode = b.Pincode AND b.Year - 1 = a.Year
 WHERE b.Year = {YEARS.target} ORDER BY growth_from_prev_year DESC, b.Pincode LIMIT 5""")
 
-# Case reports, reduced to their sizes. A report's SQL stands in brackets as a whole.
+# Case reports as long rows: the columns that tell rows apart, and the floating ones. A
+# report's SQL stands in brackets as a whole.
+_REPORT_COLUMNS = {
+    "yearly_growth_totals": "Year total_transactions : transaction_amount total_transactions_growth_pct transaction_amount_growth_pct",
+    "avg_yoy_growth_extremes": "State : avg_growth_pct",
+    "declining_growth_trend": "State Year : growth_pct",
+    "peak_quarter_spike": "Year quarter_with_max_spike total previous : spike_pct",
+    "avg_type_share": "Transaction_type : average_share_pct",
+    "brand_top_bottom": "Brand_name total_users side :",
+    "engagement_top_bottom": "State side : engagement_rate",
+    "quarterly_engagement_extremes": "Year Quarter : engagement_rate",
+    "insurance_yearly_growth": "Year insurance_count : insurance_amount insurance_count_growth_pct insurance_amount_growth_pct",
+    "insurance_value_range": "State : insurance_value_crore",
+    "insurance_penetration": "State total_transactions total_insurances : transaction_amount insurance_amount penetration_rate value_share",
+    "consistent_growth": "State : avg_user_growth_pct avg_txn_growth_pct",
+    "district_share_top_states": "State District_name total_app_opens position : app_open_share_pct",
+    "top_states_insurance": "State : total_insurance_amount",
+    "peak_quarter_value": "Year Quarter : total_insurance_amount",
+    "top_districts_insurance": "District_name : total_insurance_amount",
+    "pincode_growth": "Pincode growth_from_prev_year :",
+}
+
+
+def _long(report: str, columns: str, sql: str, **changed: str) -> str:
+    keys, measures = (part.split() for part in columns.split(":"))
+    row_key = ", ".join(f"coalesce(CAST({k} AS VARCHAR), '-')" for k in keys)
+    values = {m: changed.get(m, m) for m in measures} | {"row": "CAST(1.0 AS DOUBLE)"}
+    return "\nUNION ALL\n".join(
+        f"SELECT '{report}' AS report, concat_ws('|', {row_key}) AS row_key,"
+        f" '{m}' AS measure, {value} AS value FROM ({sql}) AS r"
+        for m, value in values.items()
+    )
+
+
 for _case, _reports in CASES.items():
     ORACLES[f"case_{_case}"] = "\nUNION ALL\n".join(
-        f"SELECT '{q}' AS report, count(*) AS row_count FROM ({ORACLES[q]}) AS r" for q in _reports
+        _long(q, _REPORT_COLUMNS[q], ORACLES[q]) for q in _reports
     )
 
 # Explorer.
@@ -330,7 +370,7 @@ ORACLES["top10_pincodes_insurance"] = _ranked("top_ins", "Pincode", "Insurance_a
 def _metrics(view: str, amount: str, count: str) -> str:
     return _query(f"""
 SELECT State, {_dbl(f'sum({amount})')} AS {amount}, {_big(f'sum({count})')} AS {count},
-    {_round(f'avg({_dbl(amount)} / nullif({count}, 0))', 4)} AS average_value
+    {_round(f'avg({_dbl(amount)} / nullif({count}, 0)) + 1e-7', 4)} AS average_value
 FROM {view} WHERE {_SLICE} GROUP BY State ORDER BY State""")
 
 
@@ -365,6 +405,37 @@ SELECT State, 'features' AS missing_in FROM m WHERE State NOT IN (SELECT State F
 UNION ALL
 SELECT State, 'metrics' FROM features WHERE State NOT IN (SELECT State FROM m)""")
 
+# The explorer's first view: the last year and the first quarter on record.
+_FIRST_VIEW = "Year = 2001 AND Quarter = 1"
+
+
+def _explored(reports: dict[str, tuple[str, str]]) -> str:
+    return "\nUNION ALL\n".join(
+        _long(r, columns, ORACLES[name].replace(_SLICE, _FIRST_VIEW), average_value=_round("average_value + 1e-7", 4))
+        for r, (name, columns) in reports.items()
+    )
+
+
+_KPI_COLUMNS = "total_count amount_crore : total_amount average_value"
+ORACLES["explore_transactions"] = _explored({
+    "kpis": ("kpi_transactions", _KPI_COLUMNS),
+    "payment_categories": ("payment_categories", "Transaction_type total_value :"),
+    "state_metrics": ("state_metrics_trans", "State Transaction_count : Transaction_amount average_value"),
+    "top_districts": ("top10_districts", "District_name total_value :"),
+    "top_pincodes": ("top10_pincodes", "Pincode total_value :"),
+})
+ORACLES["explore_insurance"] = _explored({
+    "kpis": ("kpi_insurance", _KPI_COLUMNS),
+    "state_metrics": ("state_metrics_ins", "State Insurance_count : Insurance_amount average_value"),
+    "top_districts": ("top10_districts_insurance", "District_name total_value :"),
+    "top_pincodes": ("top10_pincodes_insurance", "Pincode total_value :"),
+})
+ORACLES["explore_users"] = _explored({
+    "kpis": ("kpi_users", "registered_users app_opens :"),
+    "state_metrics": ("state_metrics_users", "State Registered_users Number_of_app_opens :"),
+    "top_districts": ("top10_districts_users", "District_name total_value :"),
+})
+
 # Ingestion and cleaning: documents derived from the tables come back as the tables.
 
 
@@ -423,7 +494,25 @@ _DIMENSIONS = "\nUNION ALL ".join(
     for t in schemas.TABLES
 )
 ORACLES["table_dimensions"] = _query(_DIMENSIONS)
-ORACLES["stored_tables"] = _query(_DIMENSIONS)
+
+
+def _summed_up(table: str) -> str:
+    columns, keys = schemas.column_names(table), schemas.natural_key(table)
+    measures = [f.name for f in schemas.TABLES[table].fields if f.name not in keys]
+    texts = ", ".join(f"CAST({c} AS VARCHAR)" for c in columns if c in keys)
+    check = f"sum(CAST(('0x' || substr(md5(concat_ws('|', {texts})), 1, 8)) AS BIGINT))"
+    return "\nUNION ALL ".join(
+        f"SELECT '{table}' AS table_name, count(*) AS row_count, '{m}' AS measure,"
+        f" CAST(round(sum(CAST({m} AS DOUBLE)), 2) AS DOUBLE) AS total, {_big(check)} AS keys FROM {table}"
+        for m in measures
+    )
+
+
+ORACLES["stored_tables"] = _query("\nUNION ALL ".join(map(_summed_up, schemas.TABLES)))
+ORACLES["exported_tables"] = ORACLES["stored_tables"]
+ORACLES["catalog_tables"] = _query("\nUNION ALL ".join(map(_summed_up, ("agg_ins", "map_trans", "top_user"))))
+for _name in ("agg_trans", "map_ins"):
+    ORACLES[f"document_files_{_name}"] = ORACLES[f"read_{_name}"]
 
 
 def _nulls(table: str, column: str) -> str:

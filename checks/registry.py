@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Sequence
+from dataclasses import replace
 from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,20 +15,23 @@ from paylens import schemas
 from paylens.operators import cleaning, quality, ranking, rollup
 from paylens.plans import cases, explorer
 from paylens.plans.cases import CASES, QUERIES, CaseYears, run_case
+from paylens.plans.load import export_csv
 from paylens.plans.model import FactModel
 from paylens.session import shared_folder
 from paylens.sinks import load_tables, register_views, write_csv, write_table
 from paylens.sources import geo, tables
-from paylens.sources.json_drops import PARSERS
+from paylens.sources.json_drops import PARSERS, documents
 from paylens.sources.star_schema import read_star_table, star_model
 
 # The tables cover 1995 to 2001, the last year up to its third quarter.
-YEARS = CaseYears(
-    base=1995, since=1996, window=(1997, 2001), span=(1995, 2001), target=2000, until=2000
-)
+YEARS = CaseYears(base=1995, since=1996, window=(1997, 2001), span=(1995, 2001), target=2000)
+# The same, for the screening of whole years only.
+WHOLE_YEARS = replace(YEARS, until=2000)
 YEAR, QUARTER = 2000, 1
 PAIR = ("NATION_3", "NATION_7")
 LEFT_OUT_REGION = 4
+# Fixed value: where Spark's partition folders tell state, year and quarter.
+_PARTITION_KEYS = r"/state=([^/]+)/year=(\d+)/quarter=(\d+)/"
 DISTRICT_RENAMES = {"MACHINERY": "BUILDING"}
 CHECKED_DISTRICTS = ("BUILDING", "HOUSEHOLD")
 
@@ -38,14 +42,27 @@ def _case_query(name: str, spark: SparkSession, folder: str) -> DataFrame:
     return QUERIES[name](star_model(spark, folder), YEARS)
 
 
+def _consistent_growth_of_whole_years(spark: SparkSession, folder: str) -> DataFrame:
+    return cases.consistent_growth(star_model(spark, folder), WHOLE_YEARS)
+
+
 def _case_report(name: str, spark: SparkSession, folder: str) -> DataFrame:
-    """All reports of a case in one plan, reduced to their sizes."""
-    reports = run_case(star_model(spark, folder), name, YEARS, store_at=_scratch(spark))
-    sizes = [
-        df.agg(F.count("*").alias("row_count")).select(F.lit(q).alias("report"), "row_count")
-        for q, df in reports.items()
-    ]
-    return reduce(DataFrame.unionByName, sizes).orderBy("report")
+    """All reports of a case in one plan, every measure of them, as long rows."""
+    store_at = _scratch(spark, folder, f"case_{name}")
+    reports = run_case(star_model(spark, folder), name, YEARS, store_at=store_at)
+    return reduce(DataFrame.unionByName, [_long(df, q) for q, df in reports.items()])
+
+
+def _long(df: DataFrame, report: str) -> DataFrame:
+    """(report, row_key, measure, value): the floating columns of a report by the text of the others.
+
+    A report without floating columns has a measure ``row`` of 1.
+    """
+    measures = [c for c, t in df.dtypes if t == "double"]
+    keys = [F.coalesce(F.col(c).cast("string"), F.lit("-")) for c, t in df.dtypes if t != "double"]
+    keyed = df.select(F.concat_ws("|", *keys).alias("row_key"), *measures, F.lit(1.0).alias("row"))
+    rows = keyed.unpivot(["row_key"], [*measures, "row"], "measure", "value")
+    return rows.select(F.lit(report).alias("report"), "row_key", "measure", "value")
 
 
 def _pct_difference(spark: SparkSession, folder: str) -> DataFrame:
@@ -64,42 +81,117 @@ def _clean(name: str, spark: SparkSession, folder: str) -> DataFrame:
     return cleaning.clean_table(_raw(star_model(spark, folder), name), name)
 
 
-def _scratch(spark: SparkSession) -> str:
-    return f"{shared_folder(spark)}/paylens-{uuid.uuid4().hex}"
+def _scratch(spark: SparkSession, folder: str, name: str) -> str:
+    """A shared folder for what a query stores: its own for each input, written over by a second call."""
+    of_input = hashlib.sha256(folder.encode()).hexdigest()[:12]
+    return f"{shared_folder(spark)}/paylens-{spark.sparkContext.applicationId}/{of_input}/{name}"
 
 
 def _csv_table(spark: SparkSession, folder: str) -> DataFrame:
-    path = f"{_scratch(spark)}/agg_ins"
+    path = _scratch(spark, folder, "csv_table")
     write_csv(star_model(spark, folder).table("agg_ins"), path)
     return tables.read_csv_table(spark, path, "agg_ins")
 
 
 def _parquet_table(spark: SparkSession, folder: str) -> DataFrame:
-    path = f"{_scratch(spark)}/map_ins"
+    path = _scratch(spark, folder, "parquet_table")
     write_table(star_model(spark, folder).table("map_ins"), path=path)
     return tables.read_parquet_table(spark, path, "map_ins")
 
 
+def _summed_up(model: FactModel, names: Sequence[str]) -> DataFrame:
+    """(table_name, row_count, measure, total, keys): each measure's sum, and a check sum of the other columns."""
+    parts = []
+    for name in names:
+        df = model.table(name)
+        kinds = dict(df.dtypes)
+        measures = [c for c in df.columns if c not in schemas.natural_key(name) and kinds[c] != "string"]
+        keys = F.concat_ws("|", *[F.col(c).cast("string") for c in df.columns if c not in measures])
+        summed = df.agg(
+            F.count("*").alias("row_count"),
+            F.sum(F.conv(F.substring(F.md5(keys), 1, 8), 16, 10).cast("bigint")).alias("keys"),
+            *[F.round(F.sum(F.col(c).cast("double")), 2).alias(c) for c in measures],
+        )
+        long = summed.unpivot(["row_count", "keys"], measures, "measure", "total")
+        parts.append(long.select(F.lit(name).alias("table_name"), "row_count", "measure", "total", "keys"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def _stored_tables(spark: SparkSession, folder: str) -> DataFrame:
-    """Load all nine, list them and measure what was stored."""
-    root = _scratch(spark)
-    errors = load_tables(star_model(spark, folder).all_tables(), root=root)
-    failed = {name: error for name, error in errors.items() if error}
-    if failed:
-        raise RuntimeError(f"tables not stored: {failed}")
-    stored = FactModel.from_parquet(spark, root).all_tables()
-    listed = register_views(stored)
-    return quality.dimensions({name: tables.scan_table(spark, name) for name in listed})
+    """Load all nine, find them by name and sum up what was stored."""
+    root = _scratch(spark, folder, "stored_tables")
+    load_tables(star_model(spark, folder).all_tables(), root=root)
+    stored = FactModel.from_parquet(spark, root)
+    prefix = "stored_tables_"
+    listed = register_views(stored.all_tables(), prefix)
+    seen = FactModel.of(lambda name: tables.scan_table(spark, name, prefix + name))
+    summed = _summed_up(seen, [name.removeprefix(prefix) for name in listed])
+    for name in listed:
+        spark.catalog.dropTempView(name)
+    return summed
+
+
+def _exported_tables(spark: SparkSession, folder: str) -> DataFrame:
+    """All nine as CSV and back."""
+    root = _scratch(spark, folder, "exported_tables")
+    export_csv(star_model(spark, folder), root)
+    return _summed_up(FactModel.from_csv(spark, root), list(schemas.TABLES))
+
+
+def _catalog_tables(spark: SparkSession, folder: str) -> DataFrame:
+    """Tables of the catalog, in a database of this session's and input's own."""
+    session = spark.sparkContext.applicationId.replace("-", "_")
+    database = f"paylens_{session}_{hashlib.sha256(folder.encode()).hexdigest()[:12]}"
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
+    chosen = ("agg_ins", "map_trans", "top_user")
+    load_tables({name: star_model(spark, folder).table(name) for name in chosen}, database=database)
+    return _summed_up(FactModel.of(lambda name: tables.scan_table(spark, name, f"{database}.{name}")), chosen)
+
+
+def _document_files(name: str, spark: SparkSession, folder: str) -> DataFrame:
+    """Documents as files of a drop, one for each state and quarter, read back from there."""
+    docs = documents_of(star_model(spark, folder), name)
+    parts = docs.select(
+        "value",
+        F.regexp_extract("path", r"/([^/]+)/\d+/\d+\.json$", 1).alias("state"),
+        F.regexp_extract("path", r"/(\d+)/\d+\.json$", 1).alias("year"),
+        F.regexp_extract("path", r"/(\d+)\.json$", 1).alias("quarter"),
+    )
+    root = _scratch(spark, folder, f"files_{name}")
+    parts.write.mode("overwrite").partitionBy("state", "year", "quarter").text(root)
+    found = documents(spark, root, file_filter="*.txt", key_pattern=_PARTITION_KEYS)
+    return PARSERS[name](found)
+
+
+def _explored(dataset: str, spark: SparkSession, folder: str) -> DataFrame:
+    """Every report of the explorer's first view of a dataset, from stored tables, as long rows."""
+    store_at = _scratch(spark, folder, f"explore_{dataset}")
+    reports = explorer.explore(star_model(spark, folder), dataset, store_at=store_at)
+    reports.pop("color_bounds")  # a row without a key, compared on its own
+    return reduce(DataFrame.unionByName, [_long(_rounded(df), r) for r, df in sorted(reports.items())])
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    """Means to a ten-thousandth: engines add quotients in different orders, so halves are lifted first."""
+    if "average_value" not in df.columns:
+        return df
+    return df.withColumn("average_value", F.round(F.col("average_value") + 1e-7, 4))
 
 
 def _read_table(spark: SparkSession, folder: str) -> DataFrame:
-    star_model(spark, folder).table("map_trans").createOrReplaceTempView("map_trans")
-    return tables.scan_table(spark, "map_trans")
+    view = "read_table_map_trans"
+    star_model(spark, folder).table("map_trans").createOrReplaceTempView(view)
+    found = tables.scan_table(spark, "map_trans", view)
+    spark.catalog.dropTempView(view)
+    return found
 
 
 def _read_slice(spark: SparkSession, folder: str) -> DataFrame:
-    star_model(spark, folder).table("map_trans").createOrReplaceTempView("map_trans")
-    return tables.read_slice(spark, "map_trans", YEAR, QUARTER)
+    view = "read_slice_map_trans"
+    star_model(spark, folder).table("map_trans").createOrReplaceTempView(view)
+    found = tables.read_slice(spark, "map_trans", YEAR, QUARTER, view)
+    spark.catalog.dropTempView(view)
+    return found
 
 
 def _null_profile(spark: SparkSession, folder: str) -> DataFrame:
@@ -139,7 +231,8 @@ def _preview(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _random_preview(spark: SparkSession, folder: str) -> DataFrame:
-    return quality.random_preview(star_model(spark, folder).table("map_trans"), 5, seed=7)
+    rows = star_model(spark, folder).table("map_trans")
+    return quality.random_preview(rows, 5, seed=7, key=schemas.natural_key("map_trans"))
 
 
 def _brands_in_any_case(spark: SparkSession, folder: str) -> DataFrame:
@@ -168,13 +261,8 @@ def _domain(report: Callable[..., DataFrame], dataset: str) -> Registered:
 
 
 def _state_metrics(dataset: str) -> Registered:
-    """Means are compared to a ten-thousandth: engines round the quotients differently."""
-
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        metrics = explorer.state_metrics(star_model(spark, folder), dataset, YEAR, QUARTER)
-        if "average_value" not in metrics.columns:
-            return metrics
-        return metrics.withColumn("average_value", F.round("average_value", 4))
+        return _rounded(explorer.state_metrics(star_model(spark, folder), dataset, YEAR, QUARTER))
 
     return run
 
@@ -204,6 +292,7 @@ def all_queries() -> dict[str, Registered]:
     registered: dict[str, Registered] = {}
     for name in QUERIES:
         registered[name] = partial(_case_query, name)
+    registered["consistent_growth_of_whole_years"] = _consistent_growth_of_whole_years
     registered["pct_difference_of_two"] = _pct_difference
     for name in CASES:
         registered[f"case_{name}"] = partial(_case_report, name)
@@ -236,6 +325,12 @@ def all_queries() -> dict[str, Registered]:
     registered["read_table"] = _read_table
     registered["read_slice"] = _read_slice
     registered["stored_tables"] = _stored_tables
+    registered["exported_tables"] = _exported_tables
+    registered["catalog_tables"] = _catalog_tables
+    for name in ("agg_trans", "map_ins"):
+        registered[f"document_files_{name}"] = partial(_document_files, name)
+    for dataset in explorer.DATASETS:
+        registered[f"explore_{dataset}"] = partial(_explored, dataset)
     registered["null_profile"] = _null_profile
     registered["table_dimensions"] = _table_dimensions
     registered["standardise_districts"] = _standardised

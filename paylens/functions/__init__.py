@@ -1,9 +1,10 @@
 from paylens.functions.numeric import (
-    exact_mean,
-    exact_total,
+    grid_mean,
+    grid_total,
     growth_pct,
     mean,
     percent_of,
+    plain_mean,
     ratio,
     relative_growth_pct,
     total,
@@ -12,11 +13,12 @@ from paylens.functions.text import canonical_pincode, title_case
 
 __all__ = [
     "canonical_pincode",
-    "exact_mean",
-    "exact_total",
+    "grid_mean",
+    "grid_total",
     "growth_pct",
     "mean",
     "percent_of",
+    "plain_mean",
     "ratio",
     "relative_growth_pct",
     "title_case",

@@ -1,10 +1,10 @@
 """Numeric column expressions shared by the operators.
 
 Every quotient is null, never an error, when its denominator is zero or null.
-Floating measures are amounts of money and are added exactly, to a millionth of
-the unit: plain double addition depends on the order in which partial sums merge,
-so a retried task or another partition count could flip a tie in a ranking. All
-of it is built-in, code-generated arithmetic.
+Floating measures are amounts of money and are summed on a decimal grid: plain
+double addition depends on the order in which partial sums merge, so a retried
+task or another partition count could flip a tie in a ranking. Means of quotients
+are plain averages. All of it is built-in, code-generated arithmetic.
 """
 
 from __future__ import annotations
@@ -36,52 +36,71 @@ def relative_growth_pct(current: Column, previous: Column) -> Column:
     return (ratio(current, previous) - F.lit(1.0)) * F.lit(100.0)
 
 
-def exact_total(value: Column) -> Column:
-    """Order-independent sum of a floating column, as a decimal.
+def grid_total(value: Column, digits: int = 6) -> Column:
+    """Sum of a floating column on a grid of ``10 ** -digits``, as a double.
 
-    Each value is cut into millions, units and millionths, which are summed as
-    integers: the aggregation buffer is three longs, good for 10^12 rows of up to
-    10^18 each, and the decimal appears once per group. NaN counts as missing.
-    A value beyond the bigint range raises.
+    Each value is put on the grid and cut into two whole numbers, which are
+    summed as such: the result does not depend on order, partitions or retries,
+    and is exact for values on the grid (amounts of money). Smaller parts than
+    half the grid count as nothing; choose more digits where they matter, or
+    plain ``F.sum``. NaN counts as missing. Values of 9e17 and more, far beyond
+    the grid's use, are added as plain doubles.
     """
-    million = F.lit(_MILLION)
+    if not 0 <= digits <= 12:
+        raise ValueError("digits from 0 to 12")
+    million, steps = F.lit(_MILLION), F.lit(float(10**digits))
     present = F.when(~F.isnan(value), value)
-    units = present.cast("bigint")
-    millionths = F.rint((present - units) * F.lit(float(_MILLION))).cast("bigint")
+    large = F.abs(present) >= F.lit(9e17)
+    within = F.when(~large, present)
+    units = within.cast("bigint")
+    parts = F.rint((within - units) * steps).cast("bigint")
 
     def summed(limb: Column) -> Column:
         return F.sum(limb).cast("decimal(20,0)")
 
-    return (
+    step = F.lit(f"{10.0**-digits:.{digits}f}").cast(f"decimal({digits + 1},{digits})")
+    whole = (
         summed(F.call_function("div", units, million)) * million.cast("decimal(7,0)")
         + summed(units % million)
-        + summed(millionths) * F.lit("0.000001").cast("decimal(7,6)")
-    )
+        + summed(parts) * step
+    ).cast("double")
+    beyond = F.sum(F.when(large, present))
+    return F.coalesce(whole + beyond, whole, beyond)
 
 
 def _is_floating(data_type: T.DataType) -> bool:
     return isinstance(data_type, (T.FloatType, T.DoubleType))
 
 
-def total(df: DataFrame, measure: str) -> Column:
-    """Sum of a measure of ``df``: bigint for integers, double for everything else."""
+def total(df: DataFrame, measure: str, digits: int | None = 6) -> Column:
+    """Sum of a measure of ``df``: bigint for integers, double for everything else.
+
+    Floating measures are summed on a grid of ``digits`` (see ``grid_total``), or
+    as plain doubles if that is None.
+    """
     data_type = df.schema[measure].dataType
     column = F.col(measure)
     if _is_floating(data_type):
-        return exact_total(column.cast("double")).cast("double")
+        value = column.cast("double")
+        return F.sum(F.when(~F.isnan(value), value)) if digits is None else grid_total(value, digits)
     if isinstance(data_type, T.DecimalType):
         return F.sum(column).cast("double")
     return F.sum(column)
 
 
-def exact_mean(value: Column) -> Column:
-    """Order-independent mean of a floating column; nulls and NaN are left out."""
+def plain_mean(value: Column) -> Column:
+    """Mean of quotients, rates and shares; nulls and NaN are left out."""
+    return F.avg(F.when(~F.isnan(value), value))
+
+
+def grid_mean(value: Column, digits: int) -> Column:
+    """Mean of values that are on a grid already, say rounded percentages; in any order the same."""
     counted = F.count(F.when(~F.isnan(value), value))
-    return F.try_divide(exact_total(value).cast("double"), counted.cast("double"))
+    return F.try_divide(grid_total(value, digits), counted.cast("double"))
 
 
 def mean(df: DataFrame, measure: str) -> Column:
-    """Mean of a measure of ``df`` from its exact sum."""
+    """Mean of a measure of ``df``."""
     if _is_floating(df.schema[measure].dataType):
-        return exact_mean(F.col(measure).cast("double"))
+        return plain_mean(F.col(measure).cast("double"))
     return ratio(F.sum(measure), F.count(measure))

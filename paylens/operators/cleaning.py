@@ -38,9 +38,17 @@ def standardise(df: DataFrame, column: str, aliases: Mapping[str, str]) -> DataF
 def standardise_from(df: DataFrame, column: str, aliases: DataFrame) -> DataFrame:
     """The same from a table (``alias``, ``name``) when the list is too long to write down.
 
-    Spark broadcasts the table if its measured size allows, and joins by shuffle otherwise.
+    An alias may be repeated, but not with another name: that raises, for it would
+    double rows. Spark broadcasts the table if its measured size allows, and joins
+    by shuffle otherwise.
     """
-    lookup = aliases.select(F.col("alias").alias(column), F.col("name").alias("__name"))
+    names = aliases.groupBy(F.col("alias").alias(column)).agg(
+        F.min("name").alias("__low"), F.max("name").alias("__high")
+    )
+    clash = F.raise_error(F.concat(F.lit("alias with several names: "), F.col(column).cast("string")))
+    lookup = names.select(
+        column, F.when(F.col("__low").eqNullSafe(F.col("__high")), F.col("__low")).otherwise(clash).alias("__name")
+    )
     return df.join(lookup, column, "left").select(
         *[F.coalesce("__name", c).alias(c) if c == column else F.col(c) for c in df.columns]
     )

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from paylens.functions import exact_mean, growth_pct, relative_growth_pct, total
+from paylens.functions import grid_mean, growth_pct, relative_growth_pct, total
 from paylens.operators.common import (
     both_ends,
     bottom_rows,
@@ -64,7 +64,7 @@ def avg_growth_of_extremes(
         yearly.filter(F.col(period) >= since)
         .join(extremes, key, "left_semi")
         .groupBy(key)
-        .agg(exact_mean(F.col("growth")).alias("avg_growth_pct"))
+        .agg(grid_mean(F.col("growth"), 2).alias("avg_growth_pct"))
     )
     best = top_rows(mean, "avg_growth_pct", n, [key])
     return best.fillna(0.0, subset=["avg_growth_pct"])
@@ -169,8 +169,8 @@ def consistent_growth(
     means = (
         paired.groupBy(key)
         .agg(
-            exact_mean(F.col("__left")).alias("left_mean"),
-            exact_mean(F.col("__right")).alias("right_mean"),
+            grid_mean(F.col("__left"), 2).alias("left_mean"),
+            grid_mean(F.col("__right"), 2).alias("right_mean"),
         )
         .filter((F.col("left_mean") > 0) & (F.col("right_mean") > 0))
         .select(

@@ -43,9 +43,18 @@ def preview(df: DataFrame, n: int, order: Sequence[str]) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
-def random_preview(df: DataFrame, n: int, seed: int | None = None) -> DataFrame:
-    """``n`` rows drawn at random without replacement."""
-    return df.orderBy(F.rand(seed)).limit(n)
+def random_preview(
+    df: DataFrame, n: int, seed: int | None = None, key: Sequence[str] | None = None
+) -> DataFrame:
+    """``n`` rows drawn at random without replacement.
+
+    With a seed, the draw depends on it and on the key's values (all columns if
+    none is named) only, not on partitions.
+    """
+    if seed is None:
+        return df.orderBy(F.rand()).limit(n)
+    columns = list(key or df.columns)
+    return df.orderBy(F.xxhash64(*columns, F.lit(seed)), *columns).limit(n)
 
 
 def members(df: DataFrame, column: str, values: Sequence[str]) -> DataFrame:

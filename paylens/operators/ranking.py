@@ -35,20 +35,30 @@ def topk_sum(
     return best if digits is None else best.withColumn(name, F.round(name, digits))
 
 
-def shuffled(df: DataFrame, seed: int) -> DataFrame:
-    """Rows of a small report in a reproducible random order."""
-    return df.orderBy(F.rand(seed))
+def shuffled(df: DataFrame, seed: int, key: Sequence[str] | None = None) -> DataFrame:
+    """Rows of a small report in a random order that only the seed and the key's values decide."""
+    columns = list(key or df.columns)
+    return df.orderBy(F.xxhash64(*columns, F.lit(seed)), *columns)
 
 
 def top_bottom(df: DataFrame, key: str, measure: str, k: int, *, name: str) -> DataFrame:
     """Keys ranked within ``k`` from either end, ties kept, each key once."""
     summed = totals(df, [key], {measure: name})
-    ends = both_ends(summed, name, k, with_ties=True)
-    # A key in both ends collapses to one row, counted as top.
+    # The k-th value from either end decides, so no window has to hold all tied keys:
+    # each threshold comes from k rows a task.
+    value = F.col(name)
+    best = summed.select(name).orderBy(value.desc_nulls_last()).limit(k)
+    worst = summed.select(name).orderBy(value.asc_nulls_first()).limit(k)
+    high = best.agg(F.struct(F.min(name).alias("v"), F.bool_or(value.isNull()).alias("missing"))).scalar()
+    low = worst.agg(F.max(name)).scalar()
+    # Nulls are last from the top and first from the bottom. A key at both ends counts as top.
+    is_top = F.coalesce(value >= high["v"], value.isNull() & high["missing"], F.lit(False))
+    is_bottom = value.isNull() | F.coalesce(value <= low, F.lit(False))
     return (
-        ends.groupBy(key, name)
-        .agg(F.max("side").alias("side"))
-        .orderBy(F.col(name).desc_nulls_last(), F.col(key))
+        summed.withColumn("side", F.when(is_top, "top").when(is_bottom, "bottom"))
+        .where("side is not null")
+        .select(key, name, "side")
+        .orderBy(value.desc_nulls_last(), F.col(key))
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paylens.functions import exact_mean, ratio, total
+from paylens.functions import plain_mean, ratio, total
 from paylens.operators.common import totals
 
 # Fixed value: one crore.
@@ -52,12 +52,12 @@ def state_metrics(
     df: DataFrame, key: str, measures: list[str], *, mean_of: tuple[str, str] | None = None,
     mean_name: str = "average_value",
 ) -> DataFrame:
-    """Sums per state and, if asked, the unweighted mean of the rows' own quotients."""
+    """Sums per state and, if asked, the unweighted mean of the rows' own quotients; in no order."""
     sums = [total(df, m).alias(m) for m in measures]
     if mean_of is not None:
         quotient = ratio(F.col(mean_of[0]), F.col(mean_of[1]))
-        sums.append(exact_mean(quotient).alias(mean_name))
-    return df.groupBy(key).agg(*sums).orderBy(key)
+        sums.append(plain_mean(quotient).alias(mean_name))
+    return df.groupBy(key).agg(*sums)
 
 
 def color_bounds(metrics: DataFrame, measure: str, low: float = 0.05, high: float = 0.95):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paylens.functions import exact_mean, percent_of
+from paylens.functions import plain_mean, percent_of
 from paylens.operators.common import bottom_rows, totals
 
 
@@ -22,7 +22,7 @@ def avg_share(
     )
     return (
         shares.groupBy(category)
-        .agg(F.round(exact_mean(F.col("__share")), digits).alias(name))
+        .agg(F.round(plain_mean(F.col("__share")), digits).alias(name))
         .orderBy(category)
     )
 

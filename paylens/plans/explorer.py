@@ -98,6 +98,11 @@ def top_pincodes(
 
 
 def state_metrics(model: FactModel, dataset: str, year: int, quarter: int) -> DataFrame:
+    return _state_metrics(model, dataset, year, quarter).orderBy("State")
+
+
+def _state_metrics(model: FactModel, dataset: str, year: int, quarter: int) -> DataFrame:
+    """The report before it is put in order."""
     d = DATASETS[dataset]
     rows = model.table(d.map_table, years=(year, year), quarter=quarter)
     if d.count is None:
@@ -106,7 +111,7 @@ def state_metrics(model: FactModel, dataset: str, year: int, quarter: int) -> Da
 
 
 def color_bounds(model: FactModel, dataset: str, year: int, quarter: int) -> DataFrame:
-    metrics = state_metrics(model, dataset, year, quarter)
+    metrics = _state_metrics(model, dataset, year, quarter)
     return rollup.color_bounds(metrics, DATASETS[dataset].value)
 
 
@@ -117,13 +122,21 @@ def explore(
     quarter: int | None = None,
     *,
     features: DataFrame | None = None,
+    store_at: str | None = None,
 ) -> dict[str, DataFrame]:
-    """Every report of one slice, lazily; ``features`` adds the map coverage."""
+    """Every report of one slice, lazily; ``features`` adds the map coverage.
+
+    With ``store_at`` the dataset's tables are first written there, once, by year
+    and quarter; every report then reads one partition of them. Without a year
+    or quarter, one small query finds the latest.
+    """
+    d = DATASETS[dataset]
+    if store_at is not None:
+        model = model.stored(store_at, *[t for t in (d.map_table, d.top_table, d.category_table) if t])
     if year is None or quarter is None:
         last_year, first_quarter = default_selection(model, dataset)
         year = last_year if year is None else year
         quarter = first_quarter if quarter is None else quarter
-    d = DATASETS[dataset]
     reports = {
         "kpis": kpis(model, dataset, year, quarter),
         "top_districts": top_districts(model, dataset, year, quarter),
@@ -135,7 +148,7 @@ def explore(
     if d.top_table is not None:
         reports["top_pincodes"] = top_pincodes(model, dataset, year, quarter)
     if features is not None:
-        metrics = reports["state_metrics"]
+        metrics = _state_metrics(model, dataset, year, quarter)
         reports["geo_coverage"] = rollup.geo_coverage(metrics, features, "State")
         reports["geo_unmatched"] = rollup.geo_unmatched(metrics, features, "State")
     return reports

@@ -39,10 +39,12 @@ def load_tables(
     root: str | None = None,
     database: str | None = None,
     at_once: int = 4,
+    report: bool = False,
 ) -> dict[str, str | None]:
-    """Create or replace every table; returns each one's error, or None.
+    """Create or replace every table.
 
-    A table that fails is reported and the others still load. The writes do not
+    A table that fails does not keep the others from loading; then all errors are
+    raised together, or returned by table if ``report`` is set (None: loaded). The writes do not
     depend on each other, so a few jobs are submitted together: one table's last
     tasks need not leave the cluster idle.
     """
@@ -58,12 +60,20 @@ def load_tables(
         return None
 
     with ThreadPoolExecutor(max_workers=at_once) as pool:
-        return dict(zip(tables, pool.map(load, tables)))
+        errors = dict(zip(tables, pool.map(load, tables)))
+    failed = {name: error for name, error in errors.items() if error}
+    if failed and not report:
+        raise RuntimeError(f"tables not stored: {failed}")
+    return errors
 
 
-def register_views(tables: Mapping[str, DataFrame]) -> list[str]:
-    """Make the tables known by name in the session; returns the names found there."""
+def register_views(tables: Mapping[str, DataFrame], prefix: str = "") -> list[str]:
+    """Make the tables known by name in the session; returns the names found there.
+
+    A prefix keeps them apart from the session's own views.
+    """
     for name, df in tables.items():
-        df.createOrReplaceTempView(name)
+        df.createOrReplaceTempView(prefix + name)
     session = next(iter(tables.values())).sparkSession
-    return sorted(t.name for t in session.catalog.listTables() if t.name in tables)
+    known = {prefix + name for name in tables}
+    return sorted(t.name for t in session.catalog.listTables() if t.name in known)

@@ -12,12 +12,20 @@ _SCHEMA = "features array<struct<properties: map<string, string>>>"
 
 
 def parse_features(
-    docs: DataFrame, key: str = "State", name_property: str = NAME_PROPERTY
+    docs: DataFrame,
+    key: str = "State",
+    name_property: str = NAME_PROPERTY,
+    mode: str = "FAILFAST",
 ) -> DataFrame:
-    """Names in feature collections given as text in ``value``; geometry is never parsed."""
-    parsed = docs.select(
-        F.explode(F.from_json("value", _SCHEMA)["features"]).alias("feature")
-    )
+    """Names in feature collections given as text in ``value``; geometry is never parsed.
+
+    A text that is no JSON, or no feature collection, stops the read; with
+    ``mode="PERMISSIVE"`` it has no features.
+    """
+    features = F.from_json("value", _SCHEMA, {"mode": mode})["features"]
+    if mode.upper() == "FAILFAST":
+        features = F.coalesce(features, F.raise_error(F.lit("a map file without features")))
+    parsed = docs.select(F.explode(features).alias("feature"))
     return parsed.select(F.col("feature.properties")[name_property].alias(key))
 
 

@@ -3,6 +3,11 @@
 A drop is read as (path, value) rows, one row per document. The ``parse``
 functions work on such rows wherever they come from, in batch or streaming, and
 are narrow: executors read, parse and explode documents without a shuffle.
+
+A document that is no JSON, is cut off or holds a value of another type stops
+the read. With ``mode="PERMISSIVE"`` such documents yield no rows, or nulls;
+``rejected_documents`` lists them. A document that lacks a list is no error,
+except in the three pincode tables.
 """
 
 from __future__ import annotations
@@ -18,12 +23,22 @@ from paylens import schemas
 _KEY_PATTERN = r"/([^/]+)/(\d{4})/(\d)\.json$"
 
 
-def documents(spark: SparkSession, root: str) -> DataFrame:
-    """Every JSON document below ``root``, whole, with its path."""
+def documents(
+    spark: SparkSession, root: str, file_filter: str = "*.json", key_pattern: str | None = None
+) -> DataFrame:
+    """Every JSON document below ``root``, whole, with its path.
+
+    Drops laid out otherwise give a filter of file names and a pattern whose
+    three groups find state, year and quarter in a path.
+    """
     texts = spark.read.text(
-        root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.json"
+        root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=file_filter
     )
-    return texts.select(F.col("_metadata.file_path").alias("path"), "value")
+    path = F.col("_metadata.file_path")
+    if key_pattern is not None:
+        keys = [F.regexp_extract(path, key_pattern, i) for i in (1, 2, 3)]
+        path = F.concat(F.lit("/"), F.concat_ws("/", *keys), F.lit(".json"))
+    return texts.select(path.alias("path"), "value")
 
 
 def period_keys(path: Column) -> list[Column]:
@@ -104,15 +119,15 @@ def _top_metrics(docs: DataFrame, name: str, mode: str, label: str) -> DataFrame
     )
 
 
-def parse_agg_trans(docs: DataFrame, mode: str = "PERMISSIVE") -> DataFrame:
+def parse_agg_trans(docs: DataFrame, mode: str = "FAILFAST") -> DataFrame:
     return _conformed(_instruments(docs, "agg_trans", mode, "Transaction"), "agg_trans")
 
 
-def parse_agg_ins(docs: DataFrame, mode: str = "PERMISSIVE") -> DataFrame:
+def parse_agg_ins(docs: DataFrame, mode: str = "FAILFAST") -> DataFrame:
     return _conformed(_instruments(docs, "agg_ins", mode, "Insurance"), "agg_ins")
 
 
-def parse_agg_user(docs: DataFrame, mode: str = "PERMISSIVE") -> DataFrame:
+def parse_agg_user(docs: DataFrame, mode: str = "FAILFAST") -> DataFrame:
     rows = _parsed(docs, "agg_user", mode).select(
         "State", "Year", "Quarter", F.explode("doc.data.usersByDevice").alias("item")
     )
@@ -127,17 +142,17 @@ def parse_agg_user(docs: DataFrame, mode: str = "PERMISSIVE") -> DataFrame:
     return _conformed(brands, "agg_user")
 
 
-def parse_map_trans(docs: DataFrame, mode: str = "PERMISSIVE") -> DataFrame:
+def parse_map_trans(docs: DataFrame, mode: str = "FAILFAST") -> DataFrame:
     rows = _hover_lists(docs, "map_trans", mode, "Transaction", keep_empty=False)
     return _conformed(rows, "map_trans")
 
 
-def parse_map_ins(docs: DataFrame, mode: str = "PERMISSIVE") -> DataFrame:
+def parse_map_ins(docs: DataFrame, mode: str = "FAILFAST") -> DataFrame:
     rows = _hover_lists(docs, "map_ins", mode, "Insurance", keep_empty=True)
     return _conformed(rows, "map_ins")
 
 
-def parse_map_user(docs: DataFrame, mode: str = "PERMISSIVE") -> DataFrame:
+def parse_map_user(docs: DataFrame, mode: str = "FAILFAST") -> DataFrame:
     rows = _parsed(docs, "map_user", mode).select(
         "State", "Year", "Quarter", F.explode("doc.data.hoverData").alias("District_name", "item")
     )
@@ -184,6 +199,17 @@ PARSERS: dict[str, Callable[..., DataFrame]] = {
 }
 
 
+def rejected_documents(docs: DataFrame, name: str) -> DataFrame:
+    """(path, value) of the documents of table ``name`` that stop a read, and a permissive one skips."""
+    schema = f"{schemas.DOCUMENTS[name]}, __bad string"
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__bad"}
+    parsed = docs.withColumn("__doc", F.from_json("value", schema, options))
+    wrong = F.col("__doc.__bad").isNotNull() | F.col("__doc").isNull()
+    if name.startswith("top_"):
+        wrong = wrong | F.col("__doc.data.pincodes").isNull()
+    return parsed.where(wrong).select("path", "value")
+
+
 def table_root(drop_root: str, name: str) -> str:
     return f"{drop_root.rstrip('/')}/{schemas.DROP_PATHS[name]}"
 

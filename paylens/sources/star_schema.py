@@ -6,10 +6,11 @@ opens are the lineitems of an order.
 
 Notes on scale. Fact rows are joined to dimensions by key with no hints: Spark
 broadcasts a dimension only where its measured size is below the session's
-threshold, and otherwise shuffles, with skewed keys split at run time. Wherever
-the grain allows, facts are summed per join key *before* the join, so that a
-customer, supplier or order holding a large part of all rows is folded to a few
-rows inside each map task. Money is summed as whole cents: exact in any order.
+threshold, and otherwise shuffles, with skewed keys split at run time. ``top_*``,
+``agg_ins`` and the users' tables sum facts per join key *before* the join, so that
+a customer, supplier or order holding a large part of all rows is folded to a few
+rows inside each map task. ``agg_trans``, ``map_trans``, ``map_ins`` and ``agg_user``
+join raw rows: folding first would add an exchange and reduce little. Money is summed as whole cents: exact in any order.
 Dimension keys are unique, as in any star schema.
 """
 

@@ -30,9 +30,9 @@ def read_parquet_table(spark: SparkSession, path: str, name: str) -> DataFrame:
     return frame.select(*schemas.column_names(name))
 
 
-def scan_table(spark: SparkSession, name: str) -> DataFrame:
-    """A table or view of the session by its name."""
-    return spark.table(_known(name)).select(*schemas.column_names(name))
+def scan_table(spark: SparkSession, name: str, view: str | None = None) -> DataFrame:
+    """A table or view of the session by its name, or table ``name`` under the name ``view``."""
+    return spark.table(view or _known(name)).select(*schemas.column_names(_known(name)))
 
 
 def slice_period(
@@ -45,10 +45,12 @@ def slice_period(
     return df if quarter is None else df.filter(F.col("Quarter") == quarter)
 
 
-def read_slice(spark: SparkSession, name: str, year: int, quarter: int) -> DataFrame:
+def read_slice(
+    spark: SparkSession, name: str, year: int, quarter: int, view: str | None = None
+) -> DataFrame:
     """One quarter of a named table, its values bound as parameters."""
     return spark.sql(
         "SELECT * FROM {table} WHERE Year = :year AND Quarter = :quarter",
         args={"year": year, "quarter": quarter},
-        table=scan_table(spark, name),
+        table=scan_table(spark, name, view),
     )

@@ -1,53 +1,81 @@
-"""Load only the documents that are new since the last run.
+"""Load only the documents that are new or revised since the last run.
 
-The same parsing and cleaning as the batch load, over a file stream. The
-checkpoint remembers which documents are done, so a run that is cut short
-resumes without repeating or losing rows.
+A ledger names each loaded document by path, modification time and length. A
+run lists the drop, takes what the ledger does not hold, however old, replaces
+the rows of those states and quarters, and then adds to the ledger. A run that is
+cut short before that is done again from the same listing; replacing twice
+changes nothing. Documents that vanish keep their rows.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
 
 from paylens import schemas
+from paylens.functions import title_case
 from paylens.operators.cleaning import clean_table
-from paylens.sources.json_drops import PARSERS, table_root
+from paylens.sources.json_drops import PARSERS, period_keys, table_root
 
+_LEDGER = "path string, modificationTime timestamp, length bigint"
 
-def stream_documents(
-    spark: SparkSession, root: str, max_files_per_trigger: int | None = None
-) -> DataFrame:
-    reader = (
-        spark.readStream.schema("value string")
-        .option("wholetext", True)
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.json")
-    )
-    if max_files_per_trigger is not None:
-        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return reader.format("text").load(root).select(
-        F.col("_metadata.file_path").alias("path"), "value"
-    )
+
+def listed_documents(spark: SparkSession, root: str) -> DataFrame:
+    """Path, modification time and length of each document; contents are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    return files.option("pathGlobFilter", "*.json").load(root).select("path", "modificationTime", "length")
+
+
+def _stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A table that may not be there yet."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
 
 
 def load_new_documents(
-    spark: SparkSession,
-    drop_root: str,
-    name: str,
-    target_root: str,
-    checkpoint_root: str,
-    max_files_per_trigger: int | None = None,
-) -> StreamingQuery:
-    """Append the new rows of one table and stop when there is nothing left."""
-    docs = stream_documents(spark, table_root(drop_root, name), max_files_per_trigger)
+    spark: SparkSession, drop_root: str, name: str, target_root: str, ledger_root: str
+) -> int:
+    """Bring one stored table up to date; returns how many documents were loaded.
+
+    The new documents' paths pass through the driver, as every list of files that
+    Spark reads does.
+    """
+    target, ledger = (f"{root.rstrip('/')}/{name}" for root in (target_root, ledger_root))
+    known = _stored(spark, ledger, _LEDGER)
+    new = listed_documents(spark, table_root(drop_root, name)).join(
+        known, ["path", "modificationTime", "length"], "left_anti"
+    )
+    found = new.collect()
+    if not found:
+        return 0
+    texts = spark.read.text([row["path"] for row in found], wholetext=True)
+    docs = texts.select(F.col("_metadata.file_path").alias("path"), "value")
     rows = clean_table(PARSERS[name](docs), name)
-    return (
-        rows.writeStream.format("parquet")
+    keys = (
+        spark.createDataFrame(found, _LEDGER)
+        .select(*period_keys(F.col("path")))
+        .withColumn("State", title_case(F.col("State")))
+        .distinct()
+    )
+    table = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schemas.TABLES[name].fields)
+    # Other states' rows of the quarters concerned stay; whole quarters are written anew.
+    kept = (
+        _stored(spark, target, table)
+        .join(keys.select(*schemas.PERIOD).distinct(), list(schemas.PERIOD), "left_semi")
+        .join(keys, ["State", *schemas.PERIOD], "left_anti")
+    )
+    columns = schemas.column_names(name)
+    merged = kept.select(*columns).unionByName(rows.select(*columns))
+    (
+        merged.write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*schemas.PERIOD)
-        .option("path", f"{target_root.rstrip('/')}/{name}")
-        .option("checkpointLocation", f"{checkpoint_root.rstrip('/')}/{name}")
-        .trigger(availableNow=True)
-        .start()
+        .parquet(target)
     )
+    spark.createDataFrame(found, _LEDGER).write.mode("append").parquet(ledger)
+    return len(found)

@@ -95,6 +95,15 @@ def test_aliases_from_a_table_equal_aliases_by_hand(spark, rows):
     assert standardise_from(df, "d", table).columns == df.columns
 
 
+def test_an_alias_of_several_names_raises_and_a_repeated_one_does_not(spark, rows):
+    df = spark.createDataFrame([("a",), ("b",)], "d string")
+    twice = spark.createDataFrame([("a", "A"), ("a", "A")], "alias string, name string")
+    assert sorted(rows(standardise_from(df, "d", twice))) == [("A",), ("b",)]
+    clash = spark.createDataFrame([("a", "A"), ("a", "B")], "alias string, name string")
+    with pytest.raises(Exception, match="several names"):
+        standardise_from(df, "d", clash).collect()
+
+
 def test_null_profile_counts_nulls_and_nan(spark, rows):
     df = spark.createDataFrame(
         [(None, 1, 1.0), ("a", None, float("nan")), ("b", 2, None)], "s string, n bigint, v double"
@@ -122,4 +131,5 @@ def test_previews(spark, rows):
     assert rows(preview(df, 2, ["id"])) == [(0,), (1,)]
     drawn = rows(random_preview(df, 10, seed=1))
     assert len(set(drawn)) == 10 and drawn == rows(random_preview(df, 10, seed=1))
+    assert drawn == rows(random_preview(df.repartition(7), 10, seed=1))
     assert random_preview(df, 500).count() == 100

@@ -2,7 +2,14 @@ import pytest
 
 from paylens import schemas
 from paylens.plans.model import FactModel
-from paylens.sources.json_drops import PARSERS, documents, read_drop_table, table_root
+from paylens.sources.geo import parse_features
+from paylens.sources.json_drops import (
+    PARSERS,
+    documents,
+    read_drop_table,
+    rejected_documents,
+    table_root,
+)
 from tests.drop import write_drop
 
 ISLANDS, JK, TAMIL = "andaman-&-nicobar-islands", "jammu-&-kashmir", "tamil-nadu"
@@ -90,6 +97,29 @@ def test_top_tables_fail_on_a_malformed_document_unless_told_to_skip(spark, name
     assert PARSERS[name](docs, "PERMISSIVE").collect() == []
 
 
+@pytest.mark.parametrize("name", list(schemas.TABLES))
+@pytest.mark.parametrize("value", ['{"data": {"transactionData": [{"na', "no json", '{"data": 5}'])
+def test_corrupt_documents_stop_every_table(spark, name, value):
+    docs = spark.createDataFrame([("/state/x/2020/1.json", value)], "path string, value string")
+    with pytest.raises(Exception):
+        PARSERS[name](docs).collect()
+    assert [r.value for r in rejected_documents(docs, name).collect()] == [value]
+    assert all(r.Year == 2020 for r in PARSERS[name](docs, "PERMISSIVE").collect())
+
+
+def test_good_documents_are_not_rejected(spark, drop):
+    for name in schemas.TABLES:
+        assert rejected_documents(documents(spark, table_root(drop, name)), name).count() == 0
+
+
+@pytest.mark.parametrize("value", ['{"features": [{"prop', "no json", '{"type": "FeatureCollection"}'])
+def test_a_corrupt_map_file_stops(spark, value):
+    docs = spark.createDataFrame([(value,)], "value string")
+    with pytest.raises(Exception):
+        parse_features(docs).collect()
+    assert parse_features(docs, mode="PERMISSIVE").count() == 0
+
+
 def test_only_json_files_are_documents(spark, tmp_path):
     root = write_drop(tmp_path)
     folder = table_root(root, "top_ins")

@@ -149,6 +149,25 @@ def test_nested_share_of_nothing_is_null(spark, rows):
 
 def test_shuffle_is_a_reproducible_permutation(spark, rows):
     df = spark.range(20).coalesce(1)
-    once, again = rows(shuffled(df, 5)), rows(shuffled(df, 5))
+    once, again = rows(shuffled(df, 5)), rows(shuffled(df.repartition(3), 5))
     assert once == again != rows(df)
     assert sorted(once) == rows(df)
+    assert rows(shuffled(df, 6)) != once
+
+
+def test_top_bottom_of_missing_totals(spark, rows):
+    df = spark.createDataFrame([("a", 2), ("b", None), ("c", None), ("d", 1)], "k string, n bigint")
+    assert sorted(rows(top_bottom(df, "k", "n", 1, name="t"))) == [
+        ("a", 2, "top"), ("b", None, "bottom"), ("c", None, "bottom"),
+    ]
+    assert sorted(rows(top_bottom(df.where("n is null"), "k", "n", 1, name="t"))) == [
+        ("b", None, "top"), ("c", None, "top"),
+    ]
+
+
+def test_many_tied_keys_need_no_common_window(spark):
+    df = spark.range(1000).selectExpr("cast(id as string) as k", "1 as n")
+    result = top_bottom(df, "k", "n", 3, name="t")
+    assert result.count() == 1000
+    plan = result._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Join" not in plan

@@ -1,6 +1,11 @@
+import os
+import time
+from pathlib import Path
+
 import pytest
 
 from paylens import schemas
+from paylens.schemas import DROP_PATHS
 from paylens.plans.load import export_csv, load_drop
 from paylens.plans.model import FactModel
 from paylens.session import shared_folder
@@ -8,7 +13,7 @@ from paylens.sinks import load_tables, register_views, write_csv, write_table
 from paylens.sources.star_schema import star_model
 from paylens.sources.tables import read_csv_table, read_parquet_table, read_slice, scan_table
 from paylens.streaming.incremental import load_new_documents
-from tests.drop import write_drop
+from tests.drop import _write, pincode, write_drop
 
 
 def same(left, right):
@@ -79,9 +84,12 @@ def test_catalog_tables_are_listed_read_and_sliced(spark, drop, rows):
 def test_one_failing_table_does_not_stop_the_others(spark, drop, tmp_path):
     direct = FactModel.from_drop(spark, drop)
     broken = direct.table("agg_ins").withColumnRenamed("Year", "Jahr")
-    outcome = load_tables({"agg_ins": broken, "top_ins": direct.table("top_ins")}, str(tmp_path))
-    assert outcome["agg_ins"] and outcome["top_ins"] is None
+    both = {"agg_ins": broken, "top_ins": direct.table("top_ins")}
+    with pytest.raises(RuntimeError, match="agg_ins"):
+        load_tables(both, str(tmp_path))
     assert read_parquet_table(spark, f"{tmp_path}/top_ins", "top_ins").count() == 1
+    outcome = load_tables(both, str(tmp_path), report=True)
+    assert outcome["agg_ins"] and outcome["top_ins"] is None
 
 
 def test_unknown_names_are_refused(spark):
@@ -116,26 +124,53 @@ def test_shared_folder_is_the_one_the_session_names(spark):
     assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
 
 
+def test_without_a_named_folder_the_warehouse_is_used(spark):
+    class Session:
+        class conf:
+            @staticmethod
+            def get(key, default=None):
+                return {"spark.sql.warehouse.dir": "/shared/warehouse/"}.get(key, default)
+
+    assert shared_folder(Session) == "/shared/warehouse/_shared"
+
+
 @pytest.mark.parametrize("name", ["agg_trans", "map_ins", "map_user", "top_user"])
 def test_incremental_load_equals_the_batch_load(spark, tmp_path, name):
-    drop, target, marks = (str(tmp_path / d) for d in ("drop", "target", "marks"))
+    drop, target, ledger = (str(tmp_path / d) for d in ("drop", "target", "ledger"))
     write_drop(drop)
-    load_new_documents(spark, drop, name, target, marks, max_files_per_trigger=1).awaitTermination()
+    assert load_new_documents(spark, drop, name, target, ledger) > 0
     batch = FactModel.from_drop(spark, drop).table(name)
-    stored = FactModel.from_parquet(spark, target).table(name)
-    same(stored, batch)
+    same(FactModel.from_parquet(spark, target).table(name), batch)
     # Nothing new, nothing added.
-    load_new_documents(spark, drop, name, target, marks).awaitTermination()
-    same(stored, batch)
-
+    assert load_new_documents(spark, drop, name, target, ledger) == 0
+    same(FactModel.from_parquet(spark, target).table(name), batch)
 
-def test_incremental_load_picks_up_a_new_quarter(spark, tmp_path):
-    from tests.drop import _write, pincode
 
-    drop, target, marks = (str(tmp_path / d) for d in ("drop", "target", "marks"))
+def test_incremental_load_takes_old_and_revised_documents(spark, tmp_path):
+    drop, target, ledger = (str(tmp_path / d) for d in ("drop", "target", "ledger"))
     write_drop(drop)
-    load_new_documents(spark, drop, "top_ins", target, marks).awaitTermination()
-    _write(drop, "top_ins", "tamil-nadu", 2020, 3, {"data": {"pincodes": [pincode("600009", 5, 2.0)]}})
-    load_new_documents(spark, drop, "top_ins", target, marks).awaitTermination()
-    stored = FactModel.from_parquet(spark, target).table("top_ins")
-    assert sorted(r.Pincode for r in stored.collect()) == ["600001", "600009"]
+
+    def put(state, quarter, *entries):
+        _write(drop, "top_ins", state, 2020, quarter, {"data": {"pincodes": [pincode(*e) for e in entries]}})
+        return Path(drop) / DROP_PATHS["top_ins"] / state / "2020" / f"{quarter}.json"
+
+    def stored():
+        rows = FactModel.from_parquet(spark, target).table("top_ins").collect()
+        return sorted((r.State, r.Quarter, r.Pincode, r.Insurance_count) for r in rows)
+
+    put("goa", 2, ("700001", 3, 1.0))
+    assert load_new_documents(spark, drop, "top_ins", target, ledger) == 2
+    # A document that is far older than those loaded, and a revised one.
+    old = put("tamil-nadu", 3, ("600009", 5, 2.0))
+    month = 30 * 24 * 3600
+    os.utime(old, (time.time() - month, time.time() - month))
+    put("tamil-nadu", 2, ("600001", 7, 9.0), ("600002", 1, 1.0))
+    assert load_new_documents(spark, drop, "top_ins", target, ledger) == 2
+    assert stored() == [
+        ("Goa", 2, "700001", 3), ("Tamil Nadu", 2, "600001", 7), ("Tamil Nadu", 2, "600002", 1),
+        ("Tamil Nadu", 3, "600009", 5),
+    ]
+    # A revision without entries takes the old rows away.
+    put("tamil-nadu", 2)
+    assert load_new_documents(spark, drop, "top_ins", target, ledger) == 1
+    assert stored() == [("Goa", 2, "700001", 3), ("Tamil Nadu", 3, "600009", 5)]
