@@ -267,5 +267,4 @@ def digest(found: DataFrame) -> DataFrame:
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", F.array_sort("items")), 256).alias("items_sha256"),
         (F.size("spans") > 0).alias("contaminated"),
-        F.col("longest").alias("longest_match"),
     )
