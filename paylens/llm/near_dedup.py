@@ -10,8 +10,8 @@
 3. *Collisions.* Postings of one pair meet in a task, in blocks if there are
    many. There the agreements of two signatures are counted, and nodes with T
    or more are joined to groups; a group's tree is returned, not all its pairs.
-   T lies over five standard deviations below what a similarity of 0.8 gives:
-   a link is missed with a probability of about 1e-9.
+   T lies five standard deviations below what a similarity of 0.8 gives: a link
+   is missed with a probability of about 3e-8.
 4. *Confirmation.* The full sets of each group meet in a task, again in blocks,
    and are linked by the sizes of their intersections. Here too, nodes that are
    already linked are not compared again, and a tree is returned.
@@ -106,18 +106,32 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataF
     return map_rows(chosen, "doc_id long, n_shingles long, node binary, signature binary", rows)
 
 
+def _short(keys: list[bytes]) -> np.ndarray:
+    """The first 64 bits of keys. Two keys of one short are only compared together more often."""
+    return np.frombuffer(b"".join(k[:8] for k in keys), np.int64)
+
+
 def _postings(nodes: DataFrame) -> DataFrame:
-    """(token, n, node, signature): the rarest coordinate-value pairs of each node, of two nodes at least."""
+    """(token, n, node, signature): the rarest coordinate-value pairs of each node, of two nodes at least.
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
+    From here to the groups, nodes go by short keys, and signatures by the lower
+    halves of their values: this is most of what is shuffled.
+    """
+
+    def parts(batches: Iterator[pa.RecordBatch], spread: bool) -> Iterator[dict[str, list]]:
         lanes = np.arange(COORDINATES, dtype=np.int64) << np.int64(32)
         for batch in batches:
-            keys = batch.column(0)
-            values = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).astype(np.int64)
-            tokens = (values.reshape(len(keys), COORDINATES) + lanes).ravel()
-            yield {"token": pa.array(tokens), "node": keys.take(pa.array(np.repeat(np.arange(len(keys)), COORDINATES)))}
-
-    tokens = map_rows(nodes.select("node", "signature"), "token long, node binary", rows)
+            shorts = _short(batch.column(0).to_pylist())
+            values = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, COORDINATES)
+            if spread:
+                tokens = (values.astype(np.int64) + lanes).ravel()
+                yield {"token": pa.array(tokens), "node": pa.array(np.repeat(shorts, COORDINATES))}
+            else:
+                yield {"node": pa.array(shorts), "signature": [v.tobytes() for v in values.astype(np.uint16)]}
+
+    chosen = nodes.select("node", "signature")
+    tokens = map_rows(chosen, "token long, node long", lambda b: parts(b, True))
+    compact = map_rows(chosen, "node long, signature binary", lambda b: parts(b, False))
     frequent = tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
     shared = tokens.join(frequent, "token").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("tokens"))
     # Pairs of one node only come first in the order; they use up the prefix.
@@ -128,7 +142,7 @@ def _postings(nodes: DataFrame) -> DataFrame:
         .checkpoint()
     )
     sizes = prefix.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
-    return prefix.join(sizes, "token").join(nodes.select("node", "signature"), "node")
+    return prefix.join(sizes, "token").join(compact, "node")
 
 
 def _in_blocks(rows: DataFrame, key: str, blocks: str) -> DataFrame:
@@ -139,7 +153,7 @@ def _in_blocks(rows: DataFrame, key: str, blocks: str) -> DataFrame:
     return dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("own", "other")
 
 
-def _groups(batches: Iterator[pa.RecordBatch], payload: str) -> Iterator[tuple[list[bytes], list[bytes]]]:
+def _groups(batches: Iterator[pa.RecordBatch], payload: str) -> Iterator[tuple[list, list[bytes]]]:
     """(nodes, payloads) of each run of equal (key, i, j) in sorted rows."""
     last, nodes, values = None, [], []
     for batch in batches:
@@ -154,7 +168,7 @@ def _groups(batches: Iterator[pa.RecordBatch], payload: str) -> Iterator[tuple[l
         yield nodes, values
 
 
-def _trees(nodes: list[bytes], linked) -> list[tuple[bytes, bytes]]:
+def _trees(nodes: list, linked) -> list[tuple]:
     """Edges to the least node of each group; ``linked(x, rest)`` tells which of the rest x is linked with."""
     order = sorted(range(len(nodes)), key=nodes.__getitem__)
     rest = np.array(order)
@@ -173,7 +187,7 @@ def _trees(nodes: list[bytes], linked) -> list[tuple[bytes, bytes]]:
 
 
 def agreeing(signatures: list[bytes]):
-    table = np.array([np.frombuffer(s, np.uint32) for s in signatures])
+    table = np.array([np.frombuffer(s, np.uint16) for s in signatures])
 
     def linked(x: int, rest: np.ndarray) -> np.ndarray:
         return (table[rest] == table[x]).sum(1) >= AGREEMENTS
@@ -209,11 +223,11 @@ def overlapping(sets: list[bytes], percent: int):
     return linked
 
 
-def _tree_rows(rows: DataFrame, payload: str, links) -> DataFrame:
+def _tree_rows(rows: DataFrame, payload: str, links, kind: str) -> DataFrame:
     """Edges of the groups of (key, i, j), each found in one task from its sorted rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
-        out: list[tuple[bytes, bytes]] = []
+        out: list[tuple] = []
         for nodes, values in _groups(batches, payload):
             out.extend(_trees(nodes, links(values)))
             if len(out) > 20_000:
@@ -222,12 +236,12 @@ def _tree_rows(rows: DataFrame, payload: str, links) -> DataFrame:
         yield {"a": [e[0] for e in out], "b": [e[1] for e in out]}
 
     dealt = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return map_rows(dealt.select("key", "i", "j", "node", payload), "a binary, b binary", run)
+    return map_rows(dealt.select("key", "i", "j", "node", payload), f"a {kind}, b {kind}", run)
 
 
 def _filter_bits(keys: DataFrame) -> bytes:
     """A filter of fixed size: which leading bits occur among the keys."""
-    place = F.conv(F.hex(F.substring("node", 1, 4)), 16, 10).cast("long").bitwiseAND((1 << FILTER_BITS) - 1)
+    place = F.col("node").bitwiseAND((1 << FILTER_BITS) - 1)
     words = keys.select(place.alias("p")).groupBy((F.col("p") / 32).cast("int").alias("word")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(p % 32 as int))")).alias("bits")
     )
@@ -238,7 +252,7 @@ def _filter_bits(keys: DataFrame) -> bytes:
 
 
 def _sets(docs: DataFrame, text_col: str, width: int, wanted: DataFrame) -> DataFrame:
-    """(node, shingles) of the wanted nodes."""
+    """(node, short, shingles) of the nodes whose short keys are wanted, and of some others."""
     shared = docs.sparkSession.sparkContext.broadcast(_filter_bits(wanted))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
@@ -251,28 +265,29 @@ def _sets(docs: DataFrame, text_col: str, width: int, wanted: DataFrame) -> Data
                 if not len(hashes):
                     continue
                 key = set_key(hashes)
-                p = int.from_bytes(key[:4], "big") & ((1 << FILTER_BITS) - 1)
+                p = int.from_bytes(key[:8], "little") & ((1 << FILTER_BITS) - 1)
                 if table[p // 32] >> np.uint32(p % 32) & 1 and key not in seen:
                     if len(seen) < 100_000:
                         seen.add(key)
                     keys.append(key)
                     sets.append(hashes.tobytes())
-            yield {"node": keys, "shingles": sets}
+            yield {"node": keys, "short": _short(keys).tolist(), "shingles": sets}
 
-    found = map_rows(docs.select(F.col(text_col).alias("text")), "node binary, shingles binary", rows)
-    return found.groupBy("node").agg(F.first("shingles").alias("shingles"))
+    found = map_rows(docs.select(F.col(text_col).alias("text")), "node binary, short long, shingles binary", rows)
+    # Copies meet before their sets are shuffled: a task sends one of each.
+    return found.groupBy("node", "short").agg(F.first("shingles").alias("shingles"))
 
 
 def links(docs: DataFrame, nodes: DataFrame, text_col: str, width: int, percent: int) -> DataFrame:
     """Confirmed links (a, b) between keys of sets: a tree of each component at least."""
     met = _postings(nodes).withColumn("blocks", F.ceil(F.col("n") / BLOCK_NODES))
     met = _in_blocks(met.withColumnRenamed("token", "key"), "key", "blocks")
-    groups = components(_tree_rows(met, "signature", agreeing).distinct(), "a", "b").checkpoint()
-    sets = _sets(docs, text_col, width, groups).join(groups, "node").checkpoint()
+    groups = components(_tree_rows(met, "signature", agreeing, "long").distinct(), "a", "b").checkpoint()
+    sets = _sets(docs, text_col, width, groups).join(groups.withColumnRenamed("node", "short"), "short").checkpoint()
     sizes = sets.groupBy("root").agg(F.sum(F.octet_length("shingles") / 8).alias("n"))
     met = sets.join(sizes, "root").withColumn("blocks", F.ceil(F.col("n") / BLOCK_SHINGLES))
     met = _in_blocks(met.withColumnRenamed("root", "key"), "key", "blocks")
-    return _tree_rows(met, "shingles", lambda values: overlapping(values, percent)).distinct()
+    return _tree_rows(met, "shingles", lambda values: overlapping(values, percent), "binary").distinct()
 
 
 def near_duplicates(
