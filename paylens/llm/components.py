@@ -38,15 +38,8 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """
     prepare(edges.sparkSession)
     named = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null")
-    loops = named.where("a = b").select(F.col("a").alias("node"), F.col("a").alias("near"))
-    now = (
-        named.where("a <> b")
-        .select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("near"))
-        .distinct()
-        .unionByName(loops.distinct())
-        .checkpoint()
-    )
-    loops, now = now.where("node = near"), now.where("node <> near")
+    start = named.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("near")).distinct().checkpoint()
+    loops, now = start.where("node = near"), start.where("node <> near")
     mark = None
     while True:
         following = _starred(_starred(now, large=True), large=False).checkpoint()
