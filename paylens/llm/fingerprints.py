@@ -31,8 +31,10 @@ from paylens.llm.common import map_rows, mixed, prepare, streams
 
 COORDINATES = 64
 LONG_WORD, PIECE = 32, 8
+#: Several ranges a partition even out its size.
+RANGES_A_PARTITION = 4
 #: Words whose draws a worker keeps at a time: 512 bytes each.
-KEPT_WORDS = 150_000
+KEPT_WORDS = 300_000
 
 
 def term_weights(text: str) -> Counter:
@@ -50,7 +52,7 @@ class Sampler:
 
     def __init__(self, coordinates: int = COORDINATES, seed: int = 1, kept: int = KEPT_WORDS):
         self.n, self.kept = coordinates, kept
-        self.lanes = [streams(coordinates, seed + i) for i in range(4)]
+        self.lanes = [streams(coordinates, seed + i) for i in range(3)]
         self.at: dict[tuple[bytes, int], int] = {}
         self.draws = np.empty((0, coordinates), np.uint64)
         self.empty = np.zeros(coordinates, np.uint32)
@@ -58,40 +60,57 @@ class Sampler:
     def _draw(self, terms: list[tuple[bytes, int]]) -> np.ndarray:
         """For each term and coordinate ln a in the upper 32 bits, orderable, and the sampled pair below."""
         keys = np.array([xxhash.xxh64_intdigest(t) for t, _ in terms], np.uint64)[:, None]
-        logs = np.log(np.array([w for _, w in terms], np.float64))[:, None]
+        weights = np.array([w for _, w in terms], np.float32)[:, None]
         with np.errstate(over="ignore"):
-            first, second, third = (mixed(keys * lane) for lane in self.lanes[:3])
+            first, second = mixed(keys * self.lanes[0]), mixed(keys * self.lanes[1])
             r, ln_c = _gamma(first), np.log(_gamma(second))
-            b = (third >> np.uint64(11)) * 2.0**-53
-            t = np.floor(logs / r + b)
-            ln_a = (ln_c - r * (t - b) - r).astype(np.float32).view(np.uint32)
-            order = np.where(ln_a >> np.uint32(31), ~ln_a, ln_a | np.uint32(0x80000000))
-            pair = mixed(keys ^ (t.astype(np.int64).view(np.uint64) * self.lanes[3]))
-        return order.astype(np.uint64) << np.uint64(32) | pair >> np.uint64(32)
+            b = (first & np.uint64(0xFFFF)).astype(np.int32).astype(np.float32) * np.float32(2.0**-16)
+            pair = np.broadcast_to(mixed(keys) >> np.uint64(32), r.shape)
+            if weights.max() == 1:  # t is 0 everywhere
+                ln_a = ln_c + r * (b - np.float32(1))
+            else:
+                t = np.floor(np.log(weights) / r + b)
+                ln_a = ln_c - r * (t - b) - r
+                pair = mixed(keys ^ (t.astype(np.int64).view(np.uint64) * self.lanes[2])) >> np.uint64(32)
+            bits = ln_a.view(np.uint32)
+            order = np.where(bits >> np.uint32(31), ~bits, bits | np.uint32(0x80000000))
+        return order.astype(np.uint64) << np.uint64(32) | pair
+
+    def _drawn(self, terms: list[tuple[bytes, int]]) -> np.ndarray:
+        """The same, by parts that fit a processor's cache; words that occur once are the cheaper ones."""
+        once = [i for i, (_, w) in enumerate(terms) if w == 1]
+        more = [i for i, (_, w) in enumerate(terms) if w != 1]
+        out = np.empty((len(terms), self.n), np.uint64)
+        for places in (once, more):
+            for i in range(0, len(places), 512):
+                part = places[i : i + 512]
+                out[part] = self._draw([terms[k] for k in part])
+        return out
 
     def signature(self, weights: Counter) -> np.ndarray:
         terms = list(weights.items())
         if not terms:
             return self.empty
         if len(terms) > self.kept:  # a very long text: in parts, past the store
-            least = [self._draw(terms[i : i + 4096]).min(0) for i in range(0, len(terms), 4096)]
+            least = [self._drawn(terms[i : i + 4096]).min(0) for i in range(0, len(terms), 4096)]
             return np.min(least, 0).astype(np.uint32)
-        rows = [self.at.get(t, -1) for t in terms]
-        missing = [t for t, row in zip(terms, rows) if row < 0]
+        at = self.at
+        rows = [at.get(t, -1) for t in terms]
+        missing = [i for i, row in enumerate(rows) if row < 0]
         if missing:
-            if len(self.at) + len(missing) > self.kept:
-                self.at.clear()
-                missing = terms
-            start = len(self.at)
+            if len(at) + len(missing) > self.kept:
+                at.clear()
+                missing = list(range(len(terms)))
+            start = len(at)
             if start + len(missing) > len(self.draws):
                 grown = np.empty((min(self.kept, max(4096, 2 * (start + len(missing)))), self.n), np.uint64)
                 grown[:start] = self.draws[:start]
                 self.draws = grown
-            for i in range(0, len(missing), 4096):
-                part = missing[i : i + 4096]
-                self.draws[start + i : start + i + len(part)] = self._draw(part)
-            self.at.update(zip(missing, range(start, start + len(missing))))
-            rows = [self.at[t] for t in terms]
+            drawn = [terms[i] for i in missing]
+            self.draws[start : start + len(missing)] = self._drawn(drawn)
+            at.update(zip(drawn, range(start, start + len(drawn))))
+            for place, i in enumerate(missing, start):
+                rows[i] = place
         return np.minimum.reduce(self.draws[rows], axis=0).astype(np.uint32)
 
     def of_text(self, text: str) -> np.ndarray:
@@ -99,10 +118,10 @@ class Sampler:
 
 
 def _gamma(x: np.ndarray) -> np.ndarray:
-    """Gamma(2, 1) of the two halves of 64 random bits."""
-    high = ((x >> np.uint64(32)) + np.uint64(1)) * 2.0**-32
-    low = ((x & np.uint64(0xFFFFFFFF)) + np.uint64(1)) * 2.0**-32
-    return np.maximum(-np.log(high) - np.log(low), 1e-9)
+    """Gamma(2, 1) of the upper two times 24 of 64 random bits."""
+    high = (x >> np.uint64(40)).astype(np.int32).astype(np.float32) + np.float32(1)
+    low = ((x >> np.uint64(16)).astype(np.uint32) & np.uint32(0xFFFFFF)).view(np.int32).astype(np.float32) + np.float32(1)
+    return np.maximum(-np.log(high * np.float32(2.0**-24) * (low * np.float32(2.0**-24))), np.float32(1e-9))
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -156,8 +175,8 @@ def neighbour_fingerprints(
     """Fingerprints of each text and its edited text, and how near the text is to both its neighbours.
 
     The next document is the one with the next lower id, after the last the
-    first. Ids are cut into ranges of like numbers of rows (at the session's
-    number of shuffle partitions); each range also gets a copy of the first
+    first. Ids are cut into ranges of like numbers of rows (some for each of the
+    session's shuffle partitions); each range also gets a copy of the first
     document of the range below. So the texts are shuffled once, a task streams
     its sorted range, and no window gathers all rows. What the driver sees are
     one bound and one greatest id a range.
@@ -166,7 +185,8 @@ def neighbour_fingerprints(
     only row follows itself.
     """
     spark = prepare(docs.sparkSession)
-    n = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = ranges or RANGES_A_PARTITION * partitions
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     ids = chosen.select("doc_id")
     cuts = ids.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 100 * n)).first()[0] or []
@@ -201,7 +221,7 @@ def neighbour_fingerprints(
             ).alias("place"),
         )
         .select("doc_id", "text", "place.at", "place.copy")
-        .repartition(n, "at")
+        .repartition(partitions, "at")
         .sortWithinPartitions(F.desc("at"), "copy", F.desc("doc_id"), "text")
     )
 
