@@ -55,7 +55,7 @@ def pre_split(text: str) -> list[str]:
 
 
 #: Distinct words whose ids a worker keeps; longer words (in bytes) are not kept.
-KEPT, KEPT_BYTES = 1_000_000, 64
+KEPT, KEPT_BYTES = 250_000, 64
 
 
 def byte_letters() -> dict[str, int]:

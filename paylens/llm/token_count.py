@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from paylens.llm.common import map_rows, prepare
 
 #: Distinct pre-tokens whose counts a worker keeps.
-KEPT = 1_000_000
+KEPT = 500_000
 _MARK = "\u2581"
 #: A blank, or the mark that the model writes for it.
 _SPLIT = re.compile(f"[ {_MARK}]+[^ {_MARK}]*")
