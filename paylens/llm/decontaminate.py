@@ -206,6 +206,16 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def without_spans(text: str, spans: list[tuple[int, int]]) -> str:
+    """The text without these ranges of words; what stands between them stays."""
+    places = [m.span() for m in _WORD.finditer(text)]
+    kept, at = [], 0
+    for a, b in spans:
+        kept.append(text[at : places[a][0]])
+        at = places[b - 1][1]
+    return "".join([*kept, text[at:]])
+
+
 def without_items(text: str, automaton: Automaton, max_coverage: float) -> tuple[str, bool]:
     """The text without its hit spans, and whether it stays. Cut ends that make a new match are cut again."""
     total = len(letter_words(text))
@@ -217,12 +227,7 @@ def without_items(text: str, automaton: Automaton, max_coverage: float) -> tuple
         gone += sum(b - a for a, b in hits)
         if gone > max_coverage * total:
             return text, False
-        places = [m.span() for m in _WORD.finditer(text)]
-        kept, at = [], 0
-        for a, b in hits:
-            kept.append(text[at : places[a][0]])
-            at = places[b - 1][1]
-        text = "".join([*kept, text[at:]])
+        text = without_spans(text, hits)
 
 
 def decontaminated(
@@ -239,14 +244,53 @@ def decontaminated(
     """Documents without the spans that occur in an item; those covered beyond the limit go as a whole.
 
     All columns and clean texts stay as they are. ``length_col`` is set anew
-    where a text changed. With several blocks of items the limit holds for each.
+    where a text changed. The result does not depend on the number of blocks:
+    with several, the spans of all are gathered on the same text before it is
+    judged and cut, and texts that were cut go through all blocks again until
+    nothing matches.
     """
     spark = prepare(docs.sparkSession)
-    for automaton, more in automata(items, item_id_col, item_text_col, window, block_bytes):
-        docs = map_texts(docs, text_col, _cut(spark.sparkContext.broadcast(automaton), max_coverage), length_col)
-        if more:
-            docs = docs.checkpoint()
-    return docs
+    blocks = automata(items, item_id_col, item_text_col, window, block_bytes)
+    automaton, more = next(blocks)
+    if not more:
+        return map_texts(docs, text_col, _cut(spark.sparkContext.broadcast(automaton), max_coverage), length_col)
+
+    def quoted(name: str) -> str:
+        return f"`{name.replace('`', '``')}`"
+
+    others = [c for c in docs.columns if c != text_col]
+    rows = docs.select(
+        F.struct(*(map(quoted, others) if others else [F.lit(0)])).alias("row"),
+        F.col(quoted(text_col)).alias("text"),
+        F.expr("cast(array() as array<struct<start:long,end:long>>)").alias("spans"),
+        F.lit(None).cast("long").alias("total"),
+        F.lit(0).cast("long").alias("gone"),
+        F.lit(True).alias("stays"),
+    )
+    done: DataFrame | None = None
+    while done is None or not rows.isEmpty():
+        if done is not None:
+            blocks = automata(items, item_id_col, item_text_col, window, block_bytes)
+            automaton, more = next(blocks)
+        while True:
+            rows = rows.mapInArrow(_gather(spark.sparkContext.broadcast(automaton)), rows.schema).checkpoint()
+            if not more:
+                break
+            automaton, more = next(blocks)
+        clean = rows.where("size(spans) = 0")
+        done = clean if done is None else done.unionByName(clean)
+        rows = rows.where("size(spans) > 0")
+        rows = rows.mapInArrow(_cut_spans(max_coverage), rows.schema).where("stays").checkpoint()
+
+    def column(name: str):
+        if name == text_col:
+            return F.col("text").alias(name)
+        old = F.col("row").getField(name)
+        if name == length_col:
+            old = F.when(F.col("gone") > 0, F.char_length("text").cast(docs.schema[name].dataType)).otherwise(old)
+        return old.alias(name)
+
+    return done.select(*map(column, docs.columns))
 
 
 def _cut(shared, max_coverage: float):
@@ -257,6 +301,47 @@ def _cut(shared, max_coverage: float):
     return change
 
 
+def _replaced(batch: pa.RecordBatch, **values: list) -> pa.RecordBatch:
+    columns = [pa.array(values[f.name], f.type) if f.name in values else batch.column(f.name) for f in batch.schema]
+    return pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+
+
+def _spans(batch: pa.RecordBatch) -> list[list[tuple[int, int]]]:
+    return [[(s["start"], s["end"]) for s in spans] for spans in batch.column("spans").to_pylist()]
+
+
+def _gather(shared):
+    """Add the hits of one block to the spans of texts, which stay as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = shared.value
+        for batch in batches:
+            spans = []
+            for text, old in zip(batch.column("text").to_pylist(), _spans(batch)):
+                hits, _, _ = automaton.matches(letter_words(text or ""))
+                spans.append([{"start": a, "end": b} for a, b in merged(old + hits)])
+            yield _replaced(batch, spans=spans)
+
+    return run
+
+
+def _cut_spans(max_coverage: float):
+    """Cut the spans of all blocks out of texts, or mark those covered beyond the limit."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, totals, gone, stays = [], [], [], []
+            columns = (batch.column(c).to_pylist() for c in ("text", "total", "gone"))
+            for text, total, before, spans in zip(*columns, _spans(batch)):
+                totals.append(len(letter_words(text)) if total is None else total)
+                gone.append(before + sum(b - a for a, b in spans))
+                stays.append(gone[-1] <= max_coverage * totals[-1])
+                texts.append(without_spans(text, spans) if stays[-1] else text)
+            yield _replaced(batch, text=texts, total=totals, gone=gone, stays=stays, spans=[[]] * len(texts))
+
+    return run
+
+
 def digest(found: DataFrame) -> DataFrame:
     """What the query returns of ``contamination``."""
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])

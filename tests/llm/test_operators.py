@@ -105,6 +105,38 @@ def test_decontaminated_documents(spark, odd, block_bytes):
     assert len(kept[7].text) == kept[7].n_chars < len(LONG) and "word5 " not in kept[7].text
 
 
+@pytest.mark.parametrize("blocks", [1, 2])
+def test_blocks_of_items_do_not_change_what_is_cut(spark, blocks):
+    """Coverage split over blocks, overlapping items of two blocks, and a cut that joins an item of another block."""
+    first, second = ([f"{c}{k}" for k in range(1, 13)] for c in "ab")
+    overlapping = first[5:] + [f"c{k}" for k in range(1, 6)]
+    rows = [(1, " ".join(first)), (2, " ".join(second)), (3, " ".join(overlapping))]
+    other = [f"x{k}" for k in range(100)]
+    texts = {
+        1: first + other[:6] + second,
+        2: other[:20] + first + overlapping[7:] + other[20:],
+        3: other[:30] + first[:6] + second + first[6:] + other[30:],
+        4: other[:30] + second[:6] + first + second[6:] + other[30:],
+        5: other[:15] + ["clean"],
+    }
+    docs = spark.createDataFrame([doc(i, " ".join(t)) for i, t in texts.items()] + [doc(6, None), doc(7, "")], DOCS)
+    docs = docs.withColumns({c: F.lit(f"x{c}") for c in (*CLASHES, "row", "total", "gone", "stays")})
+    items = spark.createDataFrame(rows, "item_id long, text string")
+    block_bytes = -(-sum(len(t) for _, t in rows) // blocks)
+    if blocks > 1:
+        halves = decontaminate.automata(items, "item_id", "text", 10, block_bytes)
+        parts = [{w for w in automaton.words if w in (b"a1", b"b1", b"c1")} for automaton, _ in halves]
+        assert {b"a1"} in parts and {b"b1", b"c1"} in parts
+    rest = decontaminate.decontaminated(docs, items, length_col="n_chars", block_bytes=block_bytes)
+    assert rest.schema == docs.schema
+    got = {r.doc_id: (r.text, r.n_chars) for r in rest.collect()}
+    cut = " ".join(other[:20]) + "  " + " ".join(other[20:])
+    assert got[2] == (cut, len(cut)) and 1 not in got
+    for i in (3, 4):
+        assert got[i][0].split() == other and got[i][1] == len(got[i][0])
+    assert got[5][0] == " ".join(texts[5]) and got[6] == (None, None) and got[7] == ("", 0)
+
+
 def plain_components(rows, width=2, percent=80):
     sets = []
     for _, text, *_ in rows:
