@@ -5,10 +5,12 @@ root-to-leaf path of block-level tags and their class and id names. For each
 path the text length, punctuation, linked text and number of blocks are summed;
 length and punctuation per block are smoothed over the blocks in page order and
 fused with the share of text outside links and what the path's names tell. Paths
-over a threshold, a share of the mean over all text, hold content. The content
-node is the deepest node that holds most of their text; what lies in it comes
-out whole, short blocks too, but for parts whose names tell of menus, notices,
-adverts, forms or reader comments.
+over a threshold, a share of the mean over all text, hold content. Where article
+and main tags hold most of it, they are the content nodes. Elsewhere the content
+node is the deepest node that holds all of it, or the outermost node around that
+whose names tell of an article. What lies in a content node comes out whole,
+short blocks too, but for parts whose names tell of menus, notices, adverts,
+forms or reader comments.
 """
 
 from __future__ import annotations
@@ -67,34 +69,35 @@ _PUNCTUATION = re.compile(r"[.,;:!?¿¡…、。，！？；：]")
 SMOOTHING = (0.25, 0.5, 0.25)
 #: Share of the mean score, weighted by text, that a path needs.
 THRESHOLD = 0.3
-#: Share of the content paths' text that the content node must hold.
+#: Share of the content paths' text that article and main tags must hold to be the content nodes.
 HELD = 0.6
 
 
 @lru_cache(maxsize=50_000)
-def _described(tag: str, attributes: str) -> tuple[str, bool, bool]:
-    """A tag's part of a path, and whether its names tell of an article or of something else."""
+def _described(tag: str, attributes: str) -> tuple[str, bool, bool, bool]:
+    """A tag's part of a path, whether it or its names tell of an article or of something else, and whether the tag does."""
     found = {a[0].lower(): a[1] or a[2] or a[3] for a in _ATTRIBUTE.findall(attributes)} if attributes else {}
     names = sorted({*found.get("class", "").split(), *found.get("id", "").split()})
     role = found.get("role", "").lower()
     style = found.get("style", "").replace(" ", "").lower()
     hidden = "hidden" in found or "display:none" in style or "visibility:hidden" in style or found.get("aria-hidden") == "true"
     parts = {p.lower() for n in names for p in _NAME_PARTS.findall(n)}
-    main = tag in ("article", "main") or role == "main" or bool(parts & MAIN_NAMES) and not parts & (OTHER_NAMES - {"body", "text"})
+    marked = tag in ("article", "main") or role == "main"
+    main = marked or bool(parts & MAIN_NAMES) and not parts & (OTHER_NAMES - {"body", "text"})
     other = hidden or tag in OTHER_TAGS or role in OTHER_ROLES
     other = other or (tag not in ("html", "body", "article", "main") and not main and bool(parts & OTHER_NAMES))
-    return f"/{tag}{''.join('.' + n for n in names)}", main, other
+    return f"/{tag}{''.join('.' + n for n in names)}", main, other, marked
 
 
 class Node:
-    __slots__ = ("tag", "parent", "path", "other", "main")
+    __slots__ = ("tag", "parent", "path", "other", "main", "marked")
 
     def __init__(self, tag: str, parent: "Node | None", attributes: str = ""):
         self.tag, self.parent = tag, parent
         if parent is None:
-            self.path, self.main, self.other = "", False, False
+            self.path, self.main, self.other, self.marked = "", False, False, False
             return
-        label, main, other = _described(tag, attributes)
+        label, main, other, self.marked = _described(tag, attributes)
         self.path = parent.path + label
         # A header outside of the article is the page's.
         self.other = other or parent.other or (tag == "header" and not parent.main)
@@ -226,11 +229,15 @@ def main_text(page: str | None) -> str:
         return node.path.count("/")
 
     mains = [n for n in held if n.main and not (n.parent and n.parent.main)]
-    if mains and sum(held[n] for n in mains) >= 0.3 * whole:
+    if sum(held[n] for n in mains if n.marked) >= HELD * whole:
         roots = set(mains)
     else:
-        containers = [n for n in held if n.tag not in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "td", "th", "tr", "dt", "dd", "ul", "ol") and held[n] >= HELD * whole]
-        roots = {max(containers, key=lambda n: (depth(n), held[n]))} if containers else set()
+        # Nodes that hold all content lie on one way from the root.
+        inline = ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "td", "th", "tr", "dt", "dd", "ul", "ol")
+        root = max((n for n in held if n.tag not in inline and held[n] == whole), key=depth)
+        while root.main and root.parent.main:
+            root = root.parent
+        roots = {root}
     out = []
     for node, text, linked in blocks:
         if node.other or _chrome(node):
@@ -238,7 +245,7 @@ def main_text(page: str | None) -> str:
         at = node
         while at is not None and at not in roots:
             at = at.parent
-        if at is None and roots:
+        if at is None:
             continue
         if not node.main and linked >= 0.8 * len(text) and scores[node.path] < THRESHOLD * mean:
             continue

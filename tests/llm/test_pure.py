@@ -153,6 +153,24 @@ def test_the_article_is_extracted_from_a_page(ends):
     assert html_text.main_text(PAGE % ends) == ARTICLE
 
 
+WORDY = "Some text, with words, here. And more of it, so that it is long."
+
+
+@pytest.mark.parametrize("name", ["text", "x", "story"])
+@pytest.mark.parametrize("around", [("<div class=page>", "</div>"), ("", ""), ("<div><div>", "</div></div>")])
+def test_headings_and_leads_between_parts_of_an_article_stay(name, around):
+    parts = ["<h2>First</h2>", f"<div class={name}>{WORDY}</div>", f"<p class=lead>{WORDY * 3}</p>", "<h2>Second</h2>", f"<div class={name}>{WORDY * 2}</div>"]
+    page = f"<html><body><nav><a href=/>Home</a></nav>{''.join(parts).join(around)}<footer>foot</footer></body></html>"
+    assert html_text.main_text(page) == "\n\n".join(re.sub("<.*?>", "", p) for p in parts)
+
+
+def test_an_article_in_parts_of_several_names_comes_out_whole():
+    parts = [f"<div class=a><p>{WORDY * 6}</p></div>", "<h3>Between</h3>", f"<div class=b><p>{WORDY * 4}</p></div>"]
+    assert html_text.main_text(f"<body><div>{''.join(parts)}</div></body>") == f"{WORDY * 6}\n\nBetween\n\n{WORDY * 4}"
+    page = f"<div id=content><h1>Title</h1><div><p>{WORDY * 6}</p></div></div><div>outside</div>"
+    assert html_text.main_text(page) == f"Title\n\n{WORDY * 6}"
+
+
 def test_pages_without_an_article():
     for page in (None, "", "   ", "<html><body></body></html>", "<nav><a>Home</a></nav><footer>f</footer>", "<script>if (a<b) c()</script>"):
         assert html_text.main_text(page) == ""
