@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,7 +29,9 @@ from paylens.llm.common import map_rows, prepare
 
 # Tags of the HTML standard, by what they mean here.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-RAW = frozenset("script style noscript template textarea title xmp iframe noembed noframes svg math select object audio video canvas".split())
+RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
+#: Elements whose text is not the page's. One that does not end in its parent ends where it starts, a select at the next block.
+MUTE = frozenset("noscript template svg math select object audio video canvas".split())
 BLOCKS = frozenset(
     "html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6"
     " header hgroup hr legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr caption ul".split()
@@ -61,8 +64,10 @@ OTHER_NAMES = frozenset(
 #: Names of what holds an article, taken before the others where a tag has both.
 MAIN_NAMES = frozenset("article post story content entry main body text".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+# Quotes hold a value only just after the sign of equality; elsewhere they are letters of a name or value.
+_ATTRIBUTES = r"(?:[\s/]++|=?[^\s/>=]++(?:\s*+=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\s>]*+))?|=)*+"
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)({_ATTRIBUTES})(?:>|\Z)", re.S)
+_ATTRIBUTE = re.compile(r"([^\s/>=]+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]*)))?")
 _NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _PUNCTUATION = re.compile(r"[.,;:!?¿¡…、。，！？；：]")
 
@@ -109,6 +114,41 @@ def _end_of(tag: str) -> re.Pattern:
     return re.compile(rf"</{tag}\s*>", re.I)
 
 
+def _past(page: str, tag: str, at: int, around: set[str], unended: set[int]) -> int:
+    """Where a muted element that starts before ``at`` ends.
+
+    It does not end in its parent if the end tag of an element around it comes
+    first; then this is ``at``, and such elements of its kind are noted.
+    """
+    starts, inner = [at], Counter()
+    while match := _TOKEN.search(page, at):
+        at = max(match.end(), at + 1)
+        if match[2] is None:
+            continue
+        name = match[2].lower()
+        if name == tag:
+            if not match[1]:
+                if not match[3].rstrip().endswith("/") or tag not in ("svg", "math"):
+                    starts.append(at)
+            elif starts.pop() and not starts:
+                return at
+        elif name in RAW and not match[1]:
+            end = _end_of(name).search(page, at)
+            at = end.end() if end else len(page)
+        elif name in BLOCKS and tag == "select" and name != "hr":
+            return match.start()
+        elif name in BLOCKS and not match[1]:
+            inner[name] += 1
+        elif name in BLOCKS:
+            if not inner[name] and name in around:
+                break
+            inner[name] = max(0, inner[name] - 1)
+    if tag == "select":
+        return len(page)
+    unended.update(starts)
+    return starts[0]
+
+
 def blocks_of(page: str) -> list[tuple[Node, str, int]]:
     """(node, text, linked code points) of each block with text, in page order."""
     root = Node("", None)
@@ -136,6 +176,7 @@ def blocks_of(page: str) -> list[tuple[Node, str, int]]:
                 return
 
     at, size = 0, len(page)
+    unended: set[int] = set()
     while at < size:
         match = _TOKEN.search(page, at)
         if match is None:
@@ -147,6 +188,10 @@ def blocks_of(page: str) -> list[tuple[Node, str, int]]:
         if match[2] is None:
             continue
         tag = match[2].lower()
+        if tag in MUTE:
+            if not match[1] and at not in unended and not (tag in ("svg", "math") and match[3].rstrip().endswith("/")):
+                at = _past(page, tag, at, {n.tag for n in stack}, unended)
+            continue
         if match[1]:
             if tag == "a":
                 links = max(0, links - 1)
@@ -161,9 +206,8 @@ def blocks_of(page: str) -> list[tuple[Node, str, int]]:
         elif tag == "a":
             links += 1
         elif tag in RAW:
-            if not match[3].rstrip().endswith("/") or tag not in ("svg", "math"):
-                end = _end_of(tag).search(page, at)
-                at = end.end() if end else size
+            end = _end_of(tag).search(page, at)
+            at = end.end() if end else size
         elif tag in BLOCKS or tag == "head" or tag == "button":
             if tag in CLOSES_P:
                 close(_P, _KEEPS_P)

@@ -181,6 +181,22 @@ def test_pages_without_an_article():
     assert html_text.main_text("<article><p>cut off <b") == "cut off"
 
 
+def test_stray_quotes_do_not_swallow_text():
+    for tag in ("<p title=it's>", '<p title="x"">', "<p '>", '<p title=a"b class=c>', '<p "title=x>', "<p title = 'a>b' \">", '<p title="a>b">', "<p/title='>'>"):
+        assert html_text.main_text(f"<article>{tag}First, here.</p><p>Second, there's more.</p><p class=\"z\">Third.</p></article>") == "First, here.\n\nSecond, there's more.\n\nThird.", tag
+    assert html_text.main_text("<article><p>a, b.</p><div title=it's hidden>no</div><p>c's</p></article>") == "a, b.\n\nc's"
+
+
+@pytest.mark.parametrize("tag", sorted(html_text.MUTE))
+def test_elements_that_do_not_end_swallow_no_text(tag):
+    for page in ("<article><div><%s x=1></div><p>First, here.</p><p>Second.</p></article>", "<article><%s><p>First, here.</p><%s><p>Second.</p></article>", "<article><div><p>First, here.</p><%s></div><p>Second.</p><%s><b>no</b></%s></article>", "<article><p>First, here. <%s><div><i>no</i></div></%s></p><p>Second.</p><%s></article>"):
+        if tag == "select":
+            page = page.replace("<div><i>no</i></div>", "<option>no<option>no")
+        assert html_text.main_text(page.replace("%s", tag)) == "First, here.\n\nSecond.", page
+    assert html_text.main_text(f"<article><p>One <{tag}>no</{tag}>two.</p></article>") == "One two."
+    assert html_text.main_text(f"<article>{f'<div><{tag}>' * 2000}<p>deep" + "</div>" * 2000) == "deep"
+
+
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
