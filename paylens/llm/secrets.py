@@ -9,8 +9,10 @@ what they are:
   algorithm, whose second is a JSON object, and whose signature is there (or
   the algorithm is none);
 - ``key``: a private key, DER-encoded with nested lengths that fit to the byte
-  (PKCS#1, PKCS#8 plain or encrypted, SEC1), or in the length-prefixed fields
-  of an OpenSSH key; as a bare run, or in the lines of a PEM block.
+  (PKCS#1, DSA, PKCS#8 plain or encrypted, SEC1), or in the length-prefixed
+  fields of an OpenSSH key; as a run of hexadecimal digits, anywhere in a run
+  of base64 (OpenSSH keys: at its end), or in the lines of a PEM block, whose
+  line ends may be escaped, and which may be in base64 as a whole.
 
 Spans are in code points, end exclusive. Null is an empty text, without spans.
 """
@@ -49,6 +51,7 @@ _HEX_RUN = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){32,}(?![0-9A-Fa-f])")
 _BASE64_RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
 _TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]{5,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)")
 _PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([^-]*)-----END \1-----")
+_ESCAPED_LINE_END = re.compile(r"\\+[nr]")
 _PEM_HEADER = re.compile(r"(?m)^[A-Za-z0-9-]+:.*$")
 
 
@@ -103,6 +106,8 @@ def is_der_key(data: bytes) -> bool:
     small = tags[:1] == [2] and data[parts[0][1] : parts[0][2]] in (b"\x00", b"\x01")
     if small and len(tags) >= 9 and set(tags[:9]) == {2}:
         return True  # PKCS#1
+    if small and tags == [2] * 6:
+        return True  # DSA
     if small and tags[1:3] == [0x30, 4]:
         return (_elements(data, *parts[1][1:]) or [(0,)])[0][0] == 6  # PKCS#8
     if small and tags[1:2] == [4] and parts[1][2] - parts[1][1] >= 16:
@@ -116,6 +121,10 @@ def is_der_key(data: bytes) -> bool:
 _OPENSSH = b"openssh-key-v1\x00"
 
 
+#: Where a SEQUENCE, an OpenSSH key or a PEM block may begin in base64.
+_BASE64_STARTS = re.compile(r"M(?=[A-P])|b3BlbnNzaC1rZXktdjEA|LS0tLS1CRUdJTi")
+
+
 def is_openssh_key(data: bytes) -> bool:
     if not data.startswith(_OPENSSH):
         return False
@@ -141,6 +150,19 @@ def is_openssh_key(data: bytes) -> bool:
     return at == len(data)
 
 
+def _der_end(head: bytes) -> int | None:
+    """Where a SEQUENCE ends that may be a key, by its first bytes."""
+    if len(head) < 9 or head[0] != 0x30:
+        return None
+    width = head[1] & 0x7F if head[1] & 0x80 else 0
+    if width > 4 or head[1] == 0x80:
+        return None
+    begin = 2 + width
+    if head[begin] not in (2, 0x30):
+        return None
+    return begin + (int.from_bytes(head[2:begin], "big") if width else head[1])
+
+
 def is_key(data: bytes | None) -> bool:
     return data is not None and (is_der_key(data) or is_openssh_key(data))
 
@@ -183,20 +205,67 @@ def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
 
     if "eyJ" in text:
         out += [("jwt", *m.span()) for m in _TOKEN.finditer(text) if is_signed_token(*m.groups())]
-    if "PRIVATE KEY-----" in text:
-        for m in _PEM.finditer(text):
-            if is_key(decoded_base64("".join(_PEM_HEADER.sub("", m[2]).split()))):
-                out.append(("key", *m.span()))
+    out += [("key", a, b) for a, b in _pem_spans(text)]
     for m in _BASE64_RUN.finditer(text):
-        # SEQUENCE, or the beginning of an OpenSSH key.
-        if m[0][0] in "Mb" and is_key(decoded_base64(m[0])) and free(*m.span()):
-            out.append(("key", *m.span()))
+        out += [("key", a, b) for x, y in _base64_spans(m[0]) if free(a := m.start() + x, b := m.start() + y)]
     for m in _HEX_RUN.finditer(text):
         if m[0][:2] in ("30", "6f", "6F") and is_key(bytes.fromhex(m[0])) and free(*m.span()):
             out.append(("key", *m.span()))
     return out
 
 
+def _pem_spans(text: str) -> list[tuple[int, int]]:
+    if "PRIVATE KEY-----" not in text:
+        return []
+
+    def holds_key(body: str) -> bool:
+        return is_key(decoded_base64("".join(_PEM_HEADER.sub("", _ESCAPED_LINE_END.sub("\n", body)).split())))
+
+    return [m.span() for m in _PEM.finditer(text) if holds_key(m[2])]
+
+
+def _base64_spans(run: str) -> list[tuple[int, int]]:
+    """Keys that begin anywhere in a run of base64."""
+    bare = run.rstrip("=")
+    out, free_from = [], 0
+    blocks: set[int] = set()
+    decoded: dict[int, tuple[int, bytes]] = {}
+
+    def rest(at: int) -> bytes:
+        """What follows, decoded once for each place in four."""
+        if at % 4 not in decoded:
+            decoded[at % 4] = at, decoded_base64(bare[at : len(bare) - ((len(bare) - at) % 4 == 1)]) or b""
+        first, data = decoded[at % 4]
+        return data[(at - first) // 4 * 3 :]
+
+    def add(at: int, size: int) -> None:
+        nonlocal free_from
+        free_from = at + (size * 4 + 2) // 3
+        out.append((at, len(run) if free_from == len(bare) else free_from))
+
+    for m in _BASE64_STARTS.finditer(bare):
+        at = m.start()
+        if at < free_from:
+            continue
+        if m[0] == "M":
+            size = _der_end(decoded_base64(bare[at : at + 12]) or b"")
+            end = at + ((size or 0) * 4 + 2) // 3
+            if size and end <= len(bare) and is_der_key((decoded_base64(bare[at:end]) or b"")[:size]):
+                add(at, size)
+        elif m[0][0] == "b":
+            data = rest(at)
+            if is_openssh_key(data):
+                add(at, len(data))
+        elif at % 4 not in blocks:
+            blocks.add(at % 4)
+            data = rest(at)
+            for a, b in _pem_spans(data.decode("latin-1")):
+                # Blanks at the end belong to the block.
+                add(at, len(data) if not data[b:].strip() else b)
+                out[-1] = (at + a * 4 // 3, out[-1][1])
+    return out
+
+
 def spans_of(text: str) -> list[tuple[str, int, int]]:
     """All spans by start, then kind as listed, then end."""
     found = base_spans(text) + confirmed_spans(text)

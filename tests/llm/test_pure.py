@@ -320,6 +320,36 @@ def test_keys_and_tokens_are_reported_by_their_structure():
     assert secrets.confirmed_spans(f"({JWT})") == [("jwt", 1, 1 + len(JWT))]
 
 
+DSA = tlv(0x30, number(0), *[number(random.Random(i).getrandbits(512)) for i in range(5)])
+
+
+@pytest.mark.parametrize("data", [RSA, PKCS8, SEC1, OPENSSH, DSA])
+def test_keys_are_found_anywhere_in_a_run(data):
+    for run in (base64.b64encode(data).decode(), base64.urlsafe_b64encode(data).decode().rstrip("=")):
+        for before in ("", "\\n", "key-", "/", "M", "3", "MMA", "x" * 50 + "/"):
+            for after in ("", "\\n", " end"):
+                start = len(before)
+                found = secrets.confirmed_spans(before + run + after)
+                assert found == [("key", start, start + len(run))], (before, run, after)
+        bare = run.rstrip("=")
+        if data != OPENSSH:
+            assert secrets.confirmed_spans(f"{bare}/{bare}") == [("key", 0, len(bare)), ("key", len(bare) + 1, 2 * len(bare) + 1)]
+
+
+def test_pem_blocks_in_json_and_in_base64():
+    body = re.findall(".{1,64}", base64.b64encode(PKCS8).decode())
+    for end in ("\n", "\\n", "\\r\\n", "\\\\n"):
+        pem = end.join(["-----BEGIN PRIVATE KEY-----", *body, "-----END PRIVATE KEY-----"])
+        assert secrets.confirmed_spans(f'{{"k": "{pem}{end}"}}') == [("key", 7, 7 + len(pem))]
+        whole = base64.b64encode(f"{pem}{end}".encode()).decode()
+        assert secrets.confirmed_spans(f"tls.key: {whole}\n")[0][:2] == ("key", 9)
+        assert secrets.spans_of(secrets.redacted(f"tls.key: {whole}\n")) == []
+    certificate = "-----BEGIN CERTIFICATE-----\nAAAA\n-----END CERTIFICATE-----\n"
+    both = base64.b64encode((certificate + pem.replace(end, "\n") + "\n").encode()).decode()
+    assert secrets.confirmed_spans(both) == [("key", len(certificate) * 4 // 3, len(both))]
+    assert secrets.confirmed_spans(base64.b64encode(certificate.encode()).decode()) == []
+
+
 def test_what_only_looks_like_a_secret_is_not_reported():
     broken = RSA[:-3]
     cut = bytearray(PKCS8)
