@@ -8,8 +8,8 @@ to one length. A document gets the language of the nearest prototype by cosine.
 
 Texts are lower-cased; what is no letter parts words, and one blank stands
 between them. Texts that are null or have no letter are ``und`` with score 0.
-Prototypes are learnt from a bounded sample of the labelled documents, chosen by
-a hash of the id; with no labelled document at all, every text is ``und``.
+Prototypes are learnt from all labelled documents, whose vectors are summed in
+tasks; with no labelled document at all, every text is ``und``.
 """
 
 from __future__ import annotations
@@ -24,8 +24,6 @@ from pyspark.sql import functions as F
 from paylens.llm.common import map_rows, mixed, prepare
 
 DIMENSIONS = 1024
-#: Labelled documents that prototypes are learnt from, at most (about).
-SAMPLE = 20_000
 #: Trigrams whose vectors a worker keeps, one byte a dimension.
 KEPT_TRIGRAMS = 60_000
 #: Documents, and letters, of one product of counts and vectors.
@@ -126,14 +124,10 @@ def _grouped(texts: list[str]) -> Iterator[list[str]]:
         yield group
 
 
-def prototypes(docs: DataFrame, text_col: str, lang_col: str, id_col: str, dimensions: int, sample: int) -> tuple[list[str], np.ndarray]:
-    """Names and unit vectors of the languages of at most about ``sample`` documents."""
-    labelled = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
+def prototypes(docs: DataFrame, text_col: str, lang_col: str, dimensions: int) -> tuple[list[str], np.ndarray]:
+    """Names and unit vectors of the languages of all labelled documents."""
+    labelled = docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     labelled = labelled.where("lang is not null and text is not null")
-    n = labelled.count()
-    if n > sample:
-        grid = 1 << 30
-        labelled = labelled.where(F.pmod(F.xxhash64("id"), F.lit(grid)) < int(grid * sample / n))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
         profiles, sums = worker_profiles(dimensions), {}
@@ -151,7 +145,7 @@ def prototypes(docs: DataFrame, text_col: str, lang_col: str, id_col: str, dimen
         for lang, v in sums.items():
             yield {"lang": [lang] * dimensions, "place": list(range(dimensions)), "value": v.tolist()}
 
-    parts = map_rows(labelled.select("text", "lang"), "lang string, place int, value long", rows)
+    parts = map_rows(labelled, "lang string, place int, value long", rows)
     # One row a language and dimension.
     summed = parts.groupBy("lang", "place").agg(F.sum("value").alias("value")).collect()
     names = sorted({r["lang"] for r in summed})
@@ -171,7 +165,6 @@ def identified(
     text_col: str = "text",
     lang_col: str = "lang",
     dimensions: int = DIMENSIONS,
-    sample: int = SAMPLE,
 ) -> DataFrame:
     """One row a document: held_out, the predicted language and its cosine (0 if negative).
 
@@ -179,7 +172,7 @@ def identified(
     prototypes only; a prediction sees nothing but the text.
     """
     prepare(docs.sparkSession)
-    names, table = prototypes(docs.where(~held_out), text_col, lang_col, id_col, dimensions, sample)
+    names, table = prototypes(docs.where(~held_out), text_col, lang_col, dimensions)
     shared = docs.sparkSession.sparkContext.broadcast((names, table))  # languages times dimensions
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:

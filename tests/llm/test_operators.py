@@ -281,6 +281,14 @@ def test_labels_of_held_out_documents_are_not_learnt(spark):
     assert right.agg(F.avg("ok")).first()[0] > 0.95
 
 
+def test_rare_languages_are_learnt_among_many_documents(spark):
+    rare = [doc(100_000 + k, " ".join(chr(0x4E00 + 50 * k + j) * 3 for j in range(12)), f"r{k}") for k in range(12)]
+    many = spark.range(60_000).select(F.col("id").alias("doc_id"), F.lit("some words here").alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(15).cast("long").alias("n_chars"))
+    docs = many.unionByName(spark.createDataFrame(rare, DOCS)).repartition(8)
+    found = {r.doc_id: r.lang_pred for r in language.identified(docs, F.lit(False)).where("doc_id >= 100000").collect()}
+    assert found == {i: lang for i, _, lang, *_ in rare}
+
+
 def test_token_counts_of_odd_rows(spark, odd, none):
     model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     want = sorted(((i, len((t or "").encode()), len(model.encode(t or "")), len(model.encode(t or "")) > 4096) for i, t, *_ in ODD), key=repr)
@@ -301,6 +309,18 @@ def test_quality_of_odd_rows(spark, odd, none):
     assert {r.score for r in quality.scored(odd, quality.learnt(odd, labels.limit(0), held_out), held_out).collect()} == {0.5}
 
 
+def test_rare_bad_labels_and_labels_of_absent_documents(spark):
+    good = [doc(i, f"This is sentence {i} of a text that reads well, and ends here.") for i in range(400)]
+    bad = [doc(i, "||| ### @@@ ||| $$$ %%% ||| ###") for i in (1000, 1001)]
+    docs = spark.createDataFrame(good + bad, DOCS)
+    absent = [(i, 0) for i in range(5000, 5500)]
+    labels = spark.createDataFrame([(i, 1) for i, *_ in good] + [(i, 0) for i, *_ in bad] + absent, "doc_id long, quality int")
+    for sample in (8, 20, 10_000):
+        ranking = quality.learnt(docs, labels, F.lit(False), sample=sample)
+        rejected = quality.scored(docs, ranking, F.lit(False)).where("predicted = 0").collect()
+        assert sorted(r.doc_id for r in rejected) == [1000, 1001], sample
+
+
 def test_quality_on_held_out_documents(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     held_out = remainder_is("doc_id", 5, 0)
