@@ -193,9 +193,10 @@ class TokenAutomaton:
                 ids.append(str(self.special[part]))
                 spelled.append(self.decode([self.special[part]]))
             else:
-                words = pre_split(part)
-                ids.extend(map(self.known.__getitem__, words))
-                spelled.extend(words)
+                for word in pre_split(part):
+                    printed, text_of_ids = self.known[word]
+                    ids.append(printed)
+                    spelled.append(text_of_ids)
         return ",".join(ids), "".join(spelled)
 
     def digests(self, text: str) -> tuple[int, str, str]:
@@ -206,27 +207,27 @@ class TokenAutomaton:
 
 
 class _Words(dict):
-    """Printed ids of words, kept up to a bound.
+    """Printed ids of words, and the text that their arcs spell, kept up to a bound.
 
-    Each word is encoded and decoded once; that its arcs spell it again is
-    checked here, so texts may be spelled by their words.
+    Each word is encoded and decoded once; ids that do not spell their word raise.
     """
 
     def __init__(self, automaton: TokenAutomaton):
         super().__init__()
         self.automaton = automaton
 
-    def __missing__(self, word: str) -> str:
+    def __missing__(self, word: str) -> tuple[str, str]:
         raw = word.encode()
         ids = self.automaton.encode_word(raw)
-        if self.automaton.decode(ids) != word:
+        spelled = self.automaton.decode(ids)
+        if spelled != word:
             raise ValueError("the ids of a word do not spell it")
-        printed = ",".join(map(str, ids))
+        found = ",".join(map(str, ids)), spelled
         if len(raw) <= KEPT_BYTES:
             if len(self) >= KEPT:
                 self.clear()
-            self[word] = printed
-        return printed
+            self[spelled] = found  # equal to the word, and kept once
+        return found
 
 
 _AUTOMATA: dict[str, TokenAutomaton] = {}

@@ -1,6 +1,7 @@
 """The parts of the operators that need no session, against plain versions of them."""
 
 import base64
+import hashlib
 import json
 import random
 import re
@@ -219,6 +220,15 @@ def test_bpe_gives_the_ids_and_text_of_the_library(automaton, library, text):
     assert automaton.decode(ids) == library.decode(ids, skip_special_tokens=False)
 
 
+def test_decoded_digests_are_of_what_the_ids_spell(library):
+    tokens = bpe.TokenAutomaton.from_file(BYTE_BPE)
+    ids = library.encode("other", add_special_tokens=False).ids
+    printed = ",".join(map(str, ids))
+    tokens.known["word"] = printed, tokens.decode(ids)
+    assert tokens.digests("word") == (len(ids), *(hashlib.sha256(t.encode()).hexdigest() for t in (printed, "other")))
+    assert tokens.printed("some <|endoftext|>é")[1] == "some <|endoftext|>é"
+
+
 def test_bpe_of_a_small_vocabulary_equals_merging_by_rank():
     rng = random.Random(1)
     for _ in range(200):
