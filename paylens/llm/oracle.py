@@ -101,8 +101,54 @@ SELECT page_id, host, path, {_rule(1)} AS rule,
     coalesce({_rule(0)}, CASE WHEN allowed THEN 'allow' WHEN blocked THEN 'block' ELSE 'allow' END) AS verdict
 FROM keyed LEFT JOIN classes ON node = key"""
 
+#: One row: the 256 remainders of CRC-32, by its rule.
+_CRC_TABLE = """
+    SELECT list(r ORDER BY i) AS remainders FROM (
+        SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b:
+            CASE WHEN a & 1 = 1 THEN xor(a >> 1, CAST(3988292384 AS BIGINT)) ELSE a >> 1 END) AS r
+        FROM (SELECT unnest(range(256)) AS i))"""
+
+
+def _crc32(text: str) -> str:
+    """CRC-32 of the UTF-8 of a text, where ``remainders`` is in scope."""
+    digits = f"hex(encode({text}))"
+    octets = f"list_transform(range(0, CAST(length({digits}) / 2 AS BIGINT)), lambda k: CAST('0x' || substr({digits}, 2 * k + 1, 2) AS BIGINT))"
+    step = "lambda a, b: xor(remainders[(xor(a, b) & 255) + 1], a >> 8)"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {octets}), {step}), CAST(4294967295 AS BIGINT))"
+
+
+CONVERSATION_TRIE = f"""
+WITH crc AS ({_CRC_TABLE}),
+t AS (
+    SELECT conv_id, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS token,
+        len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS words, turn
+    FROM conversations WHERE conv_id IS NOT NULL),
+own AS (
+    SELECT conv_id, list({{'token': token, 'words': words}} ORDER BY turn NULLS FIRST, token) AS l FROM t GROUP BY conv_id),
+rebuilt AS (
+    SELECT o.conv_id, coalesce(b.l, [])[1 : h] || o.l[h + 1 :] AS l
+    FROM (SELECT own.*, {_crc32('CAST(conv_id AS VARCHAR)')} % 4 AS h FROM own, crc) o
+    LEFT JOIN own b ON b.conv_id = o.conv_id - o.conv_id % 20),
+path AS (
+    SELECT conv_id, depth, len(l) AS whole, list_transform(l[1 : depth], lambda x: x.token) AS node,
+        CASE WHEN depth = 0 THEN 0 ELSE l[depth].words END AS words
+    FROM (SELECT *, unnest(range(0, len(l) + 1)) AS depth FROM rebuilt)),
+node AS (
+    SELECT node, any_value(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words,
+        sha256(coalesce(string_agg(CASE WHEN depth = whole THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id), '')) AS ends
+    FROM path GROUP BY node),
+child AS (SELECT node[1 : depth - 1] AS node, count(*) AS n FROM node WHERE depth > 0 GROUP BY 1),
+known AS (SELECT node.*, coalesce(child.n, 0) AS n_children FROM node LEFT JOIN child USING (node)),
+under AS (
+    SELECT node[1 : k] AS node, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS leaves, sum((n_convs - 1) * words) AS saved
+    FROM (SELECT *, unnest(range(0, depth + 1)) AS k FROM known) GROUP BY 1)
+SELECT k.conv_id, CAST(k.depth AS BIGINT) AS depth, above.conv_id AS parent_conv_id, k.n_convs, CAST(k.n_children AS BIGINT) AS n_children,
+    CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, k.ends AS ends_sha256
+FROM known k JOIN under USING (node) LEFT JOIN known above ON k.depth > 0 AND above.node = k.node[1 : k.depth - 1]"""
+
 ORACLES: dict[str, str] = {
     "op2_decontamination": DECONTAMINATION,
     "op3_near_dedup": NEAR_DEDUP,
     "op5_url_filter": URL_FILTER,
+    "op11_conversation_trie": CONVERSATION_TRIE,
 }

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paylens.llm import bpe, decontaminate, fingerprints, html_text, language, near_dedup, quality, secrets, token_count, url_filter
+from paylens.llm import bpe, conversations, decontaminate, fingerprints, html_text, language, near_dedup, quality, secrets, token_count, url_filter
 from paylens.llm.oracle import ORACLES  # noqa: F401
 
 #: Verdict, host, path.
@@ -75,11 +75,18 @@ def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.digest(secrets.secrets(_table(spark, folder, "documents")))
 
 
+def op11_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
+    turns = conversations.turns(_table(spark, folder, "conversations"))
+    base = F.col("conv_id") - F.col("conv_id") % 20
+    shared = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 4
+    return conversations.prefix_trie(conversations.branched(turns, base, shared, most=3))
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
             op1_fingerprints, op2_decontamination, op3_near_dedup, op4_html_text, op5_url_filter,
-            op6_language, op7_token_counts, op8_quality, op9_bpe, op10_secrets,
+            op6_language, op7_token_counts, op8_quality, op9_bpe, op10_secrets, op11_conversation_trie,
         )
     }

@@ -1,0 +1,170 @@
+"""The conversation trie against a plain one, and its parts: running totals, bands, shards, boundaries."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import defaultdict
+from itertools import accumulate
+
+import pytest
+from pyspark.sql import functions as F
+
+from paylens.llm import conversations
+from paylens.llm.queries import llm_queries
+from paylens.llm.running import running
+
+SCHEMA = "conv_id long, turn long, role string, text string"
+
+
+def plain_sequences(rows):
+    """Turns of each conversation in order: turn (null first), ties by digest."""
+    by = defaultdict(list)
+    for c, t, role, text, *_ in rows:
+        if c is not None:
+            role, text = role or "", text or ""
+            digest = hashlib.md5(f"{len(role)}:{role}{text}".encode()).digest()
+            by[c].append((t is not None, t or 0, digest, (role, text)))
+    return {c: [x[3] for x in sorted(turns)] for c, turns in by.items()}
+
+
+def plain_branched(rows):
+    by = plain_sequences(rows)
+    out = {}
+    for c, own in by.items():
+        h = zlib.crc32(str(c).encode()) % 4
+        base = c - (abs(c) % 20) * (1 if c >= 0 else -1)
+        out[c] = by.get(base, [])[:h] + own[h:]
+    return out
+
+
+def plain_trie(sequences):
+    members, ends = defaultdict(list), defaultdict(list)
+    for c, turns in sequences.items():
+        for d in range(len(turns) + 1):
+            members[tuple(turns[:d])].append(c)
+        ends[tuple(turns)].append(c)
+    children, leaves, saved = defaultdict(int), defaultdict(int), defaultdict(int)
+    for node in members:
+        if node:
+            children[node[:-1]] += 1
+    for node, inside in members.items():
+        words = len(re.findall(r"[^\x20\x09-\x0D]+", node[-1][1])) if node else 0
+        for d in range(len(node) + 1):
+            saved[node[:d]] += (len(inside) - 1) * words
+            leaves[node[:d]] += node not in children
+    return sorted(
+        (
+            (min(inside), len(node), min(members[node[:-1]]) if node else None, len(inside), children.get(node, 0), leaves[node], saved[node],
+             hashlib.sha256(",".join(map(str, sorted(ends.get(node, [])))).encode()).hexdigest())
+            for node, inside in members.items()
+        ),
+        key=repr,
+    )
+
+
+def trie(df, branched=False):
+    turns = conversations.turns(df)
+    if branched:
+        shared = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 4
+        turns = conversations.branched(turns, F.col("conv_id") - F.col("conv_id") % 20, shared, most=3)
+    return sorted((tuple(r) for r in conversations.prefix_trie(turns).collect()), key=repr)
+
+
+def some_rows(seed, convs, longest, alphabet):
+    rng = random.Random(seed)
+    texts = [" ".join(rng.choice(["a", "bb", "c\tc", "", "é"]) for _ in range(rng.randint(0, 4))) + str(k) for k in range(alphabet)]
+    kept, rows = [], []
+    for c in convs:
+        turns = list(rng.choice(kept)) if kept and rng.random() < 0.6 else []
+        turns = turns[: rng.randint(0, len(turns))] if rng.random() < 0.5 else turns
+        while len(turns) < rng.randint(1, longest):
+            turns.append((rng.choice(["user", "assistant", None]), rng.choice([*texts, None])))
+        kept.append(turns)
+        rows += [(c, t if t else None, role, text) for t, (role, text) in enumerate(turns)]
+    rng.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize("branched, shard_rows", [(True, 5), (False, 50_000)])
+def test_trie_equals_a_plain_one(spark, monkeypatch, branched, shard_rows):
+    monkeypatch.setattr(conversations, "SHARD_ROWS", shard_rows)
+    rows = some_rows(shard_rows, [*range(-25, 60), 100, 119, 120, 10**12], 6, 3)
+    df = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    want = plain_trie(plain_branched(rows) if branched else plain_sequences(rows))
+    assert trie(df, branched) == want
+
+
+def test_long_conversations_are_cut_into_bands(spark, monkeypatch):
+    monkeypatch.setattr(conversations, "SHARD_ROWS", 4)
+    start = [("user", f"t{k} x") for k in range(130)]
+    ways = {
+        1: start, 2: start, 3: start[:64], 4: start[:64], 5: start[:32], 6: start[:96] + [("user", "other")] * 40, 7: start[:33],
+        8: start[:31], 9: start[:31] + [("user", "new")] * 70, 10: [("user", "new")] * 64, 11: start[:127], 12: start[:64] + [("user", "end")],
+        13: start[:32], 14: start[:32] + [("user", "b")],
+    }
+    rows = [(c, t, role, text) for c, turns in ways.items() for t, (role, text) in enumerate(turns)]
+    random.Random(3).shuffle(rows)
+    df = spark.createDataFrame(rows, SCHEMA).repartition(7)
+    assert trie(df) == plain_trie(plain_sequences(rows))
+    assert trie(df, True) == plain_trie(plain_branched(rows))
+
+
+def test_a_group_of_equal_conversations_spreads_over_shards(spark, monkeypatch):
+    monkeypatch.setattr(conversations, "SHARD_ROWS", 40)
+    monkeypatch.setattr(conversations, "PIECE", 7)
+    rows = [(c, t, "user", f"same {t}") for c in range(1, 400) for t in range(3)] + [(c, 3, "user", f"own {c}") for c in range(350, 400)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    dealt, edges = conversations._sharded(
+        conversations._bands(conversations.turns(df)).selectExpr("*", "0L AS p1", "0L AS p2", "false AS more", "0L AS after_saved", "0L AS after_leaves")
+    )
+    assert max(r["n"] for r in dealt.groupBy("shard").agg(F.count("*").alias("n")).collect()) < 200
+    assert any(above == 3 for above, _ in edges.values())
+    assert trie(df) == plain_trie(plain_sequences(rows))
+
+
+def test_odd_rows(spark):
+    schema = SCHEMA + ", depth long, `a.b` string, key string, __shard int"
+    odd = [
+        (1, None, None, None), (1, 0, "user", ""), (1, 0, "user", ""), (1, 2, "assistant", "tie b"), (1, 2, "assistant", "tie a"),
+        (None, 1, "user", "no conversation"), (2, None, "user", "x " * 60_000), (3, -5, "us", "erx"), (4, -5, "user", "x"), (20, 1, "user", "only"),
+    ]
+    df = spark.createDataFrame([(*r, 7, "clash", "k", 1) for r in odd], schema)
+    assert trie(df) == plain_trie(plain_sequences(odd))
+    assert trie(df, True) == plain_trie(plain_branched(odd))
+    # Conversations that are left without turns are members of the root.
+    few = [(c, 0, "user", "short") for c in range(21, 40)]
+    got = trie(spark.createDataFrame(few, SCHEMA), True)
+    assert got == plain_trie(plain_branched(few)) and got[0][1] == 0 and any(r[1] == 0 and r[7] != conversations.EMPTY for r in got)
+    assert trie(spark.createDataFrame([(21, 0, "user", "one")], SCHEMA), True) == plain_trie(plain_branched([(21, 0, "user", "one")]))
+    assert trie(spark.createDataFrame([], SCHEMA), True) == []
+    assert trie(spark.createDataFrame([(None, 1, "a", "b")], SCHEMA)) == []
+
+
+@pytest.mark.parametrize("fold", ["sum", "xor"])
+def test_running_totals_cross_partitions(spark, fold):
+    rng = random.Random(4)
+    rows = [(r, k, rng.randint(-(2**40), 2**40)) for r, n in ((1, 3), (5, 500), (6, 1), (9, 90)) for k in range(n)]
+    rng.shuffle(rows)
+    for partitions in (1, 4, 37):
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        try:
+            df = spark.createDataFrame(rows, "r long, k long, v long")
+            got = {(x.r, x.k): x.v_before for x in running(df, "r", [F.col("k").desc()], {"v": fold}).collect()}
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", 4)
+        want = {}
+        for run in {r[0] for r in rows}:
+            values = sorted((x for x in rows if x[0] == run), key=lambda x: -x[1])
+            step = (lambda a, b: a + b) if fold == "sum" else (lambda a, b: a ^ b)
+            for x, total in zip(values, [0, *accumulate((v[2] for v in values), step)]):
+                want[x[0], x[1]] = total
+        assert got == want
+    assert running(spark.createDataFrame([], "r long, k long, v long"), "r", [F.col("k")], {"v": fold}).count() == 0
+
+
+def test_query_equals_a_plain_trie(spark, star):
+    rows = [tuple(r) for r in spark.read.parquet(f"{star}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
+    got = llm_queries()["op11_conversation_trie"](spark, star)
+    assert got.columns == ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == plain_trie(plain_branched(rows))
