@@ -146,9 +146,22 @@ SELECT k.conv_id, CAST(k.depth AS BIGINT) AS depth, above.conv_id AS parent_conv
     CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, k.ends AS ends_sha256
 FROM known k JOIN under USING (node) LEFT JOIN known above ON k.depth > 0 AND above.node = k.node[1 : k.depth - 1]"""
 
+EXACT_TOP_K = """
+WITH v AS (
+    SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS z
+    FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+met AS (
+    SELECT q.r, q.vec_id AS query_id, c.vec_id,
+        CAST(list_sum(list_transform(list_zip(q.z, c.z), lambda p: p[1] * p[2])) AS BIGINT) AS score
+    FROM v q JOIN v c ON q.r <> c.r AND len(q.z) = len(c.z) WHERE q.vec_id % 100 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST) AS INTEGER) AS rank, vec_id, score
+FROM met QUALIFY row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST) <= 10"""
+
 ORACLES: dict[str, str] = {
     "op2_decontamination": DECONTAMINATION,
     "op3_near_dedup": NEAR_DEDUP,
     "op5_url_filter": URL_FILTER,
     "op11_conversation_trie": CONVERSATION_TRIE,
+    "op12_exact_top_k": EXACT_TOP_K,
 }

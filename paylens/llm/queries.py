@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paylens.llm import bpe, conversations, decontaminate, fingerprints, html_text, language, near_dedup, quality, secrets, token_count, url_filter
+from paylens.llm import bpe, conversations, decontaminate, fingerprints, html_text, language, near_dedup, quality, secrets, token_count, top_search, url_filter
 from paylens.llm.oracle import ORACLES  # noqa: F401
 
 #: Verdict, host, path.
@@ -82,11 +82,17 @@ def op11_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
     return conversations.prefix_trie(conversations.branched(turns, base, shared, most=3))
 
 
+def op12_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = top_search.integer_vectors(_table(spark, folder, "embeddings"))
+    return top_search.top_k(vectors, F.col("vec_id") % 100 == 0, k=10)
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
             op1_fingerprints, op2_decontamination, op3_near_dedup, op4_html_text, op5_url_filter,
             op6_language, op7_token_counts, op8_quality, op9_bpe, op10_secrets, op11_conversation_trie,
+            op12_exact_top_k,
         )
     }
