@@ -158,10 +158,43 @@ met AS (
 SELECT query_id, CAST(row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST) AS INTEGER) AS rank, vec_id, score
 FROM met QUALIFY row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST) <= 10"""
 
+SPELLING_VARIANTS = f"""
+WITH RECURSIVE crc AS ({_CRC_TABLE}),
+run AS (
+    SELECT doc_id, run, count(*) AS n
+    FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[a-z\\x{{C0}}-\\x{{FF}}]+')) AS run FROM documents)
+    GROUP BY doc_id, run),
+hashed AS (
+    SELECT run, n, {_crc32("coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run")} AS h FROM run, crc WHERE len(run) >= 7),
+made AS (
+    SELECT CASE WHEN h % 31 = 0 THEN left(run, h % len(run)) || substr(run, h % len(run) + 2) ELSE run END AS word, n FROM hashed),
+v AS (
+    SELECT word, CAST(sum(n) AS BIGINT) AS n FROM made WHERE len(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+cut AS (
+    SELECT word, p, left(word, p - 1) || substr(word, p + 1) AS rest FROM (SELECT word, unnest(range(1, len(word) + 1)) AS p FROM v)),
+near AS (
+    SELECT word, rest AS other FROM cut SEMI JOIN v ON v.word = cut.rest
+    UNION SELECT rest, word FROM cut SEMI JOIN v ON v.word = cut.rest
+    UNION SELECT a.word, b.word FROM cut a JOIN cut b ON a.p = b.p AND a.rest = b.rest AND a.word <> b.word),
+best AS (
+    SELECT near.word, count(*) OVER (PARTITION BY near.word) AS n_near, other AS form, v.n AS form_n
+    FROM near JOIN v ON v.word = other
+    QUALIFY row_number() OVER (PARTITION BY near.word ORDER BY v.n DESC, other) = 1),
+formed AS (
+    SELECT v.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 10 * n THEN form END AS form,
+        CASE WHEN form_n >= 10 * n THEN form_n END AS form_n
+    FROM v LEFT JOIN best USING (word)),
+chain AS (
+    SELECT word, word AS root, 0 AS steps FROM formed
+    UNION ALL SELECT chain.word, formed.form, steps + 1 FROM chain JOIN formed ON formed.word = chain.root WHERE formed.form IS NOT NULL)
+SELECT word, form, max_by(root, steps) AS root, any_value(n) AS n, CAST(any_value(n_near) AS BIGINT) AS n_near, any_value(form_n) AS form_n
+FROM chain JOIN formed USING (word) GROUP BY word, form"""
+
 ORACLES: dict[str, str] = {
     "op2_decontamination": DECONTAMINATION,
     "op3_near_dedup": NEAR_DEDUP,
     "op5_url_filter": URL_FILTER,
     "op11_conversation_trie": CONVERSATION_TRIE,
     "op12_exact_top_k": EXACT_TOP_K,
+    "op13_spelling_variants": SPELLING_VARIANTS,
 }

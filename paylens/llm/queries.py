@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paylens.llm import bpe, conversations, decontaminate, fingerprints, html_text, language, near_dedup, quality, secrets, token_count, top_search, url_filter
+from paylens.llm import bpe, conversations, decontaminate, fingerprints, html_text, language, near_dedup, quality, secrets, spelling, token_count, top_search, url_filter
 from paylens.llm.oracle import ORACLES  # noqa: F401
 
 #: Verdict, host, path.
@@ -87,12 +87,16 @@ def op12_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
     return top_search.top_k(vectors, F.col("vec_id") % 100 == 0, k=10)
 
 
+def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(spelling.words(_table(spark, folder, "documents"), every=31), times=10)
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
             op1_fingerprints, op2_decontamination, op3_near_dedup, op4_html_text, op5_url_filter,
             op6_language, op7_token_counts, op8_quality, op9_bpe, op10_secrets, op11_conversation_trie,
-            op12_exact_top_k,
+            op12_exact_top_k, op13_spelling_variants,
         )
     }
