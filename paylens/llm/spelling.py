@@ -7,8 +7,11 @@
    these counts by a surplus of one letter, a deficit of one letter, or one of
    each. So the search for the neighbours of a word goes down the trie depth
    first, and spends a budget of one surplus and one deficit on the way: at each
-   level it follows the own count, one more while the surplus is left, and one
-   less while the deficit is left.
+   level it follows the own count, or one more while the surplus is left, or one
+   less while the deficit is left. Of two words that differ in their counts, one
+   has the surplus at the first level where they do. Only the other one searches
+   for it, so each pair is met once, and counts for both: a deficit is spent
+   after the surplus.
 3. *Leaves.* The words below a leaf have the same letters. They are verified:
    compared one by one, or, where they are many, looked up by the words that the
    edit can make, whose number does not depend on the leaf.
@@ -33,7 +36,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -44,13 +47,15 @@ from paylens.llm.common import map_rows, prepare
 #: Code points of a word, at least; distinct words that a task gathers before it gives counts.
 LEAST, GATHERED = 7, 200_000
 #: Words of a shard, at most but for a node of equal letters' part; shards for each shuffle partition, if words are few.
-SHARD_WORDS, FEWEST, SHARDS = 50_000, 500, 4
+SHARD_WORDS, FEWEST, SHARDS = 50_000, 500, 2
 #: Distinct vectors that a node of the trie lists instead of splitting them by the next letter.
 BUCKET = 6
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 #: The letters of the last level, a fixed range of the words: U+00C0 to U+00FF.
 OTHERS = "".join(map(chr, range(0xC0, 0x100)))
 LEVELS = len(LETTERS) + 1
+#: What a search has spent.
+_NONE, _SURPLUS, _BOTH = range(3)
 RUN = re.compile(f"[a-z{OTHERS[0]}-{OTHERS[-1]}]{{{LEAST},}}")
 
 
@@ -108,15 +113,14 @@ class Trie:
 
     WIDE = 32  # bits of a count in a packed vector
 
-    def __init__(self, letters: str, members: dict[str, int]):
-        self.letters, self.counts = letters, members
+    def __init__(self, letters: str, members: Iterable[str]):
+        self.letters = letters
         unit = [1 << (self.WIDE * i) for i in range(LEVELS)]
         #: What an edit does to a packed vector: the letters in surplus and in deficit, if any.
         self.edits: dict[int, tuple[int | None, int | None]] = {0: (None, None)}
         for i in range(LEVELS):
             self.edits[unit[i]] = (i, None)
-            self.edits[-unit[i]] = (None, i)
-            self.edits |= {unit[i] - unit[j]: (i, j) for j in range(LEVELS) if j != i}
+            self.edits |= {unit[i] - unit[j]: (i, j) for j in range(i + 1, LEVELS)}
         leaves: dict[tuple[int, ...], set[str]] = {}
         for word in members:
             leaves.setdefault(vector(word, letters), set()).add(word)
@@ -134,27 +138,31 @@ class Trie:
             split.setdefault(entry[0][level], []).append(entry)
         return {count: self._node(below, level + 1) for count, below in split.items()}
 
-    def near(self, word: str) -> Iterator[str]:
-        """The words one edit from a word."""
+    def near(self, word: str) -> Iterator[tuple[str, bool]]:
+        """The words one edit from a word that have the surplus at the first level of different counts, or the same counts.
+
+        With each, whether it does not meet this word in its own search.
+        """
         v = vector(word, self.letters)
         own, edits = self.packed(v), self.edits
-        todo = [(self.root, 0, True, True)]
+        todo = [(self.root, 0, _NONE)]
         while todo:
-            node, level, surplus, deficit = todo.pop()
+            node, level, spent = todo.pop()
             if type(node) is list:
                 for packed, leaf in node:
                     edit = edits.get(packed - own)
                     if edit is not None:
-                        yield from self._verified(word, v, leaf, *edit)
+                        once = packed != own
+                        yield from ((w, once) for w in self._verified(word, v, leaf, *edit))
                 continue
             count = v[level]
             below = node.get(count)
             if below is not None:
-                todo.append((below, level + 1, surplus, deficit))
-            if surplus and (below := node.get(count + 1)) is not None:
-                todo.append((below, level + 1, False, deficit))
-            if deficit and (below := node.get(count - 1)) is not None:
-                todo.append((below, level + 1, surplus, False))
+                todo.append((below, level + 1, spent))
+            if spent == _NONE and (below := node.get(count + 1)) is not None:
+                todo.append((below, level + 1, _SURPLUS))
+            elif spent == _SURPLUS and (below := node.get(count - 1)) is not None:
+                todo.append((below, level + 1, _BOTH))
 
     def _group(self, level: int) -> str:
         return self.letters[level] if level < LEVELS - 1 else OTHERS
@@ -209,7 +217,9 @@ def _cut(vocabulary: DataFrame, letters: str, most: int) -> dict:
         names = [f"c{i}" for i in range(level)]
         rows = counted
         if level > 1:
-            rows = rows.join(spark.createDataFrame(large, ", ".join(f"{c} int" for c in names[:-1])), names[:-1], "left_semi")
+            # A row for each node of more than `most` words.
+            nodes = spark.createDataFrame(large, ", ".join(f"{c} int" for c in names[:-1]))
+            rows = rows.join(F.broadcast(nodes), names[:-1], "left_semi")
         found = rows.groupBy(*names).agg(F.count("*").alias("n")).collect()
         large = []
         for row in sorted(tuple(r) for r in found):
@@ -230,19 +240,19 @@ def _cut(vocabulary: DataFrame, letters: str, most: int) -> dict:
 
 def reached(top: dict, v: tuple[int, ...]) -> Iterator[tuple[int, int, bool]]:
     """(first shard, shards, whether it is the own one) of the nodes of the cut within the budget of a vector."""
-    todo = [(top, 0, True, True, True)]
+    todo = [(top, 0, _NONE)]
     while todo:
-        node, level, surplus, deficit, own = todo.pop()
+        node, level, spent = todo.pop()
         if type(node) is tuple:
-            yield *node, own
+            yield *node, spent == _NONE
             continue
         count = v[level]
         if count in node:
-            todo.append((node[count], level + 1, surplus, deficit, own))
-        if surplus and count + 1 in node:
-            todo.append((node[count + 1], level + 1, False, deficit, False))
-        if deficit and count - 1 in node:
-            todo.append((node[count - 1], level + 1, surplus, False, False))
+            todo.append((node[count], level + 1, spent))
+        if spent == _NONE and count + 1 in node:
+            todo.append((node[count + 1], level + 1, _SURPLUS))
+        elif spent == _SURPLUS and count - 1 in node:
+            todo.append((node[count - 1], level + 1, _BOTH))
 
 
 def _sent(vocabulary: DataFrame, letters: str, top: dict) -> DataFrame:
@@ -268,42 +278,62 @@ def _sent(vocabulary: DataFrame, letters: str, top: dict) -> DataFrame:
 
 
 def _found(sent: DataFrame, letters: str) -> DataFrame:
-    """(word, n_near, best_n, best): what each word finds in each shard."""
+    """(word, n_near, best_n, best): what each word finds in each shard, and what finds it there."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
-        def answer(trie: Trie, word: str) -> None:
-            n, best = 0, None
-            for near in trie.near(word):
-                n += 1
-                key = (-trie.counts[near], near)
-                if best is None or key < best:
-                    best = key
-            if best is not None:
-                for c, value in zip(out, (word, n, -best[0], best[1])):
-                    out[c].append(value)
-
         shard, kept, trie = None, {}, None
+        #: Of a shard's own words: how many words are near, and the best of them as (-n, word).
+        met: dict[str, tuple[int, tuple[int, str]]] = {}
         out: dict[str, list] = {"word": [], "n_near": [], "best_n": [], "best": []}
+
+        def meets(word: str, key: tuple[int, str], times: int = 1) -> None:
+            before = met.get(word)
+            met[word] = (times, key) if before is None else (before[0] + times, min(key, before[1]))
+
+        def tell(word: str, n: int, key: tuple[int, str]) -> None:
+            for c, value in zip(out, (word, n, -key[0], key[1])):
+                out[c].append(value)
+
+        def ask(word: str, own_n: int) -> tuple[int, tuple[int, str]] | None:
+            n, best = 0, None
+            for near, once in trie.near(word):
+                key = (-kept[near], near)
+                n, best = n + 1, key if best is None else min(key, best)
+                if once:
+                    meets(near, (-own_n, word))
+            return None if best is None else (n, best)
+
+        def built() -> Trie:
+            nonlocal trie
+            trie = Trie(letters, kept)
+            for word, n in kept.items():
+                found = ask(word, n)
+                if found is not None:
+                    meets(word, found[1], found[0])
+            return trie
+
         for batch in batches:
             for here, asks, word, n in zip(*(batch.column(c).to_pylist() for c in ("shard", "asks", "word", "n"))):
-                if here != shard or (asks and trie is None):
+                if here != shard:
                     if kept and trie is None:
-                        trie = Trie(letters, kept)
-                        for w in kept:
-                            answer(trie, w)
-                    if here != shard:
-                        shard, kept, trie = here, {}, None
-                if asks:
-                    if trie is not None:
-                        answer(trie, word)
-                else:
+                        built()
+                    for w, found in met.items():
+                        tell(w, *found)
+                    shard, kept, trie, met = here, {}, None, {}
+                if not asks:
                     kept[word] = n
+                elif kept:
+                    if trie is None:
+                        built()
+                    found = ask(word, n)
+                    if found is not None:
+                        tell(word, *found)
             yield out
             out = {c: [] for c in out}
         if kept and trie is None:
-            trie = Trie(letters, kept)
-            for w in kept:
-                answer(trie, w)
+            built()
+        for w, found in met.items():
+            tell(w, *found)
         yield out
 
     shards = sent.repartition("shard").sortWithinPartitions("shard", "asks")
