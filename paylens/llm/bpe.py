@@ -32,7 +32,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paylens.llm.common import map_rows, prepare
+from paylens.llm.common import Recent, at_task_end, map_rows, prepare, sliced
 
 #: The pre-split of byte-level encoding, a fixed value of the vocabulary's format: contractions, runs of
 #: letters, of numbers and of other signs, each with a blank before it, and white space.
@@ -54,8 +54,8 @@ def pre_split(text: str) -> list[str]:
     return PRE_SPLIT_LATIN.findall(text)
 
 
-#: Distinct words whose ids a worker keeps; longer words (in bytes) are not kept.
-KEPT, KEPT_BYTES = 250_000, 64
+#: Distinct words whose ids a task keeps; longer words (in bytes) are not kept. Arcs of the table that it keeps.
+KEPT, KEPT_BYTES, ARCS = 160_000, 64, 400_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -79,6 +79,7 @@ class TokenAutomaton:
         self.right = {token: ((token, end),) for token in by_bytes.values()}
         self.left = dict(self.right)
         self.rows: dict[int, dict[int, bool]] = {}
+        self.arcs = 0
         for i, (u, v, uv) in enumerate(merges):
             if uv in self.right:
                 raise ValueError("two merges make one token")
@@ -93,7 +94,7 @@ class TokenAutomaton:
         for label in by_bytes:
             if len(label) > 2:
                 self.reach[label[:3]] = max(len(label), self.reach.get(label[:3], 0))
-        self.known = _Words(self)
+        self.known = _words(self)
 
     @classmethod
     def from_file(cls, path: str) -> TokenAutomaton:
@@ -126,6 +127,10 @@ class TokenAutomaton:
             row = self.rows[before] = {}
         answer = row.get(token)
         if answer is None:
+            if self.arcs >= ARCS:
+                self.rows, self.arcs, row = {}, 0, {}
+                self.rows[before] = row
+            self.arcs += 1
             answer = row[token] = not self._lost(before, token)
         return answer
 
@@ -206,35 +211,28 @@ class TokenAutomaton:
         return n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(spelled.encode()).hexdigest()
 
 
-class _Words(dict):
+def _words(automaton: TokenAutomaton) -> Recent:
     """Printed ids of words, and the text that their arcs spell, kept up to a bound.
 
     Each word is encoded and decoded once; ids that do not spell their word raise.
     """
 
-    def __init__(self, automaton: TokenAutomaton):
-        super().__init__()
-        self.automaton = automaton
-
-    def __missing__(self, word: str) -> tuple[str, str]:
-        raw = word.encode()
-        ids = self.automaton.encode_word(raw)
-        spelled = self.automaton.decode(ids)
+    def make(word: str) -> tuple[str, str]:
+        ids = automaton.encode_word(word.encode())
+        spelled = automaton.decode(ids)
         if spelled != word:
             raise ValueError("the ids of a word do not spell it")
-        found = ",".join(map(str, ids)), spelled
-        if len(raw) <= KEPT_BYTES:
-            if len(self) >= KEPT:
-                self.clear()
-            self[spelled] = found  # equal to the word, and kept once
-        return found
+        return ",".join(map(str, ids)), spelled
+
+    return Recent(make, KEPT, keep=lambda word: len(word) <= KEPT_BYTES // 4 or len(word.encode()) <= KEPT_BYTES)
 
 
 _AUTOMATA: dict[str, TokenAutomaton] = {}
+at_task_end(_AUTOMATA.clear)
 
 
 def worker_automaton(path: str) -> TokenAutomaton:
-    """One automaton a Python worker and vocabulary, compiled once."""
+    """One automaton a task and vocabulary."""
     if path not in _AUTOMATA:
         _AUTOMATA[path] = TokenAutomaton.from_file(path)
     return _AUTOMATA[path]
@@ -250,7 +248,7 @@ def encoded(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
         automaton = worker_automaton(vocabulary)
-        for batch in batches:
+        for batch in sliced(batches):
             ids = [automaton.encode(t or "") for t in batch.column(1).to_pylist()]
             yield {"doc_id": batch.column(0), "n_tokens": [len(i) for i in ids], "ids": ids}
 
@@ -264,7 +262,7 @@ def decoded(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col: s
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
         automaton = worker_automaton(vocabulary)
-        for batch in batches:
+        for batch in sliced(batches):
             yield {"doc_id": batch.column(0), "text": [automaton.decode(i or []) for i in batch.column(1).to_pylist()]}
 
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).alias("ids"))
@@ -277,7 +275,7 @@ def round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
         automaton = worker_automaton(vocabulary)
-        for batch in batches:
+        for batch in sliced(batches):
             found = [automaton.digests(t or "") for t in batch.column(1).to_pylist()]
             yield {
                 "doc_id": batch.column(0),

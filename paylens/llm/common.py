@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
+import sys
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -49,6 +53,61 @@ def map_rows(
     return df.mapInArrow(run, schema)
 
 
+#: Rows of an Arrow batch that are taken as Python values at once, where this matters for memory.
+SLICE = 512
+_AT_TASK_END: list[Callable[[], None]] = []
+
+
+def at_task_end(clear: Callable[[], None]) -> None:
+    """What a module keeps in a Python worker lives for one task: ``clear`` is called when that is over."""
+    _AT_TASK_END.append(clear)
+
+
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of few rows; at the end of the task, what was kept for it goes back to the system.
+
+    Python workers are used again by later stages, so that memory which one
+    stage keeps is missing in all that follow.
+    """
+    try:
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                yield batch.slice(at, SLICE)
+    finally:
+        for clear in _AT_TASK_END:
+            clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if sys.platform == "linux":
+            with contextlib.suppress(OSError, AttributeError):  # a C library without it
+                ctypes.CDLL(None).malloc_trim(0)
+
+
+class Recent(dict):
+    """Values by key, made when first asked for. At the bound, the older half is set aside, and dropped if not asked for."""
+
+    def __init__(self, make: Callable, most: int, keep: Callable | None = None):
+        super().__init__()
+        self.make, self.half, self.keep = make, max(1, most // 2), keep
+        self.older: dict = {}
+
+    def __missing__(self, key):
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+            if self.keep is not None and not self.keep(key):
+                return value
+        if len(self) >= self.half:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+    def forget(self) -> None:
+        self.clear()
+        self.older = {}
+
+
 def map_texts(df: DataFrame, text: str, change: Callable[[list], tuple[list, list]], length: str | None = None) -> DataFrame:
     """Change the texts of some rows and drop others; all columns stay, of whatever name and type.
 
@@ -56,7 +115,7 @@ def map_texts(df: DataFrame, text: str, change: Callable[[list], tuple[list, lis
     booleans: which rows stay. ``length`` names a column for the new code points.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             at = batch.schema.get_field_index(text)
             old = batch.column(at).to_pylist()
             new, stays = change(old)
