@@ -30,11 +30,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from paylens.llm.common import map_rows, mixed, prepare, spaced_words, streams
+from paylens.llm.common import Recent, at_task_end, map_rows, mixed, prepare, sliced, spaced_words, streams
 from paylens.llm.components import components
 
 COORDINATES, AGREEMENTS = 48, 22
@@ -46,17 +46,8 @@ FILTER_BITS = 20
 KEPT_WORDS = 150_000
 
 
-class _WordHashes(dict):
-    """64-bit hashes of words, kept up to a bound."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= KEPT_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
-
-
-_HASHES = _WordHashes()
+_HASHES = Recent(xxhash.xxh64_intdigest, KEPT_WORDS)
+at_task_end(_HASHES.forget)
 
 
 def shingles(text: str, width: int) -> np.ndarray:
@@ -93,7 +84,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataF
     """One row a document: n_shingles, the key of its set and the signature; no key if empty."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
-        for batch in batches:
+        for batch in sliced(batches):
             sizes, keys, found = [], [], []
             for text in batch.column(1).to_pylist():
                 hashes = shingles(text or "", width)
@@ -111,11 +102,18 @@ def _short(keys: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(k[:8] for k in keys), np.int64)
 
 
+def _short_of(column: str) -> Column:
+    """The same of a column: 64 bits, the first byte lowest."""
+    digits = F.hex(column)
+    return F.conv(F.concat(*(F.substring(digits, k, 2) for k in range(15, 0, -2))), 16, -10).cast("long")
+
+
 def _postings(nodes: DataFrame) -> DataFrame:
     """(token, n, node, signature): the rarest coordinate-value pairs of each node, of two nodes at least.
 
-    From here to the groups, nodes go by short keys, and signatures by the lower
-    halves of their values: this is most of what is shuffled.
+    From here to the groups, nodes go by short keys, and signatures by the lowest
+    bytes of their values (two differing values share one in 256 times, so counts
+    of agreements are a little too high, never too low): this is most of what is shuffled.
     """
 
     def parts(batches: Iterator[pa.RecordBatch], spread: bool) -> Iterator[dict[str, list]]:
@@ -127,7 +125,7 @@ def _postings(nodes: DataFrame) -> DataFrame:
                 tokens = (values.astype(np.int64) + lanes).ravel()
                 yield {"token": pa.array(tokens), "node": pa.array(np.repeat(shorts, COORDINATES))}
             else:
-                yield {"node": pa.array(shorts), "signature": [v.tobytes() for v in values.astype(np.uint16)]}
+                yield {"node": pa.array(shorts), "signature": [v.tobytes() for v in values.astype(np.uint8)]}
 
     chosen = nodes.select("node", "signature")
     tokens = map_rows(chosen, "token long, node long", lambda b: parts(b, True))
@@ -187,7 +185,7 @@ def _trees(nodes: list, linked) -> list[tuple]:
 
 
 def agreeing(signatures: list[bytes]):
-    table = np.array([np.frombuffer(s, np.uint16) for s in signatures])
+    table = np.array([np.frombuffer(s, np.uint8) for s in signatures])
 
     def linked(x: int, rest: np.ndarray) -> np.ndarray:
         return (table[rest] == table[x]).sum(1) >= AGREEMENTS
@@ -258,7 +256,7 @@ def _sets(docs: DataFrame, text_col: str, width: int, wanted: DataFrame) -> Data
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
         table = np.frombuffer(shared.value, np.uint32)
         seen: set[bytes] = set()
-        for batch in batches:
+        for batch in sliced(batches):
             keys, sets = [], []
             for text in batch.column(0).to_pylist():
                 hashes = shingles(text or "", width)
@@ -274,8 +272,8 @@ def _sets(docs: DataFrame, text_col: str, width: int, wanted: DataFrame) -> Data
             yield {"node": keys, "short": _short(keys).tolist(), "shingles": sets}
 
     found = map_rows(docs.select(F.col(text_col).alias("text")), "node binary, short long, shingles binary", rows)
-    # Copies meet before their sets are shuffled: a task sends one of each.
-    return found.groupBy("node", "short").agg(F.first("shingles").alias("shingles"))
+    # Copies have met in their task, which sends one of each; the others meet where they are joined by short key.
+    return found.repartition("short").groupBy("node", "short").agg(F.first("shingles").alias("shingles"))
 
 
 def links(docs: DataFrame, nodes: DataFrame, text_col: str, width: int, percent: int) -> DataFrame:
@@ -283,10 +281,12 @@ def links(docs: DataFrame, nodes: DataFrame, text_col: str, width: int, percent:
     met = _postings(nodes).withColumn("blocks", F.ceil(F.col("n") / BLOCK_NODES))
     met = _in_blocks(met.withColumnRenamed("token", "key"), "key", "blocks")
     groups = components(_tree_rows(met, "signature", agreeing, "long").distinct(), "a", "b").checkpoint()
-    sets = _sets(docs, text_col, width, groups).join(groups.withColumnRenamed("node", "short"), "short").checkpoint()
-    sizes = sets.groupBy("root").agg(F.sum(F.octet_length("shingles") / 8).alias("n"))
-    met = sets.join(sizes, "root").withColumn("blocks", F.ceil(F.col("n") / BLOCK_SHINGLES))
-    met = _in_blocks(met.withColumnRenamed("root", "key"), "key", "blocks")
+    # How large the sets of a group are together is known before they are made, so they are shuffled twice only.
+    sized = nodes.select(_short_of("node").alias("node"), "n_shingles").join(groups, "node")
+    sizes = sized.groupBy("root").agg(F.sum("n_shingles").alias("n"))
+    known = groups.join(sizes, "root").select(F.col("node").alias("short"), F.col("root").alias("key"), "n")
+    met = _sets(docs, text_col, width, groups).join(known, "short").withColumn("blocks", F.ceil(F.col("n") / BLOCK_SHINGLES))
+    met = _in_blocks(met, "key", "blocks")
     return _tree_rows(met, "shingles", lambda values: overlapping(values, percent), "binary").distinct()
 
 
@@ -303,7 +303,7 @@ def near_duplicates(
     prepare(docs.sparkSession)
     found = signatures(docs, id_col, text_col, width).checkpoint()
     worded = found.where("node is not null")
-    nodes = worded.groupBy("node").agg(F.first("signature").alias("signature"))
+    nodes = worded.groupBy("node").agg(F.first("signature").alias("signature"), F.first("n_shingles").alias("n_shingles"))
     roots = components(links(docs, nodes, text_col, width, percent), "a", "b")
     # Nodes without a link are their own roots.
     placed = worded.select("doc_id", "n_shingles", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -344,7 +344,7 @@ def _with_node(docs: DataFrame, text_col: str, width: int) -> DataFrame:
     schema = StructType([*docs.schema.fields, StructField("__node", BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             hashes = (shingles(t or "", width) for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist())
             keys = pa.array([set_key(h) if len(h) else None for h in hashes], pa.binary())
             fields = [*batch.schema, pa.field("__node", pa.binary())]
