@@ -5,19 +5,19 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def null_profile(df: DataFrame, table: str) -> DataFrame:
-    """Nulls per column from one pass over the table; NaN counts as null."""
-    floating = {f.name for f in df.schema.fields if f.dataType.typeName() in ("float", "double")}
+def null_or_nan(df: DataFrame, name: str) -> Column:
+    column = F.col(name)
+    floating = df.schema[name].dataType.typeName() in ("float", "double")
+    return column.isNull() | F.isnan(column) if floating else column.isNull()
 
-    def missing(name):
-        column = F.col(name)
-        return column.isNull() | F.isnan(column) if name in floating else column.isNull()
 
-    counts = df.agg(*[F.count_if(missing(c)).alias(c) for c in df.columns])
+def null_profile(df: DataFrame, table: str) -> DataFrame:
+    """Nulls per column from one pass over the table; NaN counts as null."""
+    counts = df.agg(*[F.count_if(null_or_nan(df, c)).alias(c) for c in df.columns])
     return counts.unpivot([], df.columns, "column_name", "null_count").select(
         F.lit(table).alias("table_name"), "column_name", "null_count"
     )

@@ -1,13 +1,21 @@
-"""Writers: CSV, partitioned Parquet, catalog tables."""
+"""Writers: CSV, partitioned Parquet, catalog tables.
+
+Parquet folders and catalog tables are kept in versions (``versions.py``): a
+replace is seen whole or not at all, and its null counts are taken on the way.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from concurrent.futures import ThreadPoolExecutor
+from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from paylens import schemas
+from paylens.operators.quality import null_or_nan
+from paylens.sinks.versions import Versions
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -15,23 +23,78 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
+def _missing(df: DataFrame) -> list[Column]:
+    """Rows and nulls per column, as ``operators.quality.null_profile`` counts them."""
+    return [F.count(F.lit(1)).alias("rows"), *(F.count_if(null_or_nan(df, c)).alias(f"null:{c}") for c in df.columns)]
+
+
+def _filled(df: DataFrame) -> Callable[[str], dict[str, Any]]:
+    """Write a frame to a folder, partitioned by year and quarter, and tell what was written.
+
+    The rebalance hint lets Spark merge small partitions and split a quarter that
+    holds much of the data, so files come out at a sane size either way. Rows
+    and nulls are counted by the tasks that write.
+    """
+
+    def write(folder: str) -> dict[str, Any]:
+        seen = Observation()
+        counted = df.hint("rebalance", *schemas.PERIOD).observe(seen, *_missing(df))
+        counted.write.partitionBy(*schemas.PERIOD).parquet(folder)
+        told = seen.get
+        nulls = {c: told[f"null:{c}"] for c in df.columns}
+        return {"rows": told["rows"], "nulls": nulls}
+
+    return write
+
+
 def write_table(df: DataFrame, path: str | None = None, table: str | None = None) -> None:
     """Replace a Parquet folder or a catalog table, partitioned by year and quarter.
 
-    The rebalance hint lets Spark merge small partitions and split a quarter that
-    holds much of the data, so files come out at a sane size either way.
+    The old version stays in use until the new one is complete. In the catalog, a
+    table is a view of its current version, in a folder of its database.
     """
     if (path is None) == (table is None):
         raise ValueError("give either a path or a table name")
-    writer = (
-        df.hint("rebalance", *schemas.PERIOD)
-        .write.mode("overwrite")
-        .partitionBy(*schemas.PERIOD)
-    )
+    spark = df.sparkSession
     if path is not None:
-        writer.parquet(path)
-    else:
-        writer.format("parquet").saveAsTable(table)
+        Versions(spark, path).replace(_filled(df))
+        return
+    database, _, name = table.rpartition(".")
+    home = spark.catalog.getDatabase(database or spark.catalog.currentDatabase()).locationUri
+    if spark.catalog.tableExists(table) and spark.catalog.getTable(table).tableType != "VIEW":
+        # A table from before there were versions.
+        spark.sql(f"DROP TABLE {_quoted(table)}")
+    folder = Versions(spark, f"{home.rstrip('/')}/{name}.versions").replace(_filled(df))
+    columns = ", ".join(f"`{c}`" for c in df.columns)
+    spark.sql(f"CREATE OR REPLACE VIEW {_quoted(table)} AS SELECT {columns} FROM parquet.`{folder}`")
+
+
+def _quoted(table: str) -> str:
+    return ".".join(f"`{part}`" for part in table.split("."))
+
+
+def stored_profile(spark: SparkSession, paths: Mapping[str, str]) -> DataFrame:
+    """(table_name, column_name, null_count) of stored tables, as counted when they were written; nothing is scanned."""
+    rows = [
+        (table, column, n)
+        for table, told in _told(spark, paths).items()
+        for column, n in told["nulls"].items()
+    ]
+    return spark.createDataFrame(rows, "table_name string, column_name string, null_count bigint")
+
+
+def stored_dimensions(spark: SparkSession, paths: Mapping[str, str]) -> DataFrame:
+    """(table_name, row_count, column_count) of stored tables, as counted when they were written."""
+    rows = [(table, told["rows"], len(told["nulls"])) for table, told in _told(spark, paths).items()]
+    return spark.createDataFrame(rows, "table_name string, row_count bigint, column_count int")
+
+
+def _told(spark: SparkSession, paths: Mapping[str, str]) -> dict[str, dict[str, Any]]:
+    found = {table: Versions(spark, path).current() for table, path in paths.items()}
+    absent = sorted(table for table, told in found.items() if told is None)
+    if absent:
+        raise ValueError(f"not stored in versions: {absent}")
+    return found
 
 
 def load_tables(

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paylens import schemas
+from paylens.sinks.versions import resolved
 
 
 def _known(name: str) -> str:
@@ -25,8 +26,8 @@ def read_csv_table(spark: SparkSession, path: str, name: str) -> DataFrame:
 
 
 def read_parquet_table(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """A table kept as Parquet; Year and Quarter prune when they are partitions."""
-    frame = spark.read.schema(schemas.TABLES[_known(name)]).parquet(path)
+    """A table kept as Parquet, of its current version if it has versions; Year and Quarter prune when they are partitions."""
+    frame = spark.read.schema(schemas.TABLES[_known(name)]).parquet(resolved(spark, path))
     return frame.select(*schemas.column_names(name))
 
 

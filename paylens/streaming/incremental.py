@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from paylens import schemas
 from paylens.functions import title_case
 from paylens.operators.cleaning import clean_table
+from paylens.sinks.versions import resolved
 from paylens.sources.json_drops import PARSERS, period_keys, table_root
 
 _LEDGER = "path string, modificationTime timestamp, length bigint"
@@ -46,6 +47,7 @@ def load_new_documents(
     Spark reads does.
     """
     target, ledger = (f"{root.rstrip('/')}/{name}" for root in (target_root, ledger_root))
+    target = resolved(spark, target)
     known = _stored(spark, ledger, _LEDGER)
     new = listed_documents(spark, table_root(drop_root, name)).join(
         known, ["path", "modificationTime", "length"], "left_anti"
