@@ -510,8 +510,13 @@ def _summed_up(table: str) -> str:
 
 ORACLES["stored_tables"] = _query("\nUNION ALL ".join(map(_summed_up, schemas.TABLES)))
 ORACLES["exported_tables"] = ORACLES["stored_tables"]
-ORACLES["catalog_tables"] = _query("\nUNION ALL ".join(map(_summed_up, ("agg_ins", "map_trans", "top_user"))))
-for _name in ("agg_trans", "map_ins"):
+ORACLES["catalog_tables"] = ORACLES["stored_tables"]
+ORACLES["loaded_dimensions"] = ORACLES["table_dimensions"]
+ORACLES["loaded_null_profile"] = _query("\nUNION ALL ".join(
+    f"SELECT '{t}' AS table_name, '{c}' AS column_name, {_big(f'(SELECT count(*) FROM {t} WHERE {c} IS NULL)')} AS null_count"
+    for t in schemas.TABLES for c in schemas.column_names(t)
+))
+for _name in ("agg_trans", "agg_user", "map_ins", "map_user"):
     ORACLES[f"document_files_{_name}"] = ORACLES[f"read_{_name}"]
 
 
@@ -552,4 +557,9 @@ ORACLES["brands_in_any_case"] = ORACLES["brand_top_bottom"].replace(
     "SELECT Brand_name, total_users, CASE", "SELECT lower(Brand_name) AS Brand_name, total_users, CASE"
 )
 ORACLES["canonical_pincodes"] = _query(f"SELECT {_columns('top_trans')} FROM top_trans")
-# random_preview draws at random and has no SQL counterpart.
+# The draw is by a digest of seed and key, which both engines have.
+_DRAWN = ", ".join(f"CAST({c} AS VARCHAR)" for c in schemas.natural_key("map_trans"))
+ORACLES["random_preview"] = _query(
+    f"SELECT {_columns('map_trans')} FROM map_trans"
+    f" ORDER BY md5(concat_ws('|', '7', {_DRAWN})), {', '.join(schemas.natural_key('map_trans'))} LIMIT 5"
+)

@@ -18,10 +18,12 @@ from paylens.plans.cases import CASES, QUERIES, CaseYears, run_case
 from paylens.plans.load import export_csv
 from paylens.plans.model import FactModel
 from paylens.session import shared_folder
-from paylens.sinks import load_tables, register_views, write_csv, write_table
+from paylens.sinks import load_tables, register_views, stored_dimensions, stored_profile, write_csv, write_table
 from paylens.sources import geo, tables
+from paylens.sources.grains import grained_model
+from paylens.sources.inputs import fingerprint
 from paylens.sources.json_drops import PARSERS, documents
-from paylens.sources.star_schema import read_star_table, star_model
+from paylens.sources.star_schema import COLUMNS, read_star_table, star_model
 
 # The tables cover 1995 to 2001, the last year up to its third quarter.
 YEARS = CaseYears(base=1995, since=1996, window=(1997, 2001), span=(1995, 2001), target=2000)
@@ -49,7 +51,7 @@ def _consistent_growth_of_whole_years(spark: SparkSession, folder: str) -> DataF
 def _case_report(name: str, spark: SparkSession, folder: str) -> DataFrame:
     """All reports of a case in one plan, every measure of them, as long rows."""
     store_at = _scratch(spark, folder, f"case_{name}")
-    reports = run_case(star_model(spark, folder), name, YEARS, store_at=store_at)
+    reports = run_case(star_model(spark, folder), name, YEARS, store_at=store_at, of_input=_input(spark, folder))
     return reduce(DataFrame.unionByName, [_long(df, q) for q, df in reports.items()])
 
 
@@ -87,6 +89,20 @@ def _scratch(spark: SparkSession, folder: str, name: str) -> str:
     return f"{shared_folder(spark)}/paylens-{spark.sparkContext.applicationId}/{of_input}/{name}"
 
 
+def _input(spark: SparkSession, folder: str) -> str:
+    """What the stored tables of a folder are recognised by."""
+    return fingerprint(spark, [f"{folder.rstrip('/')}/{table}.parquet" for table in COLUMNS])
+
+
+def _grained(spark: SparkSession, folder: str, *families: str) -> FactModel:
+    return grained_model(spark, folder, _scratch(spark, folder, "grains"), families or None)
+
+
+def _sliced(spark: SparkSession, folder: str, dataset: str | None = None) -> FactModel:
+    """The model for one quarter. Active customers come from their grain: from the facts, a quarter of them takes all lineitems."""
+    return _grained(spark, folder, "actives") if dataset == "users" else star_model(spark, folder)
+
+
 def _csv_table(spark: SparkSession, folder: str) -> DataFrame:
     path = _scratch(spark, folder, "csv_table")
     write_csv(star_model(spark, folder).table("agg_ins"), path)
@@ -120,7 +136,7 @@ def _summed_up(model: FactModel, names: Sequence[str]) -> DataFrame:
 def _stored_tables(spark: SparkSession, folder: str) -> DataFrame:
     """Load all nine, find them by name and sum up what was stored."""
     root = _scratch(spark, folder, "stored_tables")
-    load_tables(star_model(spark, folder).all_tables(), root=root)
+    load_tables(_grained(spark, folder).all_tables(), root=root)
     stored = FactModel.from_parquet(spark, root)
     prefix = "stored_tables_"
     listed = register_views(stored.all_tables(), prefix)
@@ -134,7 +150,7 @@ def _stored_tables(spark: SparkSession, folder: str) -> DataFrame:
 def _exported_tables(spark: SparkSession, folder: str) -> DataFrame:
     """All nine as CSV and back."""
     root = _scratch(spark, folder, "exported_tables")
-    export_csv(star_model(spark, folder), root)
+    export_csv(_grained(spark, folder), root)
     return _summed_up(FactModel.from_csv(spark, root), list(schemas.TABLES))
 
 
@@ -143,9 +159,15 @@ def _catalog_tables(spark: SparkSession, folder: str) -> DataFrame:
     session = spark.sparkContext.applicationId.replace("-", "_")
     database = f"paylens_{session}_{hashlib.sha256(folder.encode()).hexdigest()[:12]}"
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
-    chosen = ("agg_ins", "map_trans", "top_user")
-    load_tables({name: star_model(spark, folder).table(name) for name in chosen}, database=database)
-    return _summed_up(FactModel.of(lambda name: tables.scan_table(spark, name, f"{database}.{name}")), chosen)
+    load_tables(_grained(spark, folder).all_tables(), database=database)
+    return _summed_up(FactModel.of(lambda name: tables.scan_table(spark, name, f"{database}.{name}")), list(schemas.TABLES))
+
+
+def _loaded(report: Callable[..., DataFrame], spark: SparkSession, folder: str) -> DataFrame:
+    """What a load of all nine has counted while it wrote them."""
+    root = _scratch(spark, folder, f"loaded_{report.__name__}")
+    load_tables(_grained(spark, folder).all_tables(), root=root)
+    return report(spark, {name: f"{root}/{name}" for name in schemas.TABLES})
 
 
 def _document_files(name: str, spark: SparkSession, folder: str) -> DataFrame:
@@ -158,7 +180,7 @@ def _document_files(name: str, spark: SparkSession, folder: str) -> DataFrame:
         F.regexp_extract("path", r"/(\d+)\.json$", 1).alias("quarter"),
     )
     root = _scratch(spark, folder, f"files_{name}")
-    parts.write.mode("overwrite").partitionBy("state", "year", "quarter").text(root)
+    parts.hint("rebalance", "state", "year", "quarter").write.mode("overwrite").partitionBy("state", "year", "quarter").text(root)
     found = documents(spark, root, file_filter="*.txt", key_pattern=_PARTITION_KEYS)
     return PARSERS[name](found)
 
@@ -166,7 +188,7 @@ def _document_files(name: str, spark: SparkSession, folder: str) -> DataFrame:
 def _explored(dataset: str, spark: SparkSession, folder: str) -> DataFrame:
     """Every report of the explorer's first view of a dataset, from stored tables, as long rows."""
     store_at = _scratch(spark, folder, f"explore_{dataset}")
-    reports = explorer.explore(star_model(spark, folder), dataset, store_at=store_at)
+    reports = explorer.explore(star_model(spark, folder), dataset, store_at=store_at, of_input=_input(spark, folder))
     reports.pop("color_bounds")  # a row without a key, compared on its own
     return reduce(DataFrame.unionByName, [_long(_rounded(df), r) for r, df in sorted(reports.items())])
 
@@ -195,13 +217,13 @@ def _read_slice(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _null_profile(spark: SparkSession, folder: str) -> DataFrame:
-    model = star_model(spark, folder)
+    model = _grained(spark, folder)
     frames = {**model.all_tables(), "map_ins": _raw(model, "map_ins")}
     return quality.null_profiles(frames)
 
 
 def _table_dimensions(spark: SparkSession, folder: str) -> DataFrame:
-    return quality.dimensions(star_model(spark, folder).all_tables())
+    return quality.dimensions(_grained(spark, folder).all_tables())
 
 
 def _standardised(spark: SparkSession, folder: str) -> DataFrame:
@@ -253,7 +275,7 @@ def _canonical_pincodes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _explorer(report: Callable[..., DataFrame], *dataset: str) -> Registered:
-    return lambda spark, folder: report(star_model(spark, folder), *dataset, YEAR, QUARTER)
+    return lambda spark, folder: report(_sliced(spark, folder, *dataset), *dataset, YEAR, QUARTER)
 
 
 def _domain(report: Callable[..., DataFrame], dataset: str) -> Registered:
@@ -262,14 +284,14 @@ def _domain(report: Callable[..., DataFrame], dataset: str) -> Registered:
 
 def _state_metrics(dataset: str) -> Registered:
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        return _rounded(explorer.state_metrics(star_model(spark, folder), dataset, YEAR, QUARTER))
+        return _rounded(explorer.state_metrics(_sliced(spark, folder, dataset), dataset, YEAR, QUARTER))
 
     return run
 
 
 def _color_bounds(dataset: str) -> Registered:
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        bounds = explorer.color_bounds(star_model(spark, folder), dataset, YEAR, QUARTER)
+        bounds = explorer.color_bounds(_sliced(spark, folder, dataset), dataset, YEAR, QUARTER)
         return bounds.select(F.round("vmin", 4).alias("vmin"), F.round("vmax", 4).alias("vmax"))
 
     return run
@@ -282,7 +304,7 @@ def _geo(report: Callable[..., DataFrame]) -> Registered:
             read_star_table(spark, folder, "region"),
             LEFT_OUT_REGION,
         )
-        metrics = explorer.state_metrics(star_model(spark, folder), "users", YEAR, QUARTER)
+        metrics = explorer.state_metrics(_sliced(spark, folder, "users"), "users", YEAR, QUARTER)
         return report(metrics, geo.parse_features(docs), "State")
 
     return run
@@ -327,7 +349,10 @@ def all_queries() -> dict[str, Registered]:
     registered["stored_tables"] = _stored_tables
     registered["exported_tables"] = _exported_tables
     registered["catalog_tables"] = _catalog_tables
-    for name in ("agg_trans", "map_ins"):
+    registered["loaded_null_profile"] = partial(_loaded, stored_profile)
+    registered["loaded_dimensions"] = partial(_loaded, stored_dimensions)
+    # The documents by pincode come in several for a state and quarter, which is no drop's layout.
+    for name in ("agg_trans", "agg_user", "map_ins", "map_user"):
         registered[f"document_files_{name}"] = partial(_document_files, name)
     for dataset in explorer.DATASETS:
         registered[f"explore_{dataset}"] = partial(_explored, dataset)

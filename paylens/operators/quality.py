@@ -54,7 +54,8 @@ def random_preview(
     if seed is None:
         return df.orderBy(F.rand()).limit(n)
     columns = list(key or df.columns)
-    return df.orderBy(F.xxhash64(*columns, F.lit(seed)), *columns).limit(n)
+    texts = [F.col(c).cast("string") for c in columns]
+    return df.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), *texts)), *columns).limit(n)
 
 
 def members(df: DataFrame, column: str, values: Sequence[str]) -> DataFrame:

@@ -306,11 +306,13 @@ def run_case(
     years: CaseYears | None = None,
     *,
     store_at: str | None = None,
+    of_input: str | None = None,
 ) -> dict[str, DataFrame]:
     """All reports of one case.
 
-    With ``store_at`` the tables they share are first written there, once.
+    With ``store_at`` the tables they share are first written there, once; with
+    ``of_input`` only if they were not stored from the same input before.
     """
     if store_at is not None:
-        model = model.stored(store_at, *SHARED[name])
+        model = model.stored(store_at, *SHARED[name], of_input=of_input)
     return {q: QUERIES[q](model, years or CaseYears()) for q in CASES[name]}

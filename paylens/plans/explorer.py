@@ -123,16 +123,18 @@ def explore(
     *,
     features: DataFrame | None = None,
     store_at: str | None = None,
+    of_input: str | None = None,
 ) -> dict[str, DataFrame]:
     """Every report of one slice, lazily; ``features`` adds the map coverage.
 
     With ``store_at`` the dataset's tables are first written there, once, by year
-    and quarter; every report then reads one partition of them. Without a year
+    and quarter (with ``of_input`` only if they were not stored from the same input
+    before); every report then reads one partition of them. Without a year
     or quarter, one small query finds the latest.
     """
     d = DATASETS[dataset]
     if store_at is not None:
-        model = model.stored(store_at, *[t for t in (d.map_table, d.top_table, d.category_table) if t])
+        model = model.stored(store_at, *[t for t in (d.map_table, d.top_table, d.category_table) if t], of_input=of_input)
     if year is None or quarter is None:
         last_year, first_quarter = default_selection(model, dataset)
         year = last_year if year is None else year

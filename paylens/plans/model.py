@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from paylens import schemas
 from paylens.operators.cleaning import clean_table
 from paylens.sinks import write_table
+from paylens.sinks.versions import Versions
 from paylens.sources import json_drops, tables
 
 Loader = Callable[[str, "tuple[int, int] | None", "int | None"], DataFrame]
@@ -45,17 +46,22 @@ class FactModel:
                 self._cached[name] = self.table(name).persist(StorageLevel.MEMORY_AND_DISK)
         return self
 
-    def stored(self, root: str, *names: str) -> FactModel:
+    def stored(self, root: str, *names: str, of_input: str | None = None) -> FactModel:
         """Write tables once and go on from there; the rest stays as it is.
 
         Reports that share a table then read its rows instead of deriving them
         again, prune by year and quarter, and lose nothing with an executor.
+        ``of_input`` tells the input (``sources.inputs.fingerprint``): a table that
+        was stored from the same one is used as it is.
         """
         sessions = {}
         for name in names:
             df = self.table(name)
-            write_table(df, path=f"{root.rstrip('/')}/{name}")
             sessions[name] = df.sparkSession
+            path = f"{root.rstrip('/')}/{name}"
+            now = Versions(df.sparkSession, path).current() if of_input is not None else None
+            if now is None or now.get("input") != of_input:
+                write_table(df, path=path, told=None if of_input is None else {"input": of_input})
 
         def load(name, years, quarter):
             if name not in sessions:

@@ -28,7 +28,7 @@ def _missing(df: DataFrame) -> list[Column]:
     return [F.count(F.lit(1)).alias("rows"), *(F.count_if(null_or_nan(df, c)).alias(f"null:{c}") for c in df.columns)]
 
 
-def _filled(df: DataFrame) -> Callable[[str], dict[str, Any]]:
+def _filled(df: DataFrame, more: Mapping[str, Any] | None) -> Callable[[str], dict[str, Any]]:
     """Write a frame to a folder, partitioned by year and quarter, and tell what was written.
 
     The rebalance hint lets Spark merge small partitions and split a quarter that
@@ -42,29 +42,32 @@ def _filled(df: DataFrame) -> Callable[[str], dict[str, Any]]:
         counted.write.partitionBy(*schemas.PERIOD).parquet(folder)
         told = seen.get
         nulls = {c: told[f"null:{c}"] for c in df.columns}
-        return {"rows": told["rows"], "nulls": nulls}
+        return {**(more or {}), "rows": told["rows"], "nulls": nulls}
 
     return write
 
 
-def write_table(df: DataFrame, path: str | None = None, table: str | None = None) -> None:
+def write_table(
+    df: DataFrame, path: str | None = None, table: str | None = None, told: Mapping[str, Any] | None = None
+) -> None:
     """Replace a Parquet folder or a catalog table, partitioned by year and quarter.
 
     The old version stays in use until the new one is complete. In the catalog, a
-    table is a view of its current version, in a folder of its database.
+    table is a view of its current version, in a folder of its database. ``told`` is
+    kept with the version.
     """
     if (path is None) == (table is None):
         raise ValueError("give either a path or a table name")
     spark = df.sparkSession
     if path is not None:
-        Versions(spark, path).replace(_filled(df))
+        Versions(spark, path).replace(_filled(df, told))
         return
     database, _, name = table.rpartition(".")
     home = spark.catalog.getDatabase(database or spark.catalog.currentDatabase()).locationUri
     if spark.catalog.tableExists(table) and spark.catalog.getTable(table).tableType != "VIEW":
         # A table from before there were versions.
         spark.sql(f"DROP TABLE {_quoted(table)}")
-    folder = Versions(spark, f"{home.rstrip('/')}/{name}.versions").replace(_filled(df))
+    folder = Versions(spark, f"{home.rstrip('/')}/{name}.versions").replace(_filled(df, told))
     columns = ", ".join(f"`{c}`" for c in df.columns)
     spark.sql(f"CREATE OR REPLACE VIEW {_quoted(table)} AS SELECT {columns} FROM parquet.`{folder}`")
 
