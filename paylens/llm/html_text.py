@@ -4,13 +4,27 @@ A page is read into blocks: text between block-level tags, each with its
 root-to-leaf path of block-level tags and their class and id names. For each
 path the text length, punctuation, linked text and number of blocks are summed;
 length and punctuation per block are smoothed over the blocks in page order and
-fused with the share of text outside links and what the path's names tell. Paths
-over a threshold, a share of the mean over all text, hold content. Where article
-and main tags hold most of it, they are the content nodes. Elsewhere the content
-node is the deepest node that holds all of it, or the outermost node around that
-whose names tell of an article. What lies in a content node comes out whole,
-short blocks too, but for parts whose names tell of menus, notices, adverts,
-forms or reader comments.
+fused with the share of text outside links and a weight of the path's names.
+Paths over a threshold, a share of the mean over all text, hold content. Where
+article and main tags hold most of it, they are the content nodes. Elsewhere the
+content node is the deepest node that holds all of it, or the outermost node
+around that whose names tell of an article. What lies in a content node comes
+out whole, short blocks too, but for menus, notices, adverts, forms and reader
+comments.
+
+Tags, roles and hidden elements decide what is not the article, and so do names
+of reader comments. Other names only suggest it. A name of nothing but listed
+words marks what it names, unless that holds an article or most of the page's
+text: then it is a wrapper and the name counts for nothing, as does a form
+around the content. A name that only mentions a listed word (``has-sidebar``,
+``read-more-intro``) halves the score of its path, which then decides. On
+paragraphs, headings and quotes only names of adverts and notices count.
+
+Null html, and pages without text, have an empty text. Repeated rows come out
+as often as they come in, and an empty table gives an empty one. Very long or
+deep pages are read whole; memory grows with the page's length, since a path is
+a number for its parent path and last tag. A tie between nodes that hold all
+content goes to the deepest; there is no other.
 """
 
 from __future__ import annotations
@@ -61,6 +75,21 @@ OTHER_NAMES = frozenset(
     " related recommended recommendations more share sharing social follow newsletter subscribe subscription signup login"
     " widget widgets form search tags taglist skip copyright legal".split()
 )
+#: Names of reader comments. What they name is never a wrapper.
+COMMENT_NAMES = frozenset("comment comments commentlist respond replies disqus".split())
+#: The names that count on paragraphs, headings and quotes.
+SURE_NAMES = frozenset(
+    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors cookie cookies consent gdpr"
+    " breadcrumb breadcrumbs newsletter subscribe notice notices notification alert pagination copyright".split()
+)
+PROSE_TAGS = frozenset("p pre blockquote h1 h2 h3 h4 h5 h6 hgroup figcaption".split())
+#: Words that make a name tell how a page is laid out, not what the node is.
+LAYOUT_WORDS = frozenset("has have with without no not is layout sticky show hide enable enabled disable disabled open closed wrap wrapper".split())
+#: Words that leave a name what its other words tell.
+PLACE_WORDS = frozenset(
+    "list area section box block container item items inner outer site page main top bottom left right post posts article articles entry content"
+    " link links bar panel unit slot button buttons".split()
+)
 #: Names of what holds an article, taken before the others where a tag has both.
 MAIN_NAMES = frozenset("article post story content entry main body text".split())
 
@@ -78,35 +107,104 @@ THRESHOLD = 0.3
 HELD = 0.6
 
 
+#: What tags and names suggest of a node: nothing, perhaps or likely not the article, surely not.
+NONE, WEAK, STRONG, SURE = range(4)
+#: Share of the page's text outside links that makes a node a wrapper: for a weak mark, a form or a node around an article; for others.
+MOST, NEARLY_ALL = 0.5, 0.8
+#: Weight of names in the score of a path.
+PRIOR = {NONE: 1.0, WEAK: 0.5, STRONG: 0.1, SURE: 0.0}
+
+
+def _plain(words: list[str]) -> bool:
+    """A name says what the node is, and does not only mention it."""
+    if LAYOUT_WORDS.intersection(words):
+        return False
+    return words[-1] in OTHER_NAMES or bool(SURE_NAMES.intersection(words)) or all(w in OTHER_NAMES or w in PLACE_WORDS for w in words)
+
+
 @lru_cache(maxsize=50_000)
-def _described(tag: str, attributes: str) -> tuple[str, bool, bool, bool]:
-    """A tag's part of a path, whether it or its names tell of an article or of something else, and whether the tag does."""
+def _described(tag: str, attributes: str) -> tuple[str, bool, int, bool]:
+    """A tag's part of a path, whether it or its names tell of an article, how surely of something else, and whether the tag does."""
     found = {a[0].lower(): a[1] or a[2] or a[3] for a in _ATTRIBUTE.findall(attributes)} if attributes else {}
     names = sorted({*found.get("class", "").split(), *found.get("id", "").split()})
     role = found.get("role", "").lower()
     style = found.get("style", "").replace(" ", "").lower()
     hidden = "hidden" in found or "display:none" in style or "visibility:hidden" in style or found.get("aria-hidden") == "true"
-    parts = {p.lower() for n in names for p in _NAME_PARTS.findall(n)}
+    worded = [[p.lower() for p in _NAME_PARTS.findall(n)] for n in names]
+    parts = {p for words in worded for p in words}
     marked = tag in ("article", "main") or role == "main"
     main = marked or bool(parts & MAIN_NAMES) and not parts & (OTHER_NAMES - {"body", "text"})
-    other = hidden or tag in OTHER_TAGS or role in OTHER_ROLES
-    other = other or (tag not in ("html", "body", "article", "main") and not main and bool(parts & OTHER_NAMES))
-    return f"/{tag}{''.join('.' + n for n in names)}", main, other, marked
+    level = STRONG if tag == "form" or role == "form" else NONE
+    if hidden or tag in OTHER_TAGS - {"form"} or role in OTHER_ROLES - {"form"}:
+        level = SURE
+    elif tag not in ("html", "body", "main"):
+        listed = SURE_NAMES if tag in PROSE_TAGS else OTHER_NAMES
+        telling = [words for words in worded if listed.intersection(words)]
+        if any(COMMENT_NAMES.intersection(words) and not LAYOUT_WORDS.intersection(words) for words in telling):
+            level = SURE
+        elif tag != "article" and not main and telling:
+            level = max(level, STRONG if any(map(_plain, telling)) else WEAK)
+    return f"/{tag}{''.join('.' + n for n in names)}", main, level, marked
 
 
 class Node:
-    __slots__ = ("tag", "parent", "path", "other", "main", "marked")
+    """A block-level element. ``path`` numbers the paths of a page; ``other`` and ``main`` hold once the page is ``judged``."""
+
+    __slots__ = ("tag", "parent", "path", "depth", "level", "named", "marked", "other", "main", "chrome", "mass", "articles", "place")
 
-    def __init__(self, tag: str, parent: "Node | None", attributes: str = ""):
+    def __init__(self, tag: str, parent: "Node | None", attributes: str = "", page: "Page | None" = None):
         self.tag, self.parent = tag, parent
+        self.mass = self.articles = 0
+        self.other = self.main = self.chrome = False
         if parent is None:
-            self.path, self.main, self.other, self.marked = "", False, False, False
-            return
-        label, main, other, self.marked = _described(tag, attributes)
-        self.path = parent.path + label
-        # A header outside of the article is the page's.
-        self.other = other or parent.other or (tag == "header" and not parent.main)
-        self.main = (main or parent.main) and not self.other
+            self.path, self.depth, self.level, self.named, self.marked = 0, 0, NONE, False, False
+        else:
+            label, self.named, self.level, self.marked = _described(tag, attributes)
+            self.path = page.paths.setdefault((parent.path, label), len(page.paths) + 1)
+            self.depth = parent.depth + 1
+
+
+class Page:
+    """The elements of a page, parents first, and its blocks: node, text, linked code points."""
+
+    def __init__(self):
+        self.paths: dict[tuple[int, str], int] = {}
+        self.nodes: list[Node] = [Node("", None)]
+        self.blocks: list[tuple[Node, str, int]] = []
+
+    def judge(self) -> None:
+        """Which nodes are not the article, from what tags and names suggest and from the text that nodes hold."""
+        nodes = self.nodes
+        for place, n in enumerate(nodes):
+            n.place = place
+        sure = [False] * len(nodes)
+        for n in nodes[1:]:
+            sure[n.place] = sure[n.parent.place] or n.level == SURE
+        for node, text, linked in self.blocks:
+            if not sure[node.place]:
+                node.mass += max(0, len(text) - linked)
+        for n in reversed(nodes[1:]):
+            if n.marked and not sure[n.place]:
+                n.articles = n.mass  # outermost articles count whole
+            n.parent.mass += n.mass
+            n.parent.articles += n.articles
+        whole, in_articles = nodes[0].mass, nodes[0].articles
+        for n in nodes[1:]:
+            if n.level in (WEAK, STRONG):
+                easy = n.level == WEAK or n.tag == "form" or (n.articles and 2 * n.articles >= n.mass)
+                if n.mass >= (MOST if easy else NEARLY_ALL) * whole > 0 and (2 * n.articles >= in_articles):
+                    n.level = NONE
+        for n in nodes[1:]:
+            up = n.parent
+            # A header outside of the article is the page's.
+            n.other = up.other or n.level >= STRONG or (n.tag == "header" and not up.main)
+            n.main = (n.named or up.main) and not n.other
+            n.level = SURE if n.other else max(n.level, up.level)
+            # In a header inside the article, only headings and their subtitles belong to it.
+            n.chrome = n.tag == "header" or (up.chrome and n.tag not in _HEADINGS)
+
+
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 p hgroup".split())
 
 
 @lru_cache(maxsize=None)
@@ -149,12 +247,13 @@ def _past(page: str, tag: str, at: int, around: set[str], unended: set[int]) ->
     return starts[0]
 
 
-def blocks_of(page: str) -> list[tuple[Node, str, int]]:
-    """(node, text, linked code points) of each block with text, in page order."""
-    root = Node("", None)
-    stack: list[Node] = [root]
+def read(page: str) -> Page:
+    """The elements of a page and its blocks with text, in page order."""
+    got = Page()
+    stack: list[Node] = [got.nodes[0]]
+    opened: Counter[str] = Counter()
     links = 0
-    out: list[tuple[Node, str, int]] = []
+    out = got.blocks
     pieces: list[tuple[str, bool]] = []
 
     def flush() -> None:
@@ -165,12 +264,19 @@ def blocks_of(page: str) -> list[tuple[Node, str, int]]:
                 out.append((stack[-1], text, linked))
             pieces.clear()
 
+    def end_from(k: int) -> None:
+        for n in stack[k:]:
+            opened[n.tag] -= 1
+        del stack[k:]
+
     def close(tags, until=frozenset()) -> None:
         """End the nearest open tag of the kind, and all in it."""
+        if not any(opened[t] for t in tags):
+            return
         for k in range(len(stack) - 1, 0, -1):
             if stack[k].tag in tags:
                 flush()
-                del stack[k:]
+                end_from(k)
                 return
             if stack[k].tag in until:
                 return
@@ -190,13 +296,13 @@ def blocks_of(page: str) -> list[tuple[Node, str, int]]:
         tag = match[2].lower()
         if tag in MUTE:
             if not match[1] and at not in unended and not (tag in ("svg", "math") and match[3].rstrip().endswith("/")):
-                at = _past(page, tag, at, {n.tag for n in stack}, unended)
+                at = _past(page, tag, at, {t for t, n in opened.items() if n}, unended)
             continue
         if match[1]:
             if tag == "a":
                 links = max(0, links - 1)
             elif tag in BLOCKS:
-                if tag == "p" and not any(n.tag == "p" for n in stack):
+                if tag == "p" and not opened["p"]:
                     flush()
                 else:
                     close((tag,))
@@ -218,10 +324,12 @@ def blocks_of(page: str) -> list[tuple[Node, str, int]]:
             if tag in VOID:
                 continue
             if tag == "body":
-                del stack[1 + sum(n.tag == "html" for n in stack[1:2]) :]
-            stack.append(Node(tag, stack[-1], match[3].strip()))
+                end_from(1 + sum(n.tag == "html" for n in stack[1:2]))
+            stack.append(Node(tag, stack[-1], match[3].strip(), got))
+            got.nodes.append(stack[-1])
+            opened[tag] += 1
     flush()
-    return out
+    return got
 
 
 def _smooth(values: list[float]) -> list[float]:
@@ -230,20 +338,20 @@ def _smooth(values: list[float]) -> list[float]:
     return [before * values[max(0, i - 1)] + own * values[i] + after * values[min(n - 1, i + 1)] for i in range(n)]
 
 
-def path_scores(blocks: list[tuple[Node, str, int]]) -> dict[str, float]:
+def path_scores(blocks: list[tuple[Node, str, int]]) -> dict[int, float]:
     """The fused ratio of each path."""
-    sums: dict[str, list[float]] = {}
+    sums: dict[int, list[float]] = {}
     for node, text, linked in blocks:
         s = sums.setdefault(node.path, [0.0, 0.0, 0.0, 0.0])
         for k, v in enumerate((len(text), len(_PUNCTUATION.findall(text)), linked, 1)):
             s[k] += v
     length = _smooth([sums[n.path][0] / sums[n.path][3] for n, _, _ in blocks])
     points = _smooth([sums[n.path][1] / sums[n.path][3] for n, _, _ in blocks])
-    scores: dict[str, list[float]] = {}
+    scores: dict[int, list[float]] = {}
     for (node, _, _), a, b in zip(blocks, length, points):
         s = sums[node.path]
         unlinked = 1 - min(1.0, s[2] / s[0])
-        prior = 0.0 if node.other else 2.0 if node.main else 1.0
+        prior = PRIOR[node.level] * (2.0 if node.main else 1.0)
         # The path's total tells one long run of paragraphs from many lone blocks.
         scores.setdefault(node.path, []).append(a * (1 + b) * unlinked * prior * s[0] ** 0.5)
     return {p: sum(v) / len(v) for p, v in scores.items()}
@@ -251,61 +359,48 @@ def path_scores(blocks: list[tuple[Node, str, int]]) -> dict[str, float]:
 
 def main_text(page: str | None) -> str:
     """The article of a page, blocks parted by two newlines; empty if there is none."""
-    blocks = [b for b in blocks_of(page or "") if b[0].parent is not None or b[1]]
-    if not blocks:
-        return ""
+    got = read(page or "")
+    got.judge()
+    blocks = got.blocks
     scores = path_scores(blocks)
     total = sum(len(t) for n, t, _ in blocks if not n.other)
     if not total:
         return ""
-    mean = sum(scores[n.path] * len(t) for n, t, _ in blocks if not n.other) / total
-    content = [b for b in blocks if not b[0].other and scores[b[0].path] >= THRESHOLD * mean]
-    held: dict[Node, int] = {}
-    for node, text, _ in content:
-        while node is not None:
-            held[node] = held.get(node, 0) + len(text)
-            node = node.parent
-    whole = sum(len(t) for _, t, _ in content)
+    least = THRESHOLD * sum(scores[n.path] * len(t) for n, t, _ in blocks if not n.other) / total
+    held = [0] * len(got.nodes)
+    for node, text, _ in blocks:
+        if not node.other and scores[node.path] >= least:
+            held[node.place] += len(text)
+    for n in reversed(got.nodes[1:]):
+        held[n.parent.place] += held[n.place]
+    whole = held[0]
     if not whole:
         return ""
 
-    def depth(node: Node) -> int:
-        return node.path.count("/")
-
-    mains = [n for n in held if n.main and not (n.parent and n.parent.main)]
-    if sum(held[n] for n in mains if n.marked) >= HELD * whole:
+    mains = [n for n in got.nodes[1:] if held[n.place] and n.main and not n.parent.main]
+    if sum(held[n.place] for n in mains if n.marked) >= HELD * whole:
         roots = set(mains)
     else:
         # Nodes that hold all content lie on one way from the root.
-        inline = ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "td", "th", "tr", "dt", "dd", "ul", "ol")
-        root = max((n for n in held if n.tag not in inline and held[n] == whole), key=depth)
+        root = max((n for n in got.nodes if n.tag not in _INLINE and held[n.place] == whole), key=lambda n: n.depth)
         while root.main and root.parent.main:
             root = root.parent
         roots = {root}
+    inside = [False] * len(got.nodes)
+    for n in got.nodes:
+        inside[n.place] = n in roots or (n.parent is not None and inside[n.parent.place])
     out = []
     for node, text, linked in blocks:
-        if node.other or _chrome(node):
-            continue
-        at = node
-        while at is not None and at not in roots:
-            at = at.parent
-        if at is None:
+        if node.other or node.chrome or not inside[node.place]:
             continue
-        if not node.main and linked >= 0.8 * len(text) and scores[node.path] < THRESHOLD * mean:
+        # What links or a name speak against needs the score of content.
+        if scores[node.path] < least and (node.level == WEAK or (not node.main and linked >= 0.8 * len(text))):
             continue
         out.append(text)
     return "\n\n".join(out)
 
 
-def _chrome(node: Node) -> bool:
-    """In a header inside the article, only headings and their subtitles belong to it."""
-    heading = False
-    while node is not None:
-        heading = heading or node.tag in ("h1", "h2", "h3", "h4", "h5", "h6", "p", "hgroup")
-        if node.tag == "header":
-            return not heading
-        node = node.parent
-    return False
+_INLINE = frozenset("p li h1 h2 h3 h4 h5 h6 td th tr dt dd ul ol".split())
 
 
 def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -5,6 +5,8 @@ import hashlib
 import json
 import random
 import re
+import time
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -182,6 +184,54 @@ def test_pages_without_an_article():
     assert html_text.main_text("<article><p>cut off <b") == "cut off"
 
 
+BODY = f"<h1>Title</h1><p>{WORDY * 3}</p><p>{WORDY * 2}</p><h2>Part</h2><p>{WORDY * 4}</p><ul><li>one thing<li>another</ul><p>The end.</p>"
+BODY_TEXT = "\n\n".join(["Title", WORDY * 3, WORDY * 2, "Part", WORDY * 4, "one thing", "another", "The end."])
+CHROME = "<nav><a href=/>Home</a> <a href=/b>Blog</a></nav>"
+AFTER = f"<div class=related-posts><p>Read this too. {WORDY}</p></div><div id=comments><p>{WORDY * 9}</p></div><div class='cookie-notice'>We use cookies, see.</div><footer>foot</footer>"
+WRAPPERS = (
+    "site has-sidebar", "content-sidebar-wrap", "layout-no-sidebar", "with-banner", "site-wrapper sticky-footer", "page more-space", "layout-form",
+    "no-comments open", "social-post", "article-page promo", "promo", "sidebar-right-layout", "widget", "page", "", "hfeed site", "menu-open", "comments-closed",
+    "share", "container x search-open", "tags-wrapper",
+)
+
+
+@pytest.mark.parametrize("inner", ["<article>%s</article>", "<main>%s</main>", "<div>%s</div>", "<section class=entry-content>%s</section>"])
+@pytest.mark.parametrize("wrapper", WRAPPERS)
+def test_names_of_wrappers_do_not_lose_the_article(wrapper, inner):
+    for outer in (f'<div class="{wrapper}">%s</div>', f'<form><div id="{wrapper}">%s</div></form>', f'<section class="{wrapper}"><div class="{wrapper}">%s</div></section>'):
+        assert html_text.main_text(f"<html><body>{CHROME}{outer % (inner % BODY)}{AFTER}</body></html>") == BODY_TEXT
+        # The rest of the page may lie in the wrapper as well.
+        assert html_text.main_text(f"<html><body>{outer % (CHROME + (inner % BODY) + AFTER)}</body></html>") == BODY_TEXT
+
+
+@pytest.mark.parametrize("name", ["read-more-intro", "legal", "reply", "has-menu", "social text"])
+def test_names_of_paragraphs_do_not_lose_them(name):
+    page = f'<body>{CHROME}<article>{BODY}<p class="{name}">{WORDY}</p></article>{AFTER}</body>'
+    assert html_text.main_text(page) == f"{BODY_TEXT}\n\n{WORDY}"
+
+
+def test_what_is_named_for_what_it_is_goes():
+    for name in ("ad", "google-ad-slot", "newsletter-signup", "post-share", "mobile-menu", "related", "post-comments", "comment-list", "left-sidebar", "promo-box"):
+        inside = f'<div class="{name}"><p>{WORDY}</p></div>'
+        assert html_text.main_text(f"<body>{CHROME}<article>{BODY}{inside}</article>{AFTER}</body>") == BODY_TEXT, name
+        assert html_text.main_text(f"<body>{CHROME}<div>{BODY}</div>{inside}{AFTER}</body>") == BODY_TEXT, name
+    # Comments are more than the article, each in an article of its own.
+    comments = "".join(f"<article class=comment><p>{WORDY * 5}</p></article>" for _ in range(20))
+    assert html_text.main_text(f"<body><main>{BODY}</main><section id=comments>{comments}</section></body>") == BODY_TEXT
+    assert html_text.main_text(f"<body><div class=site><div>{BODY}</div><div class=comment-area>{comments}</div></div></body>") == BODY_TEXT
+    assert html_text.main_text(f"<body><article>{BODY}</article><form><label>{WORDY}</label><input></form></body>") == BODY_TEXT
+
+
+def test_memory_and_time_grow_with_the_page():
+    for page in ("<div class=c>" * 50_000 + "deep", "<ul><li>x" * 10_000, "<div><p>y</div>" * 20_000, "<div class='a b'>z" * 20_000):
+        tracemalloc.start()
+        start = time.process_time()
+        text = html_text.main_text(page)
+        spent, most = time.process_time() - start, tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert len(text) >= 4 and spent < 20 and most < 200 * 2**20
+
+
 def test_stray_quotes_do_not_swallow_text():
     for tag in ("<p title=it's>", '<p title="x"">', "<p '>", '<p title=a"b class=c>', '<p "title=x>', "<p title = 'a>b' \">", '<p title="a>b">', "<p/title='>'>"):
         assert html_text.main_text(f"<article>{tag}First, here.</p><p>Second, there's more.</p><p class=\"z\">Third.</p></article>") == "First, here.\n\nSecond, there's more.\n\nThird.", tag
