@@ -76,26 +76,44 @@ _TAGS = "list_filter(regexp_extract_all(html, '(?is)<{0}\\b[^>]*>'), lambda t: r
 _CANONICAL = "regexp_extract(" + _TAGS.format("link", "\\brel\\s*=\\s*[\"'']?canonical\\b") + ", '(?is)\\bhref\\s*=\\s*[\"'']?([^\"''>\\s]+)', 1)"
 _REFRESH = "regexp_extract(" + _TAGS.format("meta", "\\bhttp-equiv\\s*=\\s*[\"'']?refresh\\b") + ", '(?is)url\\s*=\\s*[\"'']?([^\"''>\\s]+)', 1)"
 
+_QUERY = "coalesce(regexp_extract({0}, '(?s)^.*?://[^/?#]*[^?#]*(\\?[^#]*)', 1), '')"
+_READ = "regexp_replace(html, '(?is)<!--.*?(?:-->|\\z)|<script\\b.*?(?:</script\\s*>|\\z)|<style\\b.*?(?:</style\\s*>|\\z)', '', 'g')"
+_KEPT = """list_reduce(
+        list_prepend(CAST([] AS VARCHAR[]), list_transform(
+            string_split(path, '/')[2:] || CASE WHEN regexp_matches(path, '/\\.\\.?\\z') THEN [''] ELSE CAST([] AS VARCHAR[]) END, lambda s: [s])),
+        lambda a, b: CASE WHEN b[1] = '..' THEN a[1 : greatest(len(a) - 1, 0)] WHEN b[1] = '.' THEN a ELSE a || b END)"""
+_KEY = f"""host || CASE WHEN path = '' THEN '/' WHEN contains(path, '/.') THEN '/' || array_to_string({_KEPT}, '/') ELSE path END || query"""
+_NAMED = "replace(replace(replace(replace(link, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&apos;', chr(39))"
+_CODE = "CAST(CASE WHEN lower(r)[1:3] = '&#x' THEN '0x' || regexp_extract(r, '([0-9a-fA-F]+);', 1) ELSE regexp_extract(r, '([0-9]+);', 1) END AS INTEGER)"
+_UNESCAPED = f"""regexp_replace(list_reduce(
+        list_prepend({_NAMED}, regexp_extract_all({_NAMED}, '&#(?:0*[0-9]{{1,3}}|[xX]0*[0-9a-fA-F]{{1,2}});')),
+        lambda t, r: CASE WHEN {_CODE} BETWEEN 1 AND 127 AND {_CODE} <> 38 THEN replace(t, r, chr({_CODE})) ELSE t END),
+    '&(?:amp|#0*38|#[xX]0*26);', '&', 'g')"""
+
 URL_FILTER = f"""
 WITH RECURSIVE p AS (
-    SELECT page_id, html, {_HOST.format('url')} AS host, {_PATH.format('url')} AS path FROM pages),
-keyed AS (SELECT *, CASE WHEN host <> '' THEN host || CASE WHEN path = '' THEN '/' ELSE path END END AS key FROM p),
-linked AS (
+    SELECT page_id, {_READ} AS html, {_HOST.format('url')} AS host, {_PATH.format('url')} AS path, {_QUERY.format('url')} AS query
+    FROM pages),
+keyed AS (SELECT *, CASE WHEN host <> '' THEN {_KEY} END AS key FROM p),
+found AS (
     SELECT key, host, path, unnest([{_CANONICAL}, {_REFRESH}]) AS link FROM keyed WHERE host <> ''),
+linked AS (SELECT key, host, path, trim({_UNESCAPED}, ' ') AS link FROM found WHERE link <> ''),
 targets AS (
-    SELECT key AS a, CASE WHEN contains(link, '://') THEN link WHEN prefix(link, '//') THEN 'x:' || link
+    SELECT key AS a, CASE WHEN regexp_matches(link, '^[a-zA-Z][a-zA-Z0-9+.-]*://') THEN link
+        WHEN regexp_matches(link, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN NULL
+        WHEN prefix(link, '//') THEN 'x:' || link
         WHEN prefix(link, '/') THEN 'x://' || host || link
-        ELSE 'x://' || host || coalesce(nullif(regexp_extract(path, '^.*/'), ''), '/') || link END AS url
+        WHEN prefix(link, '?') THEN 'x://' || host || path || link
+        ELSE 'x://' || host || coalesce(nullif(regexp_extract(path, '(?s)^.*/'), ''), '/') || link END AS url
     FROM linked WHERE link <> '' AND NOT prefix(link, '#')),
-ends AS (SELECT a, {_HOST.format('url')} AS host, {_PATH.format('url')} AS path FROM targets),
-edges AS (
-    SELECT a, host || CASE WHEN path = '' THEN '/' ELSE path END AS b FROM ends WHERE host <> ''),
+ends AS (SELECT a, {_HOST.format('url')} AS host, {_PATH.format('url')} AS path, {_QUERY.format('url')} AS query FROM targets),
+edges AS (SELECT a, {_KEY} AS b FROM ends WHERE host <> ''),
 both_ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
 reach AS (SELECT a AS node, b AS other FROM both_ways
     UNION SELECT node, b FROM reach JOIN both_ways ON other = a),
 told AS (
     SELECT node, {_rule(0)} AS verdict
-    FROM (SELECT node, split_part(other, '/', 1) AS host, substr(other, instr(other, '/')) AS path FROM reach)),
+    FROM (SELECT node, split_part(other, '/', 1) AS host, regexp_extract(other, '(?s)^[^/]*(/[^?]*)', 1) AS path FROM reach)),
 classes AS (SELECT node, bool_or(verdict = 'allow') AS allowed, bool_or(verdict = 'block') AS blocked FROM told GROUP BY node)
 SELECT page_id, host, path, {_rule(1)} AS rule,
     coalesce({_rule(0)}, CASE WHEN allowed THEN 'allow' WHEN blocked THEN 'block' ELSE 'allow' END) AS verdict

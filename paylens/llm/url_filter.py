@@ -12,7 +12,16 @@ aliases. A rule fits its host and all subdomains if the path starts with the
 rule's; the longest (host and path together) wins, of equals an allow.
 
 Ties come from ``<link rel=canonical href>``, from ``<meta http-equiv=refresh>``
-and from a table of redirects. Two URLs of one host and path are one node.
+and from a table of redirects; what stands in comments, scripts and styles of a
+page ties nothing. A node is a URL's host, its path with ``.`` and ``..``
+resolved, and its query, so URLs that differ in one of these are two pages; the
+scheme and what follows ``#`` do not count. Rules fit an alias by its resolved
+path. In links, character references to ASCII characters are read, and a link
+of another scheme without ``://`` (``mailto:``) ties nothing.
+
+Null html ties nothing. Repeated rows are judged alike and come out as often as
+they come in; an empty table gives an empty one. Long URLs and pages are read
+whole. Ties between rules go to allow, then to the first.
 """
 
 from __future__ import annotations
@@ -34,6 +43,12 @@ _CANONICAL = r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*\bhref\s*=
 _REFRESH = r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*\bcontent\s*=\s*[\"'][^\"'>]*?url\s*=\s*[\"']?([^\"'>\s]+)"
 
 
+_UNREAD = r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)"
+_REFERENCE = r"&#(?:0*[0-9]{1,3}|[xX]0*[0-9a-fA-F]{1,2});"
+#: References by name, without that to ``&`` itself, which is read last.
+NAMED = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'"}
+
+
 def host_of(url: Column) -> Column:
     host = F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1)
     return F.coalesce(F.translate(host, _UPPER, _LOWER), F.lit(""))
@@ -43,6 +58,40 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def query_of(url: Column) -> Column:
+    return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*[^?#]*(\?[^#]*)", 1), F.lit(""))
+
+
+def resolved(path: Column) -> Column:
+    """The path without segments ``.`` and ``..``; ``/`` if it is empty."""
+    parts = F.split(path, "/", -1)
+    parts = F.slice(parts, F.lit(2), F.size(parts))
+    parts = F.when(path.rlike(r"/\.\.?\z"), F.concat(parts, F.array(F.lit("")))).otherwise(parts)
+    kept = F.aggregate(
+        parts,
+        F.array().cast("array<string>"),
+        lambda done, part: F.when(part == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))))
+        .when(part == ".", done)
+        .otherwise(F.concat(done, F.array(part))),
+    )
+    return F.when(path == "", "/").when(F.instr(path, "/.") > 0, F.concat(F.lit("/"), F.array_join(kept, "/"))).otherwise(path)
+
+
+def unescaped(link: Column) -> Column:
+    """The link with its references to ASCII characters read."""
+    for name, letter in NAMED.items():
+        link = F.replace(link, F.lit(name), F.lit(letter))
+
+    def read(text: Column, reference: Column) -> Column:
+        digits = F.regexp_extract(reference, "([0-9a-fA-F]+);", 1)
+        code = F.conv(digits, 16, 10).cast("int")
+        code = F.when(F.lower(reference).startswith("&#x"), code).otherwise(F.conv(digits, 10, 10).cast("int"))
+        return F.when((code > 0) & (code < 128) & (code != 38), F.replace(text, reference, F.char(code))).otherwise(text)
+
+    link = F.aggregate(F.regexp_extract_all(link, F.lit(_REFERENCE), F.lit(0)), link, read)
+    return F.regexp_replace(link, "&(?:amp|#0*38|#[xX]0*26);", "&")
+
+
 def fitting_rule(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
     """The position of the rule that decides, or null."""
     if len(rules) > MAX_RULES:
@@ -58,35 +107,37 @@ def fitting_rule(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
 
 
 def _target(link: Column, host: Column, path: Column) -> Column:
-    """A link as an absolute URL."""
-    folder = F.regexp_extract(path, r"^.*/", 0)
+    """A link as an absolute URL; null where it leads to no page."""
+    folder = F.regexp_extract(path, r"(?s)^.*/", 0)
     return (
         F.when(link.isNull() | (link == "") | link.startswith("#"), None)
-        .when(F.instr(link, "://") > 0, link)
+        .when(link.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*://"), link)
+        .when(link.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), None)
         .when(link.startswith("//"), F.concat(F.lit("x:"), link))
         .when(link.startswith("/"), F.concat(F.lit("x://"), host, link))
+        .when(link.startswith("?"), F.concat(F.lit("x://"), host, path, link))
         .otherwise(F.concat(F.lit("x://"), host, F.when(folder == "", "/").otherwise(folder), link))
     )
 
 
-def _key(host: Column, path: Column) -> Column:
-    return F.when(host != "", F.concat(host, F.when(path == "", "/").otherwise(path)))
+def key_of(url: Column) -> Column:
+    """The node of a URL, null if it has no host."""
+    host = host_of(url)
+    return F.when(host != "", F.concat(host, resolved(path_of(url)), query_of(url)))
 
 
 def ties(pages: DataFrame, url_col: str, html_col: str, redirects: DataFrame | None) -> DataFrame:
     """(a, b): keys of URLs that stand for the same page, each pair once."""
-    url, page = F.col(url_col), F.col(html_col)
+    url, page = F.col(url_col), F.regexp_replace(F.col(html_col), _UNREAD, "")
     found = [F.regexp_extract(page, _CANONICAL, i) for i in (1, 2, 3)]
     canonical = F.coalesce(*[F.when(f != "", f) for f in found])
     refresh = F.regexp_extract(page, _REFRESH, 1)
-    linked = pages.select(host_of(url).alias("host"), path_of(url).alias("path"), F.explode(F.array(canonical, refresh)).alias("link"))
-    edges = linked.where("link is not null and link <> '' and host <> ''").select(
-        F.concat(F.lit("x://"), "host", "path").alias("source"),
-        _target(F.trim("link"), F.col("host"), F.col("path")).alias("target"),
-    )
+    linked = pages.select(url.alias("source"), F.explode(F.array(canonical, refresh)).alias("link"))
+    linked = linked.where("link is not null and link <> ''").withColumn("host", host_of(F.col("source"))).where("host <> ''")
+    edges = linked.select("source", _target(F.trim(unescaped(F.col("link"))), F.col("host"), path_of(F.col("source"))).alias("target"))
     if redirects is not None:
         edges = edges.unionByName(redirects.select(F.col("source"), F.col("target")))
-    a, b = (_key(host_of(F.col(c)), path_of(F.col(c))) for c in ("source", "target"))
+    a, b = key_of(F.col("source")), key_of(F.col("target"))
     return edges.select(a.alias("a"), b.alias("b")).where("a is not null and b is not null and a <> b").distinct()
 
 
@@ -106,8 +157,7 @@ def judged(
     prepare(pages.sparkSession)
     edges = ties(pages, url_col, html_col, redirects).checkpoint()
     roots = components(edges, "a", "b").checkpoint()
-    slash = F.instr("node", "/")
-    node_rule = fitting_rule(F.substring(F.col("node"), F.lit(1), slash - 1), F.substring(F.col("node"), slash, F.length("node")), rules)
+    node_rule = fitting_rule(F.substring_index("node", "/", 1), F.regexp_extract("node", r"(?s)^[^/]*(/[^?]*)", 1), rules)
     verdicts = F.array(*[F.lit(r[0]) for r in rules]) if rules else F.array().cast("array<string>")
     explicit = F.get(verdicts, node_rule)
     classes = (
@@ -117,8 +167,8 @@ def judged(
     )
     aliases = roots.join(classes, "root").select(F.col("node").alias("key"), "allowed", "blocked")
     url = F.col(url_col)
-    own = pages.select(F.col(id_col).cast("long").alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
-    own = own.withColumn("n", fitting_rule(F.col("host"), F.col("path"), rules)).withColumn("key", _key(F.col("host"), F.col("path")))
+    own = pages.select(F.col(id_col).cast("long").alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"), key_of(url).alias("key"))
+    own = own.withColumn("n", fitting_rule(F.col("host"), F.col("path"), rules))
     names = F.array(*[F.lit(r[1] + r[2]) for r in rules]) if rules else F.array().cast("array<string>")
     by_class = F.when(F.col("allowed"), "allow").when(F.col("blocked"), "block").otherwise("allow")
     return own.join(aliases, "key", "left").select(

@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -15,7 +16,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from paylens.llm import bpe, decontaminate, fingerprints, html_text, language, near_dedup, quality, secrets, token_count, url_filter
 from paylens.llm.components import components
-from paylens.llm.queries import RULES, llm_queries, remainder_is
+from paylens.llm.queries import ORACLES, RULES, llm_queries, remainder_is
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 STAR = "/root/testdata/sf0.001"
@@ -232,7 +233,7 @@ def link(url):
 def test_rules_and_aliases(spark):
     rows = [
         (1, "http://A.Example.ORG/es/1?x", None), (2, "https://example.org/en/12", ""), (3, "https://example.org/fr", ""),
-        (4, "http://x.com/fr/1", ""), (5, "http://x.com/de/1", ""), (6, "http://x.net/a#b", link("http://x.com/de/1?p=2")),
+        (4, "http://x.com/fr/1", ""), (5, "http://x.com/de/1", ""), (6, "http://x.net/a#b", link("http://x.com/de/1#p=2")),
         (7, "http://y.net/a", '<meta http-equiv="refresh" content="0; url=/b">'), (8, "http://y.net/b", link("http://x.net/a")),
         (9, "http://z.net/a", link("http://x.com/fr/1") + '<meta http-equiv=refresh content="1;URL=http://x.com/de/1">'),
         (10, None, link("http://x.com/de/1")), (11, "no scheme", ""), (12, "http://notexample.org", ""), (13, "http://q.net", ""),
@@ -260,6 +261,30 @@ def test_rules_and_aliases(spark):
         url_filter.judged(pages, [("allow", str(i), "/") for i in range(3000)])
 
 
+def test_aliases_are_whole_urls(spark, tmp_path):
+    block, allow = "http://x.com/de/1", "http://x.com/fr/1"
+    rows = [
+        (1, "http://a.net/p?id=1", link(block)), (2, "http://a.net/p?id=2", ""), (3, "http://a.net/p", ""), (4, "https://a.net/p?id=1#x", ""),
+        (5, "http://b.net/1/2/3", link("../../x/./y/..")), (6, "http://b.net/x/", link(block)), (7, "http://b.net/x", ""),
+        (8, "http://c.net/a", link("http://x.com/de/1?a=1&amp;b=&#50;")), (9, "http://c.net/b", link("&#x2F;&#47;x.com/de/1?a=1&#38;b=2")), (10, "http://x.com/fr/../de/1?a=1&b=2", ""),
+        (11, "http://d.net/a", f"<!-- {link(block)} --><script>'{link(block)}'</script><style>{link(block)}</style>"),
+        (12, "http://e.net/go", link("/to?u=http://x.com/de/1")), (13, "http://e.net/to?u=http://x.com/de/1", link(block)), (14, "http://e.net/to", ""),
+        (15, "http://f.net/a?x=1", link("?y=2")), (16, "http://f.net/a?y=2", link(block)), (17, "http://g.net/a", link("mailto:x.com/de/1")),
+        (18, "http://h.net/../../a", link(block)), (19, "http://h.net/a", ""), (20, "http://i.net", link(block)), (21, "http://i.net/", ""),
+        (22, "http://j.net/a", link(allow)), (23, "http://j.net/b", link("a") + '<meta http-equiv="refresh" content="0; url=http://y.com/de/9">'), (24, "http://k.net/a", link("&#0;&#999;")),
+        (25, None, link(block)), (26, "http://l.net/a", None), (26, "http://l.net/a", None),
+    ]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    found = llm_queries()["op5_url_filter"](spark, str(tmp_path)).collect()
+    verdicts = {r.page_id: r.verdict for r in found}
+    assert {i for i, v in verdicts.items() if v == "block"} == {1, 4, 5, 6, 8, 9, 12, 13, 15, 16, 18, 19, 20, 21}
+    views = duckdb.connect()
+    views.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    names = ["page_id", "host", "path", "rule", "verdict"]
+    plain = views.execute(f"SELECT {', '.join(names)} FROM ({ORACLES['op5_url_filter']})").fetchall()
+    assert sorted(plain, key=str) == sorted((tuple(r[n] for n in names) for r in found), key=str)
+
+
 def test_languages_of_odd_rows(spark, odd, none):
     held_out = remainder_is("doc_id", 4, 2)
     rows = {r.doc_id: r for r in language.identified(odd, held_out).collect()}
