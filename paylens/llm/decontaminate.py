@@ -9,13 +9,23 @@ by suffix links tell which items.
 Words are runs of letters, digits and non-ASCII code points, A-Z in lower case.
 A window is 10 consecutive words of an item; an item of fewer words is one
 window. Null texts, and texts without words, match nothing. Items without an id
-mark words but are not listed.
+mark words but are not listed. Repeated items count once; repeated documents
+come out as often as they come in, and a table of no items marks nothing. Texts
+are read whole, however long. There are no ties: all items that occur are named.
+
+Items are dealt over blocks of about ``block_bytes``. Tasks build the automata,
+one for each block, and a table holds them packed. A block takes some 40 bytes
+of a worker for each byte of its items (``tests/llm/test_pure.py`` bounds it),
+so that the 8 MB of ``BLOCK_BYTES`` stay at a third of a gigabyte. An item is
+never cut: one of more bytes makes a block as large as itself.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 import re
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,92 +38,144 @@ WINDOW = 10
 #: Share of a document's words beyond which all of it goes, not only its spans.
 MAX_COVERAGE = 0.5
 #: UTF-8 bytes of items in one automaton. More items make more automata, used one after the other.
-BLOCK_BYTES = 16_000_000
+BLOCK_BYTES = 8_000_000
+#: Bytes of a packed automaton in a row.
+_CHUNK = 4_000_000
 
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 
+_NO_ARC, _ARCS = -1, -2
+_NO_ITEM, _SEVERAL = -1, -2
+
+
 class Automaton:
-    """Suffix automaton of several word sequences."""
+    """Suffix automaton of several word sequences.
+
+    Most states have one arc, which lies in two arrays; ``arcs`` holds the
+    others'. ``told`` names the state, the same or up the suffix links, whose
+    windows end here. A state's own window, as a rule one of one item, lies in
+    ``width`` and ``item``; ``windows`` has those of states with several.
+    """
 
     def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int = WINDOW):
         self.words: dict[bytes, int] = {}
-        self.next: list[dict[int, int]] = [{}]
-        self.link, self.length = [-1], [0]
-        coded = [(name, [self.words.setdefault(w, len(self.words)) for w in words]) for name, words in items]
+        self.code, self.target = array("i", [_NO_ARC]), array("i", [0])
+        self.arcs: dict[int, dict[int, int]] = {}
+        self.link, self.length = array("i", [-1]), array("i", [0])
+        coded = [(name, array("i", (self.words.setdefault(w, len(self.words)) for w in words))) for name, words in items]
         for _, codes in coded:
             last = 0
             for code in codes:
                 last = self._extend(last, code)
-        self.ends: list[tuple | None] = [None] * len(self.next)
-        found: dict[int, dict[int, set]] = {}
+        numbers: dict[str, int] = {}
+        self.width, self.item = array("i", [0]) * len(self.code), array("i", [_NO_ITEM]) * len(self.code)
+        self.windows: dict[int, dict[int, set[int]]] = {}
         for name, codes in coded:
+            item = _NO_ITEM if name is None else numbers.setdefault(name, len(numbers))
             width = min(window, len(codes))
             state = 0
             for i, code in enumerate(codes):
-                state = self.next[state][code]
+                state = self.after(state, code)
                 if i + 1 >= width:
                     s = state
                     while self.length[self.link[s]] >= width:
                         s = self.link[s]
-                    found.setdefault(s, {}).setdefault(width, set()).update([] if name is None else [name])
-        for s in sorted(range(1, len(self.next)), key=self.length.__getitem__):
-            own = tuple((w, tuple(sorted(names))) for w, names in sorted(found.get(s, {}).items()))
-            self.ends[s] = ((self.ends[self.link[s]] or ()) + own) or None
+                    self._ends(s, width, item)
+        self.names = list(numbers)
+        self.told = array("i", [-1]) * len(self.code)
+        for s in sorted(range(1, len(self.code)), key=self.length.__getitem__):
+            self.told[s] = s if self.width[s] else self.told[self.link[s]]
+
+    def _ends(self, state: int, width: int, item: int) -> None:
+        """A window of the item ends at the state."""
+        own = self.width[state]
+        if not own:
+            self.width[state], self.item[state] = width, item
+        elif own == _SEVERAL:
+            self.windows[state].setdefault(width, set()).add(item)
+        elif (own, self.item[state]) != (width, item):
+            self.windows[state] = {own: {self.item[state]}}
+            self.windows[state].setdefault(width, set()).add(item)
+            self.width[state] = _SEVERAL
+
+    def after(self, state: int, code: int) -> int | None:
+        own = self.code[state]
+        if own == code:
+            return self.target[state]
+        return self.arcs[state].get(code) if own == _ARCS else None
+
+    def _set(self, state: int, code: int, target: int) -> None:
+        own = self.code[state]
+        if own == _NO_ARC or own == code:
+            self.code[state], self.target[state] = code, target
+        elif own == _ARCS:
+            self.arcs[state][code] = target
+        else:
+            self.arcs[state] = {own: self.target[state], code: target}
+            self.code[state] = _ARCS
+
+    def _state(self, length: int, link: int, like: int | None = None) -> int:
+        state = len(self.code)
+        self.code.append(_NO_ARC if like is None else self.code[like])
+        self.target.append(0 if like is None else self.target[like])
+        if like in self.arcs:
+            self.arcs[state] = dict(self.arcs[like])
+        self.length.append(length)
+        self.link.append(link)
+        return state
 
     def _extend(self, last: int, code: int) -> int:
-        follow, link, length = self.next, self.link, self.length
-        if code in follow[last]:
-            q = follow[last][code]
+        link, length = self.link, self.length
+        q = self.after(last, code)
+        if q is not None:
             return q if length[q] == length[last] + 1 else self._split(last, code, q)
-        new = len(follow)
-        follow.append({})
-        link.append(0)
-        length.append(length[last] + 1)
+        new = self._state(length[last] + 1, 0)
         p = last
-        while p >= 0 and code not in follow[p]:
-            follow[p][code] = new
+        while p >= 0 and (q := self.after(p, code)) is None:
+            self._set(p, code, new)
             p = link[p]
         if p >= 0:
-            q = follow[p][code]
             link[new] = q if length[q] == length[p] + 1 else self._split(p, code, q)
         return new
 
     def _split(self, p: int, code: int, q: int) -> int:
-        copy = len(self.next)
-        self.next.append(dict(self.next[q]))
-        self.link.append(self.link[q])
-        self.length.append(self.length[p] + 1)
+        copy = self._state(self.length[p] + 1, self.link[q], like=q)
         self.link[q] = copy
-        while p >= 0 and self.next[p].get(code) == q:
-            self.next[p][code] = copy
+        while p >= 0 and self.after(p, code) == q:
+            self._set(p, code, copy)
             p = self.link[p]
         return copy
 
     def matches(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set, int]:
         """Hit ranges of words (merged, end exclusive), names of the items that occur, longest match."""
-        follow, link, length, ends, code_of = self.next, self.link, self.length, self.ends, self.words.get
+        codes, target, arcs, code_of = self.code, self.target, self.arcs, self.words.get
+        link, length, told, widths = self.link, self.length, self.told, self.width
         state = matched = longest = 0
         hits: list[tuple[int, int]] = []
-        names: set = set()
+        named: set[int] = set()
         for i, word in enumerate(words):
             code = code_of(word)
             if code is None:
                 state = matched = 0
                 continue
-            onward = follow[state].get(code)
-            while onward is None and state:
+            while True:
+                own = codes[state]
+                onward = target[state] if own == code else arcs[state].get(code) if own == _ARCS else None
+                if onward is not None or not state:
+                    break
                 state = link[state]
                 matched = length[state]
-                onward = follow[state].get(code)
             if onward is None:
                 continue
             state = onward
             matched += 1
             if matched > longest:
                 longest = matched
-            if ends[state] is not None:
-                for width, items in ends[state]:
+            at = told[state]
+            while at >= 0:
+                own = widths[at]
+                for width, items in self.windows[at].items() if own == _SEVERAL else ((own, (self.item[at],)),):
                     if width <= matched:
                         start = i + 1 - width
                         while hits and start <= hits[-1][0]:
@@ -122,26 +184,51 @@ class Automaton:
                             hits[-1] = (hits[-1][0], i + 1)
                         else:
                             hits.append((start, i + 1))
-                        names.update(items)
-        return hits, names, longest
+                        named.update(items)
+                at = told[link[at]]
+        return hits, {self.names[k] for k in named if k != _NO_ITEM}, longest
+
+
+class Packed:
+    """A pickled automaton. What is broadcast of it is the automaton itself, so that only workers unpack it."""
 
+    def __init__(self, data: bytes):
+        self.data = data
 
-def automata(
-    items: DataFrame, id_col: str, text_col: str, window: int, block_bytes: int
-) -> Iterator[tuple[Automaton, bool]]:
-    """An automaton for each block of items, and whether another follows.
+    def __reduce__(self):
+        return pickle.loads, (self.data,)
 
-    The size of all items is measured first, so a block holds about
-    ``block_bytes`` of text at most.
+
+def automata(items: DataFrame, id_col: str, text_col: str, window: int, block_bytes: int) -> DataFrame:
+    """The automata of all blocks of items as one table: (block, part, data). Tasks build them, a block each.
+
+    The size of all distinct items is measured first, so a block holds about
+    ``block_bytes`` of text.
     """
-    items = items.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).where("text is not null")
+    items = items.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).where("text is not null").distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(total / block_bytes))
-    block = F.pmod(F.xxhash64("id", "text"), F.lit(blocks))
-    for i in range(blocks):
-        rows = (items if blocks == 1 else items.where(block == i)).collect()
-        worded = [(r["id"], words) for r in rows if (words := letter_words(r["text"]))]
-        yield Automaton(worded, window), i + 1 < blocks
+
+    def build(key: tuple, rows: pa.Table) -> pa.Table:
+        worded = [(i, words) for i, t in zip(rows["id"].to_pylist(), rows["text"].to_pylist()) if (words := letter_words(t))]
+        data = pickle.dumps(Automaton(worded, window), pickle.HIGHEST_PROTOCOL)
+        parts = [data[at : at + _CHUNK] for at in range(0, len(data), _CHUNK)]
+        return pa.table(
+            {"block": pa.array([key[0].as_py()] * len(parts), pa.int64()), "part": pa.array(range(len(parts)), pa.int64()), "data": pa.array(parts, pa.binary())}
+        )
+
+    dealt = items.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)))
+    return dealt.groupBy("block").applyInArrow(build, "block long, part long, data binary").checkpoint()
+
+
+def unpacked(built: DataFrame) -> Iterator[tuple[Packed, bool]]:
+    """The automata one after the other, and whether another follows; of no items, one that knows no word."""
+    blocks = sorted(r["block"] for r in built.select("block").distinct().collect())
+    for k, block in enumerate(blocks):
+        parts = sorted(built.where(F.col("block") == block).select("part", "data").collect())
+        yield Packed(b"".join(bytes(p["data"]) for p in parts)), k + 1 < len(blocks)
+    if not blocks:
+        yield Packed(pickle.dumps(Automaton([]))), False
 
 
 def contamination(
@@ -169,7 +256,7 @@ def contamination(
         F.lit(0).cast("long").alias("n_words"),
     )
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
-    for automaton, more in automata(items, item_id_col, item_text_col, window, block_bytes):
+    for automaton, more in unpacked(automata(items, item_id_col, item_text_col, window, block_bytes)):
         rows = map_rows(rows, schema, _step(spark.sparkContext.broadcast(automaton)))
         if more:
             rows = rows.checkpoint()
@@ -250,7 +337,8 @@ def decontaminated(
     nothing matches.
     """
     spark = prepare(docs.sparkSession)
-    blocks = automata(items, item_id_col, item_text_col, window, block_bytes)
+    built = automata(items, item_id_col, item_text_col, window, block_bytes)
+    blocks = unpacked(built)
     automaton, more = next(blocks)
     if not more:
         return map_texts(docs, text_col, _cut(spark.sparkContext.broadcast(automaton), max_coverage), length_col)
@@ -270,7 +358,7 @@ def decontaminated(
     done: DataFrame | None = None
     while done is None or not rows.isEmpty():
         if done is not None:
-            blocks = automata(items, item_id_col, item_text_col, window, block_bytes)
+            blocks = unpacked(built)
             automaton, more = next(blocks)
         while True:
             rows = rows.mapInArrow(_gather(spark.sparkContext.broadcast(automaton)), rows.schema).checkpoint()

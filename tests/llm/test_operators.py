@@ -1,6 +1,7 @@
 """The operators on small tables: nulls, empty and long texts, ties, repeated rows, no rows, clashing columns."""
 
 import hashlib
+import pickle
 import random
 import re
 import zlib
@@ -125,8 +126,8 @@ def test_blocks_of_items_do_not_change_what_is_cut(spark, blocks):
     items = spark.createDataFrame(rows, "item_id long, text string")
     block_bytes = -(-sum(len(t) for _, t in rows) // blocks)
     if blocks > 1:
-        halves = decontaminate.automata(items, "item_id", "text", 10, block_bytes)
-        parts = [{w for w in automaton.words if w in (b"a1", b"b1", b"c1")} for automaton, _ in halves]
+        halves = decontaminate.unpacked(decontaminate.automata(items, "item_id", "text", 10, block_bytes))
+        parts = [{w for w in pickle.loads(packed.data).words if w in (b"a1", b"b1", b"c1")} for packed, _ in halves]
         assert {b"a1"} in parts and {b"b1", b"c1"} in parts
     rest = decontaminate.decontaminated(docs, items, length_col="n_chars", block_bytes=block_bytes)
     assert rest.schema == docs.schema
@@ -230,6 +231,19 @@ def link(url):
     return f'<head><link href="{url}" rel="canonical"></head>'
 
 
+def test_repeated_items_do_not_fill_a_block(spark):
+    """A third of all rows are one item, which counts once; a block's automaton may take several rows of its table."""
+    many = [(f"i{k}", " ".join(f"w{k}x{j}" for j in range(20))) for k in range(200)]
+    items = spark.createDataFrame(many + [many[0]] * 100 + [(None, many[1][1]), ("none", None)], "item_id string, text string").repartition(7)
+    docs = spark.createDataFrame([doc(k, f"before {t} after") for k, (_, t) in enumerate(many)], DOCS)
+    built = decontaminate.automata(items, "item_id", "text", 10, 10_000)
+    sizes = [len(pickle.loads(packed.data).code) for packed, _ in decontaminate.unpacked(built)]
+    assert len(sizes) > 1 and sum(sizes) <= len(sizes) + 20 * 201 and max(sizes) < 20 * 200 / len(sizes) * 2
+    for block_bytes in (10_000, 10**6):
+        found = decontaminate.contamination(docs, items, block_bytes=block_bytes).collect()
+        assert all(list(r["items"]) == [f"i{r.doc_id}"] and [tuple(s) for s in r.spans] == [(1, 21)] for r in found) and len(found) == 200
+
+
 def test_rules_and_aliases(spark):
     rows = [
         (1, "http://A.Example.ORG/es/1?x", None), (2, "https://example.org/en/12", ""), (3, "https://example.org/fr", ""),

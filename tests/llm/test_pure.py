@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import json
+import pickle
 import random
 import re
 import time
@@ -87,6 +88,21 @@ def test_automaton_finds_what_comparing_everything_finds(words, items, window):
     assert longest == max((j - i for i in range(len(words)) for j in range(i + 1, len(words) + 1) if tuple(words[i:j]) in parts), default=0)
 
 
+def test_an_automaton_is_bounded_by_its_items():
+    chosen = random.Random(1)
+    words = [f"{chosen.randrange(10**6):x}".encode() for _ in range(5000)]
+    items = [(str(k), chosen.choices(words, [1 / (i + 1) for i in range(len(words))], k=60)) for k in range(1000)]
+    size = sum(len(w) + 1 for _, item in items for w in item)
+    tracemalloc.start()
+    automaton = decontaminate.Automaton(items)
+    held, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert held < 60 * size and most < 80 * size
+    again = pickle.loads(pickle.dumps(automaton))
+    for name, item in items[:50]:
+        assert again.matches(item) == automaton.matches(item) and automaton.matches(item)[0] == [(0, 60)] and name in automaton.matches(item)[1]
+
+
 def test_spans_are_cut_until_nothing_matches():
     automaton = decontaminate.Automaton([("1", [b"a", b"b", b"c"]), ("2", [b"x", b"y", b"z"])], 3)
     text = "k l m n o p, x a b c y z; q r s t u v w"
