@@ -121,3 +121,9 @@ class Versions:
 def resolved(spark: SparkSession, path: str) -> str:
     """The folder of the current version of a table, or the path itself if it has no versions."""
     return Versions(spark, path).folder() or path
+
+
+def removed(spark: SparkSession, path: str) -> bool:
+    """Remove a folder that this library wrote; whether it was there."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

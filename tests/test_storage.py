@@ -12,7 +12,7 @@ from paylens.session import shared_folder
 from paylens.sinks import load_tables, register_views, write_csv, write_table
 from paylens.sources.star_schema import star_model
 from paylens.sources.tables import read_csv_table, read_parquet_table, read_slice, scan_table
-from paylens.streaming.incremental import load_new_documents
+from paylens.streaming.incremental import listed_documents, load_new_documents, new_texts
 from tests.drop import _write, pincode, write_drop
 
 
@@ -174,3 +174,46 @@ def test_incremental_load_takes_old_and_revised_documents(spark, tmp_path):
     put("tamil-nadu", 2)
     assert load_new_documents(spark, drop, "top_ins", target, ledger) == 1
     assert stored() == [("Goa", 2, "700001", 3), ("Tamil Nadu", 3, "600009", 5)]
+
+
+def test_incremental_load_opens_no_document_of_other_periods(spark, tmp_path):
+    drop, target, ledger = (str(tmp_path / d) for d in ("drop", "target", "ledger"))
+    write_drop(drop)
+
+    def put(state, year, quarter):
+        entries = [pincode("700001", 3, 1.0)]
+        _write(drop, "top_ins", state, year, quarter, {"data": {"pincodes": entries}})
+
+    for quarter in (1, 2, 3):
+        put("andaman-&-nicobar-islands", 2021, quarter)
+        put("a b%20c", 2021, quarter)
+    assert load_new_documents(spark, drop, "top_ins", target, ledger) == 7
+    put("goa", 2021, 3)
+    folder = f"{drop}/{DROP_PATHS['top_ins']}"
+    known = spark.read.parquet(f"{ledger}/top_ins")
+    new = listed_documents(spark, folder).join(known, ["path", "modificationTime", "length"], "left_anti")
+    texts = new_texts(spark, folder, new)
+    assert len(texts.collect()) == 1
+    # Three documents of the quarter are opened, two of them for nothing.
+    scans = [s for s in plan_of(texts) if "text" in s.nodeName()]
+    assert sum(s.metrics().get("numFiles").get().value() for s in scans) == 3
+    assert load_new_documents(spark, drop, "top_ins", target, ledger) == 1
+    assert FactModel.from_parquet(spark, target).table("top_ins").count() == 8
+
+
+def plan_of(df):
+    """The leaves of a frame's final plan."""
+    plan = df._jdf.queryExecution().executedPlan()
+    if hasattr(plan, "finalPhysicalPlan"):
+        plan = plan.finalPhysicalPlan()
+    found, open_plans = [], [plan]
+    while open_plans:
+        plan = open_plans.pop()
+        if "QueryStage" in plan.nodeName():
+            open_plans.append(plan.plan())
+            continue
+        children = plan.children()
+        open_plans += [children.apply(i) for i in range(children.size())]
+        if not children.size():
+            found.append(plan)
+    return found
