@@ -392,6 +392,34 @@ ORACLES["color_bounds_trans"] = _bounds("map_trans", "Transaction_amount")
 ORACLES["color_bounds_ins"] = _bounds("map_ins", "Insurance_amount")
 ORACLES["color_bounds_users"] = _bounds("map_user", "Registered_users")
 
+
+
+def _key_totals(view: str, key: str) -> str:
+    return f"SELECT {key}, {_dbl('sum(Transaction_amount)')} AS v FROM {view} GROUP BY {key}"
+
+
+def _value_bounds(view: str, key: str) -> str:
+    return _query(f"""
+WITH t AS ({_key_totals(view, key)}),
+o AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS i FROM t),
+p AS (SELECT share, ((SELECT count(*) FROM t) - 1) * share AS pos
+    FROM (VALUES (0.05::DOUBLE), (0.5::DOUBLE), (0.95::DOUBLE)) s(share))
+SELECT share, CASE WHEN a.v = b.v THEN a.v ELSE (ceil(pos) - pos) * a.v + (pos - floor(pos)) * b.v END AS value
+FROM p JOIN o a ON a.i = floor(pos) JOIN o b ON b.i = ceil(pos)""")
+
+
+def _places(view: str, key: str) -> str:
+    return _query(f"""
+WITH t AS ({_key_totals(view, key)})
+SELECT {key}, v AS total_value, lag(v) OVER (ORDER BY v DESC, {key}) AS value_before,
+    {_big('rank() OVER (ORDER BY v DESC)')} AS place FROM t""")
+
+
+for _by, _view, _key in (("districts", "map_trans", "District_name"), ("pincodes", "top_trans", "Pincode")):
+    ORACLES[f"value_bounds_{_by}"] = _value_bounds(_view, _key)
+    ORACLES[f"places_of_{_by}"] = _places(_view, _key)
+ORACLES["bucketed_pincode_growth"] = ORACLES["pincode_growth"]
+
 _FEATURES = f"""features AS (
     SELECT n_name AS State FROM nation WHERE n_regionkey <> {LEFT_OUT_REGION}
     UNION SELECT r_name FROM region)"""

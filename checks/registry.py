@@ -18,7 +18,7 @@ from paylens.plans.cases import CASES, QUERIES, CaseYears, run_case
 from paylens.plans.load import export_csv
 from paylens.plans.model import FactModel
 from paylens.session import shared_folder
-from paylens.sinks import load_tables, register_views, stored_dimensions, stored_profile, write_csv, write_table
+from paylens.sinks import load_tables, register_views, stored_dimensions, stored_profile, write_bucketed, write_csv, write_table
 from paylens.sources import geo, tables
 from paylens.sources.grains import grained_model
 from paylens.sources.inputs import fingerprint
@@ -32,6 +32,7 @@ WHOLE_YEARS = replace(YEARS, until=2000)
 YEAR, QUARTER = 2000, 1
 PAIR = ("NATION_3", "NATION_7")
 LEFT_OUT_REGION = 4
+BUCKETS = 16
 # Fixed value: where Spark's partition folders tell state, year and quarter.
 _PARTITION_KEYS = r"/state=([^/]+)/year=(\d+)/quarter=(\d+)/"
 DISTRICT_RENAMES = {"MACHINERY": "BUILDING"}
@@ -297,6 +298,20 @@ def _color_bounds(dataset: str) -> Registered:
     return run
 
 
+def _over_all(report: Callable[..., DataFrame], by: str) -> Registered:
+    return lambda spark, folder: report(star_model(spark, folder), "transactions", by)
+
+
+def _bucketed(spark: SparkSession, folder: str) -> DataFrame:
+    """Yearly growth of pincodes over a stored table of buckets, in a database of this session's and input's own."""
+    of_input = hashlib.sha256(f"{spark.sparkContext.applicationId} {folder}".encode()).hexdigest()[:12]
+    database = f"paylens_buckets_{of_input}"
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
+    write_bucketed(star_model(spark, folder).table("top_ins"), f"{database}.top_ins", "Pincode", BUCKETS)
+    model = FactModel.of(lambda name: tables.scan_table(spark, name, f"{database}.{name}"))
+    return QUERIES["pincode_growth"](model, YEARS)
+
+
 def _geo(report: Callable[..., DataFrame]) -> Registered:
     def run(spark: SparkSession, folder: str) -> DataFrame:
         docs = feature_documents(
@@ -336,6 +351,10 @@ def all_queries() -> dict[str, Registered]:
     for dataset, short in (("transactions", "trans"), ("insurance", "ins"), ("users", "users")):
         registered[f"state_metrics_{short}"] = _state_metrics(dataset)
         registered[f"color_bounds_{short}"] = _color_bounds(dataset)
+    for by in ("districts", "pincodes"):
+        registered[f"value_bounds_{by}"] = _over_all(explorer.value_bounds, by)
+        registered[f"places_of_{by}"] = _over_all(explorer.places, by)
+    registered["bucketed_pincode_growth"] = _bucketed
     registered["geo_coverage"] = _geo(rollup.geo_coverage)
     registered["geo_unmatched"] = _geo(rollup.geo_unmatched)
 

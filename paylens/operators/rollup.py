@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paylens.functions import plain_mean, ratio, total
 from paylens.operators.common import totals
+from paylens.operators.quantiles import percentiles
 
 # Fixed value: one crore.
 CRORE = 1e7
@@ -68,6 +71,12 @@ def color_bounds(metrics: DataFrame, measure: str, low: float = 0.05, high: floa
     )
 
 
+def value_bounds(df: DataFrame, measure: str, shares: Sequence[float]) -> DataFrame:
+    """(share, value): interpolated percentiles of a metric with any number of rows, by passes over it."""
+    ends = percentiles(df, measure, shares)
+    return df.sparkSession.createDataFrame(list(zip(map(float, shares), ends)), "share double, value double")
+
+
 def geo_coverage(metrics: DataFrame, features: DataFrame, key: str) -> DataFrame:
     """Metrics with a flag telling whether a map feature of the same name exists."""
     known = features.select(F.col(key)).distinct().withColumn("has_feature", F.lit(True))

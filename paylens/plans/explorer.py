@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paylens.operators import cleaning, ranking, rollup
+from paylens.operators import cleaning, ordered, ranking, rollup
+from paylens.operators.common import totals
 from paylens.plans.model import FactModel
+from paylens.session import checkpointed
 
 
 @dataclass(frozen=True)
@@ -97,6 +100,35 @@ def top_pincodes(
     return cleaning.canonical_pincodes(best)
 
 
+def _key_totals(model: FactModel, dataset: str, by: str) -> tuple[DataFrame, str]:
+    """Total value of each district or pincode over all periods, and the key's name."""
+    d = DATASETS[dataset]
+    table, key = {"districts": (d.map_table, "District_name"), "pincodes": (d.top_table, "Pincode")}[by]
+    if table is None:
+        raise ValueError(f"dataset {dataset} has no table by {by}")
+    return totals(model.table(table), [key], {d.value: "total_value"}), key
+
+
+def value_bounds(
+    model: FactModel, dataset: str, by: str, shares: Sequence[float] = (0.05, 0.5, 0.95)
+) -> DataFrame:
+    """Ends of a scale over all districts or pincodes: (share, value)."""
+    summed, _ = _key_totals(model, dataset, by)
+    return rollup.value_bounds(summed, "total_value", shares)
+
+
+def places(model: FactModel, dataset: str, by: str) -> DataFrame:
+    """Every district or pincode with its rank by total value, and the value of the one before it.
+
+    Equal totals share a rank; the one before is then that of the key before. No
+    task sees all keys.
+    """
+    summed, key = _key_totals(model, dataset, by)
+    order = [F.col("total_value").desc_nulls_last(), F.col(key).asc_nulls_first()]
+    following = ordered.lagged(checkpointed(summed), order, {"total_value": "value_before"})
+    return ordered.ranked(checkpointed(following), "total_value", "place")
+
+
 def state_metrics(model: FactModel, dataset: str, year: int, quarter: int) -> DataFrame:
     return _state_metrics(model, dataset, year, quarter).orderBy("State")
 

@@ -6,6 +6,8 @@ replace is seen whole or not at all, and its null counts are taken on the way.
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Callable, Mapping
 from concurrent.futures import ThreadPoolExecutor
 from typing import Any
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 
 from paylens import schemas
 from paylens.operators.quality import null_or_nan
-from paylens.sinks.versions import Versions
+from paylens.sinks.versions import KEPT, Versions
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -72,6 +74,32 @@ def write_table(
     spark.sql(f"CREATE OR REPLACE VIEW {_quoted(table)} AS SELECT {columns} FROM parquet.`{folder}`")
 
 
+def write_bucketed(df: DataFrame, table: str, key: str, buckets: int) -> str:
+    """Replace a table of the catalog, cut into buckets by the hash of ``key`` and sorted by it; returns what holds the rows.
+
+    Sums by the key, and joins on it with a table of as many buckets, then move
+    no rows. One task reads a bucket, so this is for tables that hold a key once a
+    state and period, however many payments it had. The table is a view of its
+    current version, which is replaced when the new one is complete; the version
+    before stays for readers that have begun.
+    """
+    spark = df.sparkSession
+    database, _, name = table.rpartition(".")
+    database = database or spark.catalog.currentDatabase()
+    pattern = re.compile(rf"{re.escape(name.lower())}_bucketed_(\d{{6}})_[0-9a-f]{{8}}")
+    found = ((pattern.fullmatch(t.name), t.name) for t in spark.catalog.listTables(database))
+    known = sorted((int(match[1]), version) for match, version in found if match)
+    number = known[-1][0] + 1 if known else 1
+    version = f"{name.lower()}_bucketed_{number:06d}_{uuid.uuid4().hex[:8]}"
+    holder = f"{database}.{version}"
+    df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).saveAsTable(holder)
+    columns = ", ".join(f"`{c}`" for c in df.columns)
+    spark.sql(f"CREATE OR REPLACE VIEW {_quoted(f'{database}.{name}')} AS SELECT {columns} FROM {_quoted(holder)}")
+    for _, old in known[: 1 - KEPT]:
+        spark.sql(f"DROP TABLE IF EXISTS {_quoted(f'{database}.{old}')}")
+    return holder
+
+
 def _quoted(table: str) -> str:
     return ".".join(f"`{part}`" for part in table.split("."))
 
