@@ -128,11 +128,13 @@ def key_of(url: Column) -> Column:
 
 def ties(pages: DataFrame, url_col: str, html_col: str, redirects: DataFrame | None) -> DataFrame:
     """(a, b): keys of URLs that stand for the same page, each pair once."""
-    url, page = F.col(url_col), F.regexp_replace(F.col(html_col), _UNREAD, "")
+    # A step of its own, so that each page is cut once for all patterns.
+    read = pages.select(F.col(url_col).alias("source"), F.regexp_replace(F.col(html_col), _UNREAD, "").alias("page"))
+    page = F.col("page")
     found = [F.regexp_extract(page, _CANONICAL, i) for i in (1, 2, 3)]
     canonical = F.coalesce(*[F.when(f != "", f) for f in found])
     refresh = F.regexp_extract(page, _REFRESH, 1)
-    linked = pages.select(url.alias("source"), F.explode(F.array(canonical, refresh)).alias("link"))
+    linked = read.select("source", F.explode(F.array(canonical, refresh)).alias("link"))
     linked = linked.where("link is not null and link <> ''").withColumn("host", host_of(F.col("source"))).where("host <> ''")
     edges = linked.select("source", _target(F.trim(unescaped(F.col("link"))), F.col("host"), path_of(F.col("source"))).alias("target"))
     if redirects is not None:
