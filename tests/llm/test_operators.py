@@ -335,6 +335,17 @@ def test_token_counts_of_odd_rows(spark, odd, none):
     assert token_count.token_counts(none, PIECES).count() == 0
 
 
+@pytest.mark.parametrize("frequent", [0, 3])
+def test_token_counts_do_not_depend_on_what_is_frequent(spark, monkeypatch, frequent):
+    monkeypatch.setattr(token_count, "FREQUENT", frequent)
+    monkeypatch.setattr(token_count, "FREQUENT_LONG", frequent)
+    model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    texts = [f"hot word{i % 7} x{i}  \u2581 " + "y" * (i % 90) for i in range(300)] + ["z" * 500] * 40 + [None, ""]
+    docs = spark.createDataFrame([doc(i // 2, t) for i, t in enumerate(texts)], DOCS).repartition(5).checkpoint()
+    want = sorted(((i // 2, len(model.encode(t or ""))) for i, t in enumerate(texts)))
+    assert sorted((r.doc_id, r.n_tokens) for r in token_count.token_counts(docs, PIECES).collect()) == want
+
+
 def test_quality_of_odd_rows(spark, odd, none):
     held_out = remainder_is("doc_id", 5, 0)
     labels = spark.createDataFrame([(4, 1), (4, 0), (8, 1), (9, None), (None, 1), (77, 0), (7, 1)], "doc_id long, quality int")

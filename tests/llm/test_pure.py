@@ -9,6 +9,7 @@ import re
 import time
 import tracemalloc
 from collections import Counter
+from functools import cache
 
 import numpy as np
 import public_tokenizers
@@ -331,15 +332,37 @@ def test_the_fast_split_is_the_split(text):
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.sampled_from(["a", "the", " ", "  ", "▁", "\n", "é", "中", "\0", "<s>", " ", "12"])).map("".join))
 def test_pieces_by_pretoken_are_those_of_the_text(text):
-    counter = token_count.worker_counter(PIECES)
+    counter = piece_counter()
     assert counter.n_tokens(text) == len(counter.model.encode(text))
 
 
-def test_counts_survive_a_full_store():
-    model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
-    counter = token_count.PieceCounter(PIECES, kept=3)
-    for text in ("one two three four", "five six one", "", " two  "):
-        assert counter.n_tokens(text) == len(model.encode(text))
+@cache
+def piece_counter():
+    return token_count.PieceCounter(PIECES)
+
+
+@pytest.mark.parametrize(("few", "sums", "at_once"), [(64, 200_000, 4096), (2, 3, 1), (3, 1, 2)])
+def test_each_pretoken_is_counted_once(monkeypatch, few, sums, at_once):
+    counter, asked = piece_counter(), []
+    monkeypatch.setattr(token_count, "FEW", few)
+    monkeypatch.setattr(token_count, "SUMS", sums)
+    monkeypatch.setattr(token_count, "AT_ONCE", at_once)
+    monkeypatch.setattr(counter, "count", lambda p: asked.extend(p) or type(counter).count(counter, p), raising=False)
+    texts = ["one two three four", "five six one one", "", " two  ", "one  two", "one unheardofword   "]
+    rows = [(i, p, n) for i, t in enumerate(texts) for p, n in counter.frequencies(t).items()]
+    found = Counter()
+    for part in token_count.summed(iter(sorted(rows, key=lambda r: r[1])), counter):
+        found.update(part)
+    assert sorted(asked) == sorted({p for _, p, _ in rows})
+    assert {i: n for i, n in found.items() if n} == {i: n for i, t in enumerate(texts) if (n := len(counter.model.encode(t)))}
+
+
+def test_frequent_pretokens_are_named_within_a_bound(monkeypatch):
+    monkeypatch.setattr(token_count, "KEPT", 50)
+    monkeypatch.setattr(token_count, "NAMED", 3)
+    texts = (f"hot word{i} warm{i % 4}" for i in range(2000))
+    found = token_count.named(texts, piece_counter())
+    assert found[0] == ("hot", 2000) and len(found) <= 3
 
 
 def naive_base(text):
