@@ -12,12 +12,13 @@ So the state after uv has lost what the state after v had lost when uv was made,
 and an arc uv is lost where the arc u was lost when uv was made. Gadgets are kept
 in this form: for each token the chain of its right parts and of its left parts,
 each with the merge up to which it counts, and for each merge the arc that it
-takes away. An arc of the table follows from both chains; rows of the table are
-filled when first asked for.
+takes away. An arc of the table follows from both chains; arcs are filled in
+when first asked for.
 
-Encoding runs over the bytes of a pre-split word, from arc to arc. There is
-exactly one path, for each beginning of the word has one encoding. Decoding
-joins the bytes on the arcs.
+Encoding runs over the bytes of a pre-split word once. Of the tokens that end at
+a byte exactly one has an arc from the token before it, for each beginning of a
+word has one encoding: what is read so far determines the next step, and no byte
+is gone back to. Decoding joins the bytes on the arcs.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ import json
 import re
 from collections.abc import Iterator
 
+import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -55,7 +57,7 @@ def pre_split(text: str) -> list[str]:
 
 
 #: Distinct words whose ids a task keeps; longer words (in bytes) are not kept. Arcs of the table that it keeps.
-KEPT, KEPT_BYTES, ARCS = 160_000, 64, 400_000
+KEPT, KEPT_BYTES, ARCS = 160_000, 64, 300_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -78,8 +80,8 @@ class TokenAutomaton:
         #: (part, the merge up to which its losses count), from the whole token on.
         self.right = {token: ((token, end),) for token in by_bytes.values()}
         self.left = dict(self.right)
-        self.rows: dict[int, dict[int, bool]] = {}
-        self.arcs = 0
+        #: The part of the table that was asked for: whether (state after a token, token) has an arc.
+        self.known_arcs: dict[int, bool] = {}
         for i, (u, v, uv) in enumerate(merges):
             if uv in self.right:
                 raise ValueError("two merges make one token")
@@ -89,11 +91,11 @@ class TokenAutomaton:
             self.left[uv] = ((uv, end), (u, i), *self.left[u][1:])
             self.lost_at[u, v] = i
             by_bytes[labels[uv]] = uv
-        #: The length of the longest token by its first three bytes.
-        self.reach: dict[bytes, int] = {}
-        for label in by_bytes:
-            if len(label) > 2:
-                self.reach[label[:3]] = max(len(label), self.reach.get(label[:3], 0))
+        #: Reads bytes by a table, and tells at each byte which tokens end there.
+        self.endings = ahocorasick.Automaton()
+        for label, token in by_bytes.items():
+            self.endings.add_word(label.decode("latin-1"), (token, len(label)))
+        self.endings.make_automaton()
         self.known = _words(self)
 
     @classmethod
@@ -121,53 +123,48 @@ class TokenAutomaton:
         return False
 
     def has_arc(self, before: int, token: int) -> bool:
-        """Whether the state after one token has an arc for another."""
-        row = self.rows.get(before)
-        if row is None:
-            row = self.rows[before] = {}
-        answer = row.get(token)
+        """Whether the state after one token has an arc for another; the table keeps the answer."""
+        arcs = self.known_arcs
+        answer = arcs.get(before << 32 | token)
         if answer is None:
-            if self.arcs >= ARCS:
-                self.rows, self.arcs, row = {}, 0, {}
-                self.rows[before] = row
-            self.arcs += 1
-            answer = row[token] = not self._lost(before, token)
+            if len(arcs) >= ARCS:
+                arcs.clear()
+            answer = arcs[before << 32 | token] = not self._lost(before, token)
         return answer
 
     def encode_word(self, word: bytes) -> list[int]:
         """The ids of a pre-split word: the only path of arcs that spells it.
 
-        The longest arc is taken first. Where none leads on, the last is given
-        up for a shorter one, and its end is not tried again: a beginning of the
-        word has one path, so no other can reach it.
+        Every beginning of a word has one encoding, so just one token that ends
+        at a place continues the encoding of what is before it. The places are
+        read once each, from left to right, and the last token at each is kept;
+        the path is read off from the end.
         """
-        get, has_arc, reach, n = self.by_bytes.get, self.has_arc, self.reach.get, len(word)
-        whole = get(word)
+        whole = self.by_bytes.get(word)
         if whole is not None:
             return [whole]
-        ids: list[int] = []
-        sizes: list[int] = []
-        dead: set[int] = set()
-        at, most = 0, n
-        while at < n:
-            size = min(most, n - at, reach(word[at : at + 3], 2))
-            while size:
-                token = get(word[at : at + size])
-                if token is not None and (not at or has_arc(ids[-1], token)) and at + size not in dead:
-                    break
-                size -= 1
-            if size:
-                ids.append(token)
-                sizes.append(size)
-                at, most = at + size, n
-            elif ids:
-                dead.add(at)
-                ids.pop()
-                most = sizes.pop()
-                at, most = at - most, most - 1
-            else:
-                raise ValueError("a byte has no token")
-        return ids
+        arcs, has_arc, n = self.known_arcs, self.has_arc, len(word)
+        last, sizes = [0] * n, [0] * n
+        at = 0
+        for end, (token, size) in self.endings.iter(word.decode("latin-1")):
+            if end < at:  # this place has its token
+                continue
+            if end > at:
+                break
+            if size <= end:
+                before = last[end - size]
+                arc = arcs.get(before << 32 | token)
+                if not (has_arc(before, token) if arc is None else arc):
+                    continue
+            last[end], sizes[end] = token, size
+            at = end + 1
+        if at < n:
+            raise ValueError("a byte has no token")
+        ids, end = [], n - 1
+        while end >= 0:
+            ids.append(last[end])
+            end -= sizes[end]
+        return ids[::-1]
 
     def decode(self, ids: list[int]) -> str:
         """The text on the arcs; ids of no token are skipped, bytes that are no UTF-8 replaced."""

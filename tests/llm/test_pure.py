@@ -323,6 +323,37 @@ def test_bpe_of_long_words(automaton, library):
         assert automaton.encode(text) == library.encode(text, add_special_tokens=False).ids
 
 
+class Watched:
+    """Passes on what ends where, and notes the places."""
+
+    def __init__(self, endings):
+        self.endings, self.places, self.reads = endings, [], 0
+
+    def iter(self, text):
+        self.reads += 1
+        for end, found in self.endings.iter(text):
+            self.places.append(end)
+            yield end, found
+
+
+def test_encoding_reads_each_place_once_and_goes_back_to_none(automaton, monkeypatch):
+    rng = random.Random(4)
+    words = ["".join(rng.choices("etaoinshrdlu", k=rng.randint(9, 40))).encode() for _ in range(300)] + [b"a" * 500, "éü".encode() * 40]
+    for word in words:
+        if word in automaton.by_bytes:
+            continue
+        watched = Watched(automaton.endings)
+        monkeypatch.setattr(automaton, "endings", watched)
+        ids = automaton.encode_word(word)
+        monkeypatch.undo()
+        assert watched.reads == 1 and watched.places == sorted(watched.places) and set(watched.places) == set(range(len(word)))
+        # The path of a word goes over the paths of its beginnings.
+        at = 0
+        for k, token in enumerate(ids):
+            at += len(automaton.labels[token])
+            assert automaton.encode_word(word[:at]) == ids[: k + 1]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet=st.characters(max_codepoint=0x2FF), max_size=50))
 def test_the_fast_split_is_the_split(text):
