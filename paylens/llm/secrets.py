@@ -12,7 +12,16 @@ what they are:
   (PKCS#1, DSA, PKCS#8 plain or encrypted, SEC1), or in the length-prefixed
   fields of an OpenSSH key; as a run of hexadecimal digits, anywhere in a run
   of base64 (OpenSSH keys: at its end), or in the lines of a PEM block, whose
-  line ends may be escaped, and which may be in base64 as a whole.
+  line ends may be escaped, and which may be in base64 as a whole. A PEM block
+  whose header lines say that it is encrypted has to hold whole cipher blocks.
+
+A token's header begins with its brace. Not reported are keys nested deeper
+than MAX_DEPTH (a parameter of the module; no known form is), OpenSSH files of
+more than MAX_KEYS keys, and base64 of fewer than 40 characters outside PEM
+blocks, which holds no key of 30 bytes. Each row is scanned by itself and whole,
+so repeated rows have equal spans and very long texts all of theirs; where spans
+of several kinds begin at one place, they come in the order of the kinds, then
+of their ends. A table without rows gives none.
 
 Spans are in code points, end exclusive. Null is an empty text, without spans.
 """
@@ -36,7 +45,9 @@ from paylens.llm.decontaminate import merged
 KINDS = ("assign", "access", "hex", "jwt", "key")
 PLACEHOLDER = "[REDACTED]"
 #: DER is nested no deeper than this in a key.
-MAX_DEPTH = 8
+MAX_DEPTH = 32
+#: Keys in one OpenSSH file.
+MAX_KEYS = 1024
 
 # The patterns of the base. Shorter matches are those that would be dropped.
 _ASSIGN = re.compile(
@@ -49,10 +60,13 @@ _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 
 _HEX_RUN = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){32,}(?![0-9A-Fa-f])")
 _BASE64_RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
-_TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]{5,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([^-]*)-----END \1-----")
+#: "e" and one of these is how an object's brace and a quote or white space begin in base64.
+_TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(e[wy][A-Za-z0-9_-]{6,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)")
+_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:(?!-----).)*)-----END \1-----", re.S)
 _ESCAPED_LINE_END = re.compile(r"\\+[nr]")
 _PEM_HEADER = re.compile(r"(?m)^[A-Za-z0-9-]+:.*$")
+_PEM_ENCRYPTED = re.compile(r"(?m)^Proc-Type: *4, *ENCRYPTED\s*$")
+_PEM_CIPHER = re.compile(r"(?m)^DEK-Info: *[A-Z0-9-]+, *((?:[0-9A-Fa-f]{2})+)\s*$")
 
 
 def decoded_base64(run: str) -> bytes | None:
@@ -141,7 +155,7 @@ def is_openssh_key(data: bytes) -> bool:
             return False
     keys = int.from_bytes(data[at : at + 4], "big")
     at += 4
-    if not 1 <= keys <= 16:
+    if not 1 <= keys <= MAX_KEYS:
         return False
     for _ in range(keys + 1):  # public keys, then the private part
         value, at = field(at)
@@ -203,7 +217,7 @@ def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
     def free(a: int, b: int) -> bool:
         return all(b <= c or a >= d for _, c, d in out)
 
-    if "eyJ" in text:
+    if "ey" in text or "ew" in text:
         out += [("jwt", *m.span()) for m in _TOKEN.finditer(text) if is_signed_token(*m.groups())]
     out += [("key", a, b) for a, b in _pem_spans(text)]
     for m in _BASE64_RUN.finditer(text):
@@ -219,7 +233,13 @@ def _pem_spans(text: str) -> list[tuple[int, int]]:
         return []
 
     def holds_key(body: str) -> bool:
-        return is_key(decoded_base64("".join(_PEM_HEADER.sub("", _ESCAPED_LINE_END.sub("\n", body)).split())))
+        lines = _ESCAPED_LINE_END.sub("\n", body)
+        data = decoded_base64("".join(_PEM_HEADER.sub("", lines).split()))
+        if not _PEM_ENCRYPTED.search(lines):
+            return is_key(data)
+        # Of an encrypted key only whole blocks can be told; a block is as long as the start value, which AES has 16 bytes of.
+        start = _PEM_CIPHER.search(lines)
+        return bool(start and data) and len(start[1]) in (16, 32) and len(data) % (len(start[1]) // 2) == 0
 
     return [m.span() for m in _PEM.finditer(text) if holds_key(m[2])]
 

@@ -466,6 +466,58 @@ def test_keys_are_found_anywhere_in_a_run(data):
             assert secrets.confirmed_spans(f"{bare}/{bare}") == [("key", 0, len(bare)), ("key", len(bare) + 1, 2 * len(bare) + 1)]
 
 
+@pytest.mark.parametrize("dumped", ['{"alg":"HS256"}', '{ "alg" : "HS256" }', '{\n  "alg": "HS256"\n}', '{\t"alg":"RS256"}', '{\r\n"alg":"none"}'])
+def test_tokens_of_headers_with_white_space(dumped):
+    head = base64.urlsafe_b64encode(dumped.encode()).decode().rstrip("=")
+    token = ".".join([head, *JWT.split(".")[1:]])
+    assert secrets.confirmed_spans(f"new, they: {token} ewe.news.example") == [("jwt", 11, 11 + len(token))]
+
+
+def lines_of(data):
+    return re.findall(".{1,64}", base64.b64encode(data).decode())
+
+
+@pytest.mark.parametrize(("cipher", "start", "size"), [("DES-EDE3-CBC", 8, 8), ("AES-128-CBC", 16, 16)])
+def test_encrypted_pem_blocks(cipher, start, size):
+    rng = random.Random(size)
+    head = ["-----BEGIN RSA PRIVATE KEY-----", "Proc-Type: 4,ENCRYPTED", f"DEK-Info: {cipher},{rng.randbytes(start).hex().upper()}", ""]
+    for end in ("\n", "\r\n", "\\n"):
+        pem = end.join([*head, *lines_of(rng.randbytes(40 * size)), "-----END RSA PRIVATE KEY-----"])
+        assert secrets.confirmed_spans(f"x {pem}") == [("key", 2, 2 + len(pem))], end
+        broken = end.join([*head, *lines_of(rng.randbytes(40 * size + 1)), "-----END RSA PRIVATE KEY-----"])
+        plain = end.join([head[0], *lines_of(rng.randbytes(40 * size)), "-----END RSA PRIVATE KEY-----"])
+        assert secrets.confirmed_spans(broken) == secrets.confirmed_spans(plain) == []
+
+
+def plain_der(data):
+    """A reader of DER apart from the operator's: the values of integers and the nested rest, or an error."""
+    out = []
+    while data:
+        tag, size, head = data[0], data[1], 2
+        if size >= 128:
+            head += size - 128
+            size = int.from_bytes(data[2:head], "big")
+            assert size >= 128 and data[2]
+        body, data = data[head : head + size], data[head + size :]
+        assert len(body) == size
+        out.append((tag, plain_der(body) if tag & 0x20 else body))
+    return out
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.integers(0, 2**32), st.integers(0, 12), st.binary(max_size=3), st.booleans())
+def test_der_keys_are_those_that_a_plain_reader_takes(seed, n, junk, cut):
+    rng = random.Random(seed)
+    data = tlv(0x30, number(rng.choice([0, 0, 1, 5])), *[number(rng.getrandbits(rng.choice([8, 64, 1024]))) for _ in range(n)])
+    data = data[: len(data) - rng.randint(0, 2)] + junk if cut else data
+    try:
+        (tag, parts), = plain_der(data)
+        want = tag == 0x30 and {t for t, _ in parts} == {2} and parts[0][1] in (b"\0", b"\1") and (len(parts) >= 9 or len(parts) == 6)
+    except (AssertionError, IndexError, ValueError):
+        want = False
+    assert secrets.is_der_key(data) == want
+
+
 def test_pem_blocks_in_json_and_in_base64():
     body = re.findall(".{1,64}", base64.b64encode(PKCS8).decode())
     for end in ("\n", "\\n", "\\r\\n", "\\\\n"):
