@@ -108,28 +108,35 @@ class Recent(dict):
         self.older = {}
 
 
+def by_place(df: DataFrame) -> DataFrame:
+    """The frame with its columns named c0, c1 and so on, so that names with dots or of columns made here do no harm."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+
+
 def map_texts(df: DataFrame, text: str, change: Callable[[list], tuple[list, list]], length: str | None = None) -> DataFrame:
     """Change the texts of some rows and drop others; all columns stay, of whatever name and type.
 
     ``change`` gets the texts of a batch and returns the new texts and a list of
     booleans: which rows stay. ``length`` names a column for the new code points.
     """
+    at = df.columns.index(text)
+    where = None if length is None else df.columns.index(length)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            at = batch.schema.get_field_index(text)
             old = batch.column(at).to_pylist()
             new, stays = change(old)
             columns = list(batch.columns)
             columns[at] = pa.array(new, batch.schema.field(at).type)
-            if length is not None:
-                where = batch.schema.get_field_index(length)
+            if where is not None:
                 kept = batch.column(where).to_pylist()
                 counts = [k if a == b else len(b) for k, a, b in zip(kept, old, new)]
                 columns[where] = pa.array(counts, batch.schema.field(where).type)
             out = pa.RecordBatch.from_arrays(columns, schema=batch.schema)
             yield out.filter(pa.array(stays, pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    rows = by_place(df)
+    return rows.mapInArrow(run, rows.schema).toDF(*df.columns)
 
 
 _ARROW = {

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from paylens.llm.common import Recent, at_task_end, map_rows, mixed, prepare, sliced, spaced_words, streams
+from paylens.llm.common import Recent, at_task_end, by_place, map_rows, mixed, prepare, sliced, spaced_words, streams
 from paylens.llm.components import components
 
 COORDINATES, AGREEMENTS = 48, 22
@@ -320,34 +320,33 @@ def deduplicated(
 
     All columns stay. Of rows that repeat an id with equal sets, one stays (the
     least by text); documents without words all stay. Copies meet by key and id
-    together, so that a large group of copies spreads over tasks.
+    together, so that a large group of copies spreads over tasks. Columns may
+    have any names, with dots or those of columns that are made here.
     """
-    near = near_duplicates(docs, id_col, text_col, width, percent)
-    keep = (
-        near.where("kept and node is not null")
-        .select(F.col("node").alias("__node"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("__id"))
-        .distinct()
-    )
-    columns = docs.columns
-    keyed = _with_node(docs, text_col, width).withColumn("__id", F.coalesce(F.col(id_col).cast("string"), F.lit("null")))
-    order = Window.partitionBy("__node", "__id").orderBy(text_col)
+    text, own = (f"c{docs.columns.index(c)}" for c in (text_col, id_col))
+    rows = by_place(docs)
+    near = near_duplicates(rows, own, text, width, percent)
+    keep = near.where("kept and node is not null").select("node", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("id"))
+    keyed = _with_node(rows, text, width).withColumn("id", F.coalesce(F.col(own).cast("string"), F.lit("null")))
+    order = Window.partitionBy("node", "id").orderBy(text)
     worded = (
-        keyed.join(keep, ["__node", "__id"], "left_semi")
-        .withColumn("__row", F.row_number().over(order))
-        .where("__row = 1")
-        .select(*columns)
+        keyed.join(keep.distinct(), ["node", "id"], "left_semi")
+        .withColumn("row", F.row_number().over(order))
+        .where("row = 1")
+        .select(*rows.columns)
     )
-    return worded.unionByName(docs.where(F.col(text_col).isNull() | ~F.col(text_col).rlike(r"[^\x20\x09-\x0D]")))
+    empty = rows.where(F.col(text).isNull() | ~F.col(text).rlike(r"[^\x20\x09-\x0D]"))
+    return worded.unionByName(empty).toDF(*docs.columns)
 
 
-def _with_node(docs: DataFrame, text_col: str, width: int) -> DataFrame:
-    schema = StructType([*docs.schema.fields, StructField("__node", BinaryType())])
+def _with_node(rows: DataFrame, text: str, width: int) -> DataFrame:
+    schema = StructType([*rows.schema.fields, StructField("node", BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            hashes = (shingles(t or "", width) for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist())
+            hashes = (shingles(t or "", width) for t in batch.column(batch.schema.get_field_index(text)).to_pylist())
             keys = pa.array([set_key(h) if len(h) else None for h in hashes], pa.binary())
-            fields = [*batch.schema, pa.field("__node", pa.binary())]
+            fields = [*batch.schema, pa.field("node", pa.binary())]
             yield pa.RecordBatch.from_arrays([*batch.columns, keys], schema=pa.schema(fields))
 
-    return docs.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)

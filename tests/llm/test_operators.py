@@ -211,6 +211,15 @@ def test_one_document_of_each_group_stays(spark):
     assert sorted(r.doc_id for r in rest.collect()) == want
 
 
+def test_documents_keep_columns_of_any_name(spark):
+    rows = [(1, "one two three four five six", 5, "a"), (2, "one two three four five six", 6, "b"), (None, None, 7, "c")]
+    docs = spark.createDataFrame(rows, "`doc.id` long, `the.text` string, __node int, `__row` string")
+    docs = docs.withColumns({"__id": F.lit("i"), "___Node": F.lit(1.5), "_a.b`c": F.lit(0)})
+    rest = near_dedup.deduplicated(docs, "doc.id", "the.text")
+    assert rest.columns == docs.columns
+    assert by_id(rest) == sorted([(1, rows[0][1], 5, "a", "i", 1.5, 0), (None, None, 7, "c", "i", 1.5, 0)], key=repr)
+
+
 def test_components_of_chains_loops_and_stars(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, k) for k in range(101, 160)] + [(7, 7), (200, 200), (5, 300), (300, 5), (None, 1)]
     got = dict(by_id(components(spark.createDataFrame(edges, "x long, y long"), "x", "y")))

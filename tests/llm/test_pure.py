@@ -579,3 +579,28 @@ def test_ranking_separates_and_cuts_at_the_quantile():
         assert (quality.fitted(rows, labels).score(rows) == 0.5).all()
     assert (quality.fitted(rows[:0], good[:0]).score(rows) == 0.5).all()
     assert not quality.features("").any() and np.isfinite(quality.features("\n")).all()
+
+
+def plain_descent(rows, good, steps=4000):
+    """Bradley-Terry over all pairs of a good and a bad row by gradient descent, with the same ridge."""
+    scaled = (rows - rows.mean(0)) / np.where(rows.std(0) > 1e-9, rows.std(0), 1)
+    differences = (scaled[good][:, None] - scaled[~good][None]).reshape(-1, rows.shape[1])
+    weights = np.zeros(rows.shape[1])
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-differences @ weights))
+        weights -= 0.3 * (differences.T @ (p - 1) / len(differences) + quality.RIDGE * weights)
+    return scaled @ weights
+
+
+def test_rankings_are_those_of_plain_gradient_descent():
+    rng = np.random.default_rng(3)
+    rows = rng.normal(size=(90, len(quality.FEATURES)))
+    good = rows[:, 3] - rows[:, 7] + rng.normal(size=90) > -0.5
+    plain = plain_descent(rows, good)
+    ranking = quality.fitted(rows, good, pairs=400_000)
+    strengths = (rows - ranking.mean) / ranking.scale @ ranking.weights
+    assert np.corrcoef(strengths, plain)[0, 1] > 0.999
+    threshold = np.quantile(plain, (~good).mean(), method="midpoint")
+    assert ((ranking.score(rows) >= 0.3) == (plain >= threshold)).mean() > 0.97
+    fewer = quality.fitted(rows, good, pairs=50)
+    assert fewer.weights.any() and not np.allclose(fewer.weights, ranking.weights)
