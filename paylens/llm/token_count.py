@@ -14,8 +14,8 @@ summed. Ids of a text are never made.
    to the task that their pre-token is dealt to. There equal ones follow each
    other and are counted once. A pre-token that a task did not name makes up a
    small share of the task's, so none of them is a hot key.
-3. *Sums.* What a task has counted is summed by document within the task and
-   then over tasks, together with the sum of the document's frequent ones.
+3. *Sums* by document, of what was joined and of the document's frequent ones;
+   Spark combines the rows of a task before they are shuffled.
 
 Null is an empty text, of no tokens. Documents are told apart by their place in
 the table, so repeated rows, and rows of one id or none, each give a row of
@@ -44,8 +44,8 @@ FREQUENT, SHORT = 200_000, 64
 FREQUENT_LONG, LONG = 100, 100_000
 #: Frequent pre-tokens that a task names, and distinct ones that it keeps count of to find them.
 NAMED, KEPT = 20_000, 400_000
-#: Pre-tokens that are counted at a time, rows of one that wait for it, and documents whose sums a task holds.
-AT_ONCE, FEW, SUMS = 4096, 64, 200_000
+#: Pre-tokens that are counted at a time, rows of one that wait for it, and rows that are handed on at a time.
+AT_ONCE, FEW, ROWS = 4096, 64, 100_000
 _MARK = "\u2581"
 #: A blank, or the mark that the model writes for it.
 _SPLIT = re.compile(f"[ {_MARK}]+[^ {_MARK}]*")
@@ -108,9 +108,10 @@ def named(texts: Iterator[str], counter: PieceCounter) -> list[tuple[str, int]]:
     return [(p, n) for p, n in counts.most_common(NAMED) if n > 1 and len(p.encode()) <= LONG]
 
 
-def summed(rows: Iterator[tuple[int, str, int]], counter: PieceCounter) -> Iterator[dict[int, int]]:
-    """Sums of pieces by document, of (document, pre-token, frequency) sorted by pre-token; each is counted once."""
-    sums: Counter = Counter()
+def joined_counts(rows: Iterator[tuple[int, str, int]], counter: PieceCounter) -> Iterator[tuple[list[int], list[int]]]:
+    """(documents, pieces) of (document, pre-token, frequency) sorted by pre-token; each pre-token is counted once."""
+    docs: list[int] = []
+    pieces: list[int] = []
     pretokens: list[str] = []
     waiting: list[list[tuple[int, str, int]]] = []
 
@@ -119,7 +120,8 @@ def summed(rows: Iterator[tuple[int, str, int]], counter: PieceCounter) -> Itera
         sizes = counter.count(pretokens)
         for size, run in zip(sizes, waiting, strict=True):
             for doc, _, n in run:
-                sums[doc] += size * n
+                docs.append(doc)
+                pieces.append(size * n)
         pretokens.clear()
         waiting.clear()
         return sizes[-1] if sizes else 0
@@ -127,20 +129,21 @@ def summed(rows: Iterator[tuple[int, str, int]], counter: PieceCounter) -> Itera
     for pretoken, run in groupby(rows, itemgetter(1)):
         pretokens.append(pretoken)
         waiting.append(list(islice(run, FEW)))
-        if len(waiting[-1]) == FEW:  # of many documents: the others are added as they come
+        if len(waiting[-1]) == FEW:  # of many documents: the others are joined as they come
             size = settle()
             for doc, _, n in run:
-                sums[doc] += size * n
-                if len(sums) >= SUMS:
-                    yield dict(sums)
-                    sums.clear()
+                docs.append(doc)
+                pieces.append(size * n)
+                if len(docs) >= ROWS:
+                    yield docs, pieces
+                    docs, pieces = [], []
         elif len(pretokens) >= AT_ONCE:
             settle()
-        if len(sums) >= SUMS:
-            yield dict(sums)
-            sums.clear()
+        if len(docs) >= ROWS:
+            yield docs, pieces
+            docs, pieces = [], []
     settle()
-    yield dict(sums)
+    yield docs, pieces
 
 
 def frequent_counts(texts: DataFrame, model: str) -> DataFrame:
@@ -201,7 +204,7 @@ def token_counts(docs: DataFrame, model: str, limit: int = 4096, id_col: str = "
             yield {"place": places, "doc_id": none, "n_bytes": none, "n_tokens": times, "pretoken": others}
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
-        """Rows of documents, which come first, as they are; then the sums of what the others have here."""
+        """Rows of documents, which come first, as they are; then the pieces of their others that are here."""
         counter = PieceCounter(model)
         slices = sliced(batches)
         rest = []
@@ -213,9 +216,9 @@ def token_counts(docs: DataFrame, model: str, limit: int = 4096, id_col: str = "
                 break
         others = chain(rest, slices)
         rows = (r for b in others for r in zip(b.column(0).to_pylist(), b.column(4).to_pylist(), b.column(3).to_pylist()))
-        for sums in summed(rows, counter):
-            none = [None] * len(sums)
-            yield {"place": list(sums), "doc_id": none, "n_bytes": none, "n_tokens": list(sums.values())}
+        for places, pieces in joined_counts(rows, counter):
+            none = pa.nulls(len(places), pa.int64())
+            yield {"place": places, "doc_id": none, "n_bytes": none, "n_tokens": pieces}
 
     chosen = docs.select(
         F.monotonically_increasing_id().alias("place"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")

@@ -372,18 +372,20 @@ def piece_counter():
     return token_count.PieceCounter(PIECES)
 
 
-@pytest.mark.parametrize(("few", "sums", "at_once"), [(64, 200_000, 4096), (2, 3, 1), (3, 1, 2)])
-def test_each_pretoken_is_counted_once(monkeypatch, few, sums, at_once):
+@pytest.mark.parametrize(("few", "rows_at_once", "at_once"), [(64, 200_000, 4096), (2, 3, 1), (3, 1, 2)])
+def test_each_pretoken_is_counted_once(monkeypatch, few, rows_at_once, at_once):
     counter, asked = piece_counter(), []
     monkeypatch.setattr(token_count, "FEW", few)
-    monkeypatch.setattr(token_count, "SUMS", sums)
+    monkeypatch.setattr(token_count, "ROWS", rows_at_once)
     monkeypatch.setattr(token_count, "AT_ONCE", at_once)
     monkeypatch.setattr(counter, "count", lambda p: asked.extend(p) or type(counter).count(counter, p), raising=False)
     texts = ["one two three four", "five six one one", "", " two  ", "one  two", "one unheardofword   "]
     rows = [(i, p, n) for i, t in enumerate(texts) for p, n in counter.frequencies(t).items()]
     found = Counter()
-    for part in token_count.summed(iter(sorted(rows, key=lambda r: r[1])), counter):
-        found.update(part)
+    for docs, pieces in token_count.joined_counts(iter(sorted(rows, key=lambda r: r[1])), counter):
+        assert len(docs) == len(pieces)
+        for i, n in zip(docs, pieces):
+            found[i] += n
     assert sorted(asked) == sorted({p for _, p, _ in rows})
     assert {i: n for i, n in found.items() if n} == {i: n for i, t in enumerate(texts) if (n := len(counter.model.encode(t)))}
 
