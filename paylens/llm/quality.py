@@ -3,21 +3,24 @@
 A document's strength is a weighted sum of features of its text. In a pair of a
 good and a bad labelled document, the good one is preferred with a probability
 that is logistic in the difference of their strengths; the weights minimise the
-logistic loss over pairs, on differences of features. The threshold is the
+logistic loss over all pairs, on differences of features. The threshold is the
 quantile of the strengths of the labelled documents at the share of bad ones.
 A score is the logistic of the strength's distance from the threshold, shifted
 so that the threshold scores 0.3.
 
-Weights are learnt from a bounded sample of the labelled documents, chosen by a
-hash of the id, of which each kind of label has half if it has that many; a
-document then counts towards the threshold for those of its kind that it stands
-for. Without both kinds of labels every document scores 0.5. Texts
-that are null or empty have features as any other text (all zero).
+Every labelled document that is not held out teaches, in all its pairs. Pairs
+are not written out: a Newton step sums the features of good and of bad documents
+by bins of strength, a 32nd wide, and pairs of bins then stand for their pairs, at
+the bins' mean strengths. A second pass sums the products of features, weighted
+by bin. Sums are of whole numbers, equal in any order, and come to the driver as
+at most two rows a bin. Without both kinds of labels every document scores 0.5.
+Texts that are null or empty have features as any other text (all zero).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,11 +29,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paylens.llm.common import map_rows, map_texts, prepare
+from paylens.operators.quantiles import values_at
 
-#: Labelled documents, and pairs of them, that weights are learnt from, at most.
-SAMPLE, PAIRS = 10_000, 60_000
 CUT = 0.3
 RIDGE = 1e-3
+#: Bins of strength a unit; strengths further from 0 than ``FAR`` are in the last bins.
+BINS, FAR = 32, 32
+#: A Newton step below this ends the descent.
+NEAR = 1e-3
+#: Rows whose sums are taken at once, as whole numbers of 64 bits.
+ROWS = 4096
 
 FEATURES = (
     "letters", "digits", "upper", "blanks", "lines", "stops", "odd_signs", "bars", "non_ascii", "controls",
@@ -95,44 +103,161 @@ class Ranking:
         return 1 / (1 + np.exp(-distance) * (1 - self.cut) / self.cut)
 
 
-def fitted(
-    rows: np.ndarray, good: np.ndarray, pairs: int = PAIRS, cut: float = CUT, seed: int = 1, totals: tuple[int, int] | None = None
-) -> Ranking:
-    """Learn from feature rows and labels by Newton steps on the pairwise logistic loss.
+#: What sums rows: keys (good, place), a row each, and whole numbers (how many rows, then one a feature).
+Sums = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+#: Applies it to all rows: sums by key, of floats times ``2 ** bits``.
+Total = Callable[[Sums], dict[tuple[bool, int], np.ndarray]]
 
-    ``totals`` are the numbers of bad and good documents that the rows stand for.
-    """
-    k = len(FEATURES)
-    if not good.any() or good.all():
-        return Ranking(np.zeros(k), np.ones(k), np.zeros(k), 0.0, cut)
-    mean, scale = rows.mean(0), rows.std(0)
-    scale = np.where(scale > 1e-9, scale, 1.0)
+
+def _whole(values: np.ndarray, bits: int) -> np.ndarray:
+    return np.rint(np.ldexp(values, bits)).astype(np.int64)
+
+
+def _strengths(scaled: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Each row's sum by itself, so that it does not depend on the rows beside it."""
+    return (scaled * weights).sum(1)
+
+
+def _bins(strengths: np.ndarray) -> np.ndarray:
+    return np.floor(np.clip(strengths, -FAR, FAR) * BINS).astype(np.int64)
+
+
+def _moments(rows: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.zeros((1, 2), np.int64), np.append(len(rows), _whole(rows, bits).sum(0))[None]
+
+
+def _by_bin(rows: np.ndarray, good: np.ndarray, mean: np.ndarray, scale: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     scaled = (rows - mean) / scale
-    rng = np.random.default_rng(seed)
-    better, worse = np.flatnonzero(good), np.flatnonzero(~good)
-    n = min(pairs, len(better) * len(worse))
-    differences = scaled[rng.choice(better, n)] - scaled[rng.choice(worse, n)]
-    weights = np.zeros(k)
+    keys, of = np.unique(np.stack([good.astype(np.int64), _bins(_strengths(scaled, weights))], 1), axis=0, return_inverse=True)
+    sums = np.zeros((len(keys), 1 + rows.shape[1]), np.int64)
+    np.add.at(sums, of.ravel(), np.column_stack([np.ones(len(rows), np.int64), _whole(scaled, 24)]))
+    return keys, sums
+
+
+def _products(
+    rows: np.ndarray, good: np.ndarray, mean: np.ndarray, scale: np.ndarray, weights: np.ndarray, bends: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """Products of features, times the row's entry of ``bends`` (by kind and bin); a key's place is the first feature."""
+    scaled = (rows - mean) / scale
+    weighted = scaled * bends[good.astype(int), _bins(_strengths(scaled, weights)) + FAR * BINS][:, None]
+    keys, sums = [], []
+    for kind in (False, True):
+        mine = good == kind
+        for i in range(rows.shape[1]):
+            keys.append((int(kind), i))
+            sums.append(np.append(mine.sum(), _whole(weighted[mine, i : i + 1] * scaled[mine], 24).sum(0)))
+    return np.array(keys), np.array(sums)
+
+
+def _descended(step: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Newton steps from the slope and bend of the mean loss."""
+    weights = np.zeros(len(FEATURES))
     for _ in range(25):
-        p = 1 / (1 + np.exp(-np.clip(differences @ weights, -30, 30)))
-        slope = differences.T @ (p - 1) / n + RIDGE * weights
-        bend = (differences * (p * (1 - p))[:, None]).T @ differences / n + RIDGE * np.eye(k)
-        step = np.linalg.solve(bend, slope)
-        weights = weights - step
-        if np.abs(step).max() < 1e-8:
+        slope, bend = step(weights)
+        move = np.linalg.solve(bend + RIDGE * np.eye(len(weights)), slope + RIDGE * weights)
+        weights = weights - move
+        if np.abs(move).max() < NEAR:
             break
-    strengths = scaled @ weights
-    if totals is None or totals == (len(worse), len(better)):
-        threshold = float(np.quantile(strengths, float((~good).mean()), method="midpoint"))
+    return weights
+
+
+def _preferred(differences: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(differences, -30, 30)))
+
+
+def _scaling(total: Total) -> tuple[np.ndarray, np.ndarray]:
+    found = total(lambda rows, good: _moments(rows, 40))[False, 0]
+    mean = np.ldexp(found[1:], -40) / found[0]
+    found = total(lambda rows, good: _moments((rows - mean) ** 2, 46))[False, 0]
+    scale = np.sqrt(np.ldexp(found[1:], -46) / found[0])
+    return mean, np.where(scale > 1e-6, scale, 1.0)
+
+
+def _of_all_pairs(total: Total, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """The weights that minimise the loss over all pairs of a good and a bad row."""
+
+    def step(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        found = total(lambda rows, good: _by_bin(rows, good, mean, scale, weights))
+        bins, numbers, sums = [], [], []
+        for kind in (False, True):
+            keys = sorted(k for k in found if k[0] == kind)
+            bins.append(np.array([place for _, place in keys]) + FAR * BINS)
+            numbers.append(np.array([found[k][0] for k in keys]))
+            sums.append(np.ldexp(np.array([found[k][1:] for k in keys]), -24) / numbers[-1].sum())
+        (n_bad, n_good), (bad, good) = (n / n.sum() for n in numbers), sums
+        p = _preferred((good @ weights / n_good)[:, None] - (bad @ weights / n_bad)[None])
+        slope = (p - 1) @ n_bad @ good - n_good @ (p - 1) @ bad
+        bent = p * (1 - p)
+        bends = np.zeros((2, 2 * FAR * BINS + 1))
+        bends[0, bins[0]], bends[1, bins[1]] = n_good @ bent, bent @ n_bad
+        found = total(lambda rows, labels: _products(rows, labels, mean, scale, weights, bends))
+        bend = -good.T @ bent @ bad
+        bend = bend + bend.T
+        for (_, i), values in found.items():
+            bend[i] += np.ldexp(values[1:], -24) / values[0]
+        return slope, (bend + bend.T) / 2
+
+    return _descended(step)
+
+
+def _of_drawn_pairs(scaled: np.ndarray, good: np.ndarray, pairs: int, seed: int) -> np.ndarray:
+    rng = np.random.default_rng(seed)
+    differences = scaled[rng.choice(np.flatnonzero(good), pairs)] - scaled[rng.choice(np.flatnonzero(~good), pairs)]
+
+    def step(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        p = _preferred(differences @ weights)
+        return differences.T @ (p - 1) / pairs, (differences * (p * (1 - p))[:, None]).T @ differences / pairs
+
+    return _descended(step)
+
+
+def _untaught(cut: float) -> Ranking:
+    k = len(FEATURES)
+    return Ranking(np.zeros(k), np.ones(k), np.zeros(k), 0.0, cut)
+
+
+def fitted(rows: np.ndarray, good: np.ndarray, pairs: int | None = None, cut: float = CUT, seed: int = 1) -> Ranking:
+    """What ``learnt`` learns, from feature rows and labels at hand; from ``pairs`` drawn pairs, if that is fewer than all."""
+    if not good.any() or good.all():
+        return _untaught(cut)
+
+    def total(of: Sums) -> dict[tuple[bool, int], np.ndarray]:
+        return {(bool(kind), int(place)): values.astype(float) for (kind, place), values in zip(*of(rows, good))}
+
+    mean, scale = _scaling(total)
+    scaled = (rows - mean) / scale
+    if pairs is None or pairs >= int(good.sum()) * int((~good).sum()):
+        weights = _of_all_pairs(total, mean, scale)
     else:
-        order = strengths.argsort(kind="stable")
-        ends = np.cumsum(np.where(good, totals[1] / len(better), totals[0] / len(worse))[order]).round(6)
-        place = totals[0] / sum(totals) * (sum(totals) - 1)
-        at = np.searchsorted(ends, [np.floor(place), np.ceil(place)], side="right").clip(max=len(order) - 1)
-        threshold = float(strengths[order[at]].mean())
+        weights = _of_drawn_pairs(scaled, good, pairs, seed)
+    threshold = float(np.quantile(_strengths(scaled, weights), float((~good).mean()), method="midpoint"))
     return Ranking(mean, scale, weights, threshold, cut)
 
 
+def _arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Feature rows and labels of a batch of (good, features)."""
+    rows = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
+    return rows, np.array(batch.column(0).to_pylist(), bool)
+
+
+def _total(taught: DataFrame) -> Total:
+    columns = [f"s{i}" for i in range(1 + len(FEATURES))]
+    schema = "good boolean, place int, " + ", ".join(f"{c} long" for c in columns)
+
+    def total(of: Sums) -> dict[tuple[bool, int], np.ndarray]:
+        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, ROWS):
+                    keys, sums = of(*_arrays(batch.slice(at, ROWS)))
+                    yield {"good": (keys[:, 0] > 0).tolist(), "place": keys[:, 1].tolist()} | dict(zip(columns, sums.T.tolist()))
+
+        each = map_rows(taught.select("good", "features"), schema, rows)
+        found = each.groupBy("good", "place").agg(*(F.sum(F.col(c).cast("decimal(38,0)")).alias(c) for c in columns)).collect()
+        return {(r["good"], r["place"]): np.array([float(r[c]) for c in columns]) for r in found}
+
+    return total
+
+
 def learnt(
     docs: DataFrame,
     labels: DataFrame,
@@ -140,49 +265,55 @@ def learnt(
     id_col: str = "doc_id",
     text_col: str = "text",
     label_col: str = "quality",
-    sample: int = SAMPLE,
-    pairs: int = PAIRS,
+    sample: int | None = None,
 ) -> Ranking:
-    """Learn from at most ``sample`` labelled documents that are not held out, and ``pairs`` pairs of a good and a bad one.
-
-    The sample's ids are the first of each kind by a hash, half of the sample
-    each, or more where the other kind has fewer; they are broadcast, and texts
-    are read once for them. Of labels that disagree, the lowest holds. Labels of
-    absent documents and rows without an id teach nothing.
+    """Learn from all labelled documents that are not held out.
+
+    Features are taken before the join, so that no text is shuffled, and kept for
+    the passes. Of labels that disagree, the lowest holds. Labels of absent
+    documents and rows without an id teach nothing. With ``sample``, weights come
+    from as many documents only, the first of each kind by a hash of the id, half
+    of them each or more where the other kind has fewer; the threshold is that of
+    all.
     """
-    spark = prepare(docs.sparkSession)
-    taught = docs.where(~held_out).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    prepare(docs.sparkSession)
     labelled = (
         labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
         .where("id is not null and label is not null")
         .groupBy("id")
-        .agg(F.min("label").alias("label"))
-        .join(taught.select("id"), "id", "left_semi")
-        .checkpoint()
+        .agg((F.min("label") > 0).alias("good"))
     )
-    counts = {r["good"]: r["count"] for r in labelled.groupBy((F.col("label") > 0).alias("good")).count().collect()}
-    totals = counts.get(False, 0), counts.get(True, 0)
-    chosen = []
-    for kind, own, other in (("label <= 0", *totals), ("label > 0", *totals[::-1])):
-        share = max(sample // 2, sample - other)
-        chosen += labelled.where(kind).orderBy(F.xxhash64("id"), "id").limit(min(own, share)).collect()
-    ids = spark.createDataFrame([(r["id"], r["label"]) for r in chosen], labelled.schema)
-    taught = taught.join(F.broadcast(ids), "id").select("id", "text", "label")
+    kind = docs.schema[id_col].dataType.simpleString()
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
         for batch in batches:
-            yield {
-                "id": batch.column(0),
-                "label": batch.column(2),
-                "features": [features(t or "").tolist() for t in batch.column(1).to_pylist()],
-            }
+            yield {"id": batch.column(0), "features": [features(t or "").tolist() for t in batch.column(1).to_pylist()]}
+
+    texts = docs.where(~held_out).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null")
+    found = map_rows(texts, f"id {kind}, features array<double>", rows)
+    # Repeated rows of an id teach once.
+    taught = found.join(labelled, "id").groupBy("id", "good").agg(F.min("features").alias("features")).checkpoint()
+    counts = {r["good"]: r["count"] for r in taught.groupBy("good").count().collect()}
+    if len(counts) < 2:
+        return _untaught(CUT)
+    few = taught
+    if sample is not None:
+        shares = {kind: max(sample // 2, sample - counts[not kind]) for kind in counts}
+        few, more = (taught.where(F.col("good") == kind).orderBy(F.xxhash64("id"), "id").limit(shares[kind]) for kind in (False, True))
+        few = few.union(more).checkpoint()
+    total = _total(few)
+    mean, scale = _scaling(total)
+    weights = _of_all_pairs(total, mean, scale)
+
+    def strengths(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
+        for batch in batches:
+            yield {"strength": _strengths((_arrays(batch)[0] - mean) / scale, weights).tolist()}
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    found = map_rows(taught, f"id {kind}, label int, features array<double>", rows)
-    # Repeated rows of an id teach once, so there are no more rows than ids.
-    found = sorted(found.groupBy("id", "label").agg(F.min("features").alias("features")).collect(), key=lambda r: r["id"])
-    table = np.array([r["features"] for r in found]).reshape(len(found), len(FEATURES))
-    return fitted(table, np.array([r["label"] > 0 for r in found], bool), pairs, totals=totals)
+    n = sum(counts.values())
+    place = counts[False] / n * (n - 1)
+    ends = math.floor(place), math.ceil(place)
+    at = values_at(map_rows(taught.select("good", "features"), "strength double", strengths), "strength", ends)
+    return Ranking(mean, scale, weights, (at[ends[0]] + at[ends[1]]) / 2)
 
 
 def scored(docs: DataFrame, ranking: Ranking, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import duckdb
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -380,6 +381,18 @@ def test_rare_bad_labels_and_labels_of_absent_documents(spark):
         assert sorted(r.doc_id for r in rejected) == [1000, 1001], sample
 
 
+def test_quality_is_learnt_from_every_labelled_document(spark):
+    rng = np.random.default_rng(5)
+    texts = [" ".join(rng.choice(["word", "a", "Longer", "|||", "7", "stop."], rng.integers(1, 9))) for _ in range(12_000)]
+    good = [t.count("|") + 3 * t.count("7") + rng.normal() * 3 < 5 for t in texts]
+    docs = spark.createDataFrame([doc(i, t) for i, t in enumerate(texts)], DOCS)
+    labels = spark.createDataFrame([(i, int(g)) for i, g in enumerate(good)], "doc_id long, quality int")
+    found = quality.learnt(docs, labels, F.lit(False))
+    want = quality.fitted(np.array([quality.features(t) for t in texts]), np.array(good))
+    assert np.allclose(found.mean, want.mean) and np.allclose(found.weights, want.weights, atol=1e-6)
+    assert abs(found.threshold - want.threshold) < 1e-6
+
+
 def test_quality_on_held_out_documents(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     held_out = remainder_is("doc_id", 5, 0)
