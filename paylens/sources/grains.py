@@ -1,11 +1,15 @@
 """The nine tables from a few stored grains of the star schema, instead of each from the facts.
 
-A grain is a sum of facts by some dimensions and quarters. The finest of each
-family (payments, insured lines, active customers) is summed from the facts in
-one pass, a coarser one from the finest. A table is then taken from the smallest
-stored grain of its family that has its dimensions: loading all nine scans
-lineitems and orders twice each (once for its own family, once to tell which
-orders are active), not once or more for every table.
+A grain is a sum of facts by some dimensions and quarters. A table is taken from
+the smallest stored grain of its family (payments, insured lines, active
+customers) that has its dimensions. A coarse grain is summed from the finest of
+its family where that has its dimensions, else from the facts: loading all nine
+scans lineitems and orders three times each, not once or more for every table.
+
+No grain has both a customer or supplier and another dimension of the facts
+(priority, brand): such rows are as many as the facts, and would be shuffled,
+sorted and stored for nothing. Where each customer has one row, rows of a
+customer's grain are those of its tables and are not summed again.
 
 Grains are stored in versions, by quarter. Where the input files are the same as
 when they were stored, they are used as they are.
@@ -16,7 +20,7 @@ from __future__ import annotations
 from collections.abc import Collection
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -29,7 +33,7 @@ from paylens.sources.star_schema import StarSchema, _cents, _pincode
 from paylens.sources.tables import slice_period
 
 #: Part of what stored grains are recognised by: another number whenever their content changes.
-CONTENT = 1
+CONTENT = 2
 
 
 @dataclass(frozen=True)
@@ -56,9 +60,9 @@ MEASURES = {"payments": ("n", "cents"), "insured": ("lines", "returned", "cents"
 
 #: The finest grain of each family first.
 GRAINS = [
-    Grain("payments", frozenset({"customer", "nation", "segment", "priority"})),
+    Grain("payments", frozenset({"customer", "nation", "segment"})),
     Grain("payments", frozenset({"nation", "segment", "priority"})),
-    Grain("insured", frozenset({"supplier", "nation", "brand"})),
+    Grain("insured", frozenset({"supplier", "nation"})),
     Grain("insured", frozenset({"nation", "brand"})),
     Grain("actives", frozenset({"customer", "nation", "segment"})),
     Grain("actives", frozenset({"nation", "segment"})),
@@ -96,6 +100,7 @@ class StarGrains:
         self._spark, self._folder, self._root = spark, folder, root.rstrip("/")
         self._star = StarSchema(spark, folder)
         self._rows: dict[Grain, int] = {}
+        self._single: dict[Grain, bool] = {}
 
     def _versions(self, grain: Grain) -> Versions:
         return Versions(self._spark, f"{self._root}/{grain.name}")
@@ -104,27 +109,51 @@ class StarGrains:
         """The finest grain of a family, from the facts."""
         star = self._star
         if family == "payments":
-            orders = star._orders(None, None, "o_custkey", "o_orderpriority", _cents("o_totalprice"))
+            orders = star._orders(None, None, "o_custkey", _cents("o_totalprice"))
             # Folded before the join: a customer with a third of all orders is a few rows of each task.
-            folded = orders.groupBy("o_custkey", "o_orderpriority", "Year", "Quarter").agg(F.count("*").alias("n"), F.sum("cents").alias("cents"))
+            folded = orders.groupBy("o_custkey", "Year", "Quarter").agg(F.count("*").alias("n"), F.sum("cents").alias("cents"))
             joined = folded.join(star._customers(), F.col("o_custkey") == F.col("c_custkey"))
             return joined.select(
                 F.col("c_custkey").alias("customer"), F.col("c_nationkey").alias("nation"), F.col("c_mktsegment").alias("segment"),
-                F.col("o_orderpriority").alias("priority"), "Year", "Quarter", "n", "cents",
+                "Year", "Quarter", "n", "cents",
             )
         if family == "insured":
-            lines = star._lines(None, None, "l_partkey", "l_suppkey", "l_returnflag", _cents("l_extendedprice"))
-            returned = F.col("l_returnflag") == "R"
-            return (
-                star._branded_lines(lines)
-                .groupBy(F.col("s_suppkey").alias("supplier"), F.col("s_nationkey").alias("nation"), F.col("p_brand").alias("brand"), "Year", "Quarter")
-                .agg(F.count("*").alias("lines"), F.count_if(returned).alias("returned"), F.sum(F.when(returned, F.col("cents"))).alias("cents"))
-            )
+            return self._insured(F.col("s_suppkey").alias("supplier"), F.col("s_nationkey").alias("nation"))
         return star._active_customers(None, None).select(
             F.col("c_custkey").alias("customer"), F.col("c_nationkey").alias("nation"), F.col("c_mktsegment").alias("segment"),
             "Year", "Quarter", F.lit(1).cast("bigint").alias("users"), "orders", "opens",
         )
 
+    def _insured(self, *dimensions: Column) -> DataFrame:
+        lines = self._star._lines(None, None, "l_partkey", "l_suppkey", "l_returnflag", _cents("l_extendedprice"))
+        returned = F.col("l_returnflag") == "R"
+        return (
+            self._star._branded_lines(lines)
+            .groupBy(*dimensions, "Year", "Quarter")
+            .agg(F.count("*").alias("lines"), F.count_if(returned).alias("returned"), F.sum(F.when(returned, F.col("cents"))).alias("cents"))
+        )
+
+    def _coarse(self, grain: Grain, finest: Grain) -> DataFrame:
+        """A coarse grain, from the finest of its family if that has the dimensions, else from the facts."""
+        if grain.dimensions <= finest.dimensions:
+            return self._summed(self._read(finest), grain.dimensions, grain.family)
+        if grain.family == "insured":
+            return self._insured(F.col("s_nationkey").alias("nation"), F.col("p_brand").alias("brand"))
+        orders = self._star._orders(None, None, "o_custkey", "o_orderpriority", _cents("o_totalprice"))
+        return (
+            orders.join(self._star._customers(), F.col("o_custkey") == F.col("c_custkey"))
+            .groupBy(
+                F.col("c_nationkey").alias("nation"), F.col("c_mktsegment").alias("segment"), F.col("o_orderpriority").alias("priority"),
+                "Year", "Quarter",
+            )
+            .agg(F.count("*").alias("n"), F.sum("cents").alias("cents"))
+        )
+
+    def _single_customers(self) -> bool:
+        """Whether each customer has one row, so that its nation and segment are one."""
+        keys = self._star._read("customer").where("c_custkey is not null").groupBy("c_custkey").count()
+        return keys.where("count > 1").isEmpty()
+
     def store(self, families: Collection[str] | None = None) -> list[str]:
         """Store the grains (of some families) that are not there from the same input; returns the names of those that were written."""
         tables = [f"{self._folder.rstrip('/')}/{t}.parquet" for t in ("customer", "supplier", "part", "orders", "lineitem")]
@@ -136,11 +165,12 @@ class StarGrains:
             now = self._versions(grain).current()
             if now is None or now.get("input") != of_input:
                 finest = next(g for g in GRAINS if g.family == grain.family)
-                rows = self.finest(grain.family) if grain is finest else self._summed(self._read(finest), grain.dimensions, grain.family)
-                write_table(rows, path=f"{self._root}/{grain.name}", told={"input": of_input})
+                rows = self.finest(grain.family) if grain is finest else self._coarse(grain, finest)
+                single = "customer" in grain.dimensions and self._single_customers()
+                write_table(rows, path=f"{self._root}/{grain.name}", told={"input": of_input, "single": single})
                 written.append(grain.name)
                 now = self._versions(grain).current()
-            self._rows[grain] = now["rows"]
+            self._rows[grain], self._single[grain] = now["rows"], now["single"]
         return written
 
     def _read(self, grain: Grain) -> DataFrame:
@@ -154,7 +184,7 @@ class StarGrains:
         dimensions = frozenset({"nation", *wanted.columns})
         grain = smallest(self._rows, wanted.family, dimensions)
         rows = slice_period(self._read(grain), years, quarter)
-        if grain.dimensions != dimensions:
+        if grain.dimensions != dimensions and not (self._single[grain] and "customer" in dimensions):
             rows = self._summed(rows, dimensions, wanted.family)
         rows = rows.where(wanted.only)
         for dimension, column in wanted.columns.items():
