@@ -10,7 +10,7 @@ from paylens.plans.cases import run_case
 from paylens.sinks.versions import Versions
 from paylens.sources.grains import GRAINS, WANTED, Grain, StarGrains, grained_model, smallest
 from paylens.sources.inputs import fingerprint
-from paylens.sources.star_schema import star_model
+from paylens.sources.star_schema import COLUMNS, star_model
 
 
 @pytest.fixture(scope="module")
@@ -98,3 +98,41 @@ def test_users_of_a_quarter_read_one_partition(spark, star, tmp_path):
     assert "lineitem" not in plan and "PartitionFilters: [isnotnull(Year" in plan
     with pytest.raises(ValueError, match="no grain"):
         model.table("agg_trans")
+
+
+def small_star(spark, folder, customers):
+    day = "timestamp_ntz'2000-02-03 00:00:00'"
+    sql = {
+        "nation": "SELECT 0 n_nationkey, 'N' n_name, 0 n_regionkey",
+        "region": "SELECT 0 r_regionkey, 'R' r_name",
+        "customer": f"SELECT * FROM VALUES {customers} t(c_custkey, c_nationkey, c_mktsegment)",
+        "supplier": "SELECT 5L s_suppkey, 0 s_nationkey",
+        "part": "SELECT * FROM VALUES (7L, 'x'), (8L, 'y') t(p_partkey, p_brand)",
+        "orders": f"SELECT id o_orderkey, 1 + id % 2 o_custkey, 1D o_totalprice, {day} o_orderdate, string(id % 3) o_orderpriority FROM range(12)",
+        "lineitem": f"SELECT id % 12 l_orderkey, 7 + id % 2 l_partkey, 5L l_suppkey, 1D l_extendedprice, 'R' l_returnflag, {day} l_shipdate FROM range(24)",
+    }
+    for table in COLUMNS:
+        spark.sql(sql[table]).write.parquet(f"{folder}/{table}.parquet")
+    grains = StarGrains(spark, str(folder), f"{folder}/grains")
+    grains.store()
+    return grains
+
+
+def test_no_grain_is_as_fine_as_the_facts(spark, tmp_path):
+    grains = small_star(spark, tmp_path, "(1L, 0, 'A'), (2L, 0, 'B')")
+    for grain in GRAINS:
+        assert len(grain.dimensions & {"customer", "supplier", "priority", "brand"}) < 2, grain.name
+    # 12 orders of 2 customers, 24 lines of one supplier, all of one quarter.
+    assert [grains._rows[g] for g in GRAINS if g.dimensions & {"customer", "supplier"}] == [2, 1, 2]
+
+
+def test_rows_of_customers_are_summed_again_only_where_a_customer_repeats(spark, tmp_path):
+    def top(folder, customers):
+        grains = small_star(spark, folder, customers)
+        tables = {name: grains.table(name) for name in ("top_trans", "top_user")}
+        plans = [str(df._jdf.queryExecution().executedPlan()) for df in tables.values()]
+        counts = [sorted((r.Pincode, r[c]) for r in tables[t].collect()) for t, c in (("top_trans", "Transaction_count"), ("top_user", "Registered_users"))]
+        return counts, ["hashpartitioning" in p for p in plans]
+
+    assert top(tmp_path / "once", "(1L, 0, 'A'), (2L, 0, 'B')") == ([[("100001", 6), ("100002", 6)]] * 2, [False, False])
+    assert top(tmp_path / "twice", "(1L, 0, 'A'), (1L, 0, 'B'), (2L, 0, 'B')") == ([[("100001", 12), ("100002", 6)]] * 2, [True, True])
