@@ -13,7 +13,7 @@ and an arc uv is lost where the arc u was lost when uv was made. Gadgets are kep
 in this form: for each token the chain of its right parts and of its left parts,
 each with the merge up to which it counts, and for each merge the arc that it
 takes away. An arc of the table follows from both chains; arcs are filled in
-when first asked for.
+when first asked for, and lead from state to state.
 
 Encoding runs over the bytes of a pre-split word once. Of the tokens that end at
 a byte exactly one has an arc from the token before it, for each beginning of a
@@ -26,7 +26,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import pyarrow as pa
@@ -58,6 +58,10 @@ def pre_split(text: str) -> list[str]:
 
 #: Distinct words whose ids a task keeps; longer words (in bytes) are not kept. Arcs of the table that it keeps.
 KEPT, KEPT_BYTES, ARCS = 160_000, 64, 300_000
+#: Words that a round trip keeps, whose task does little else: about 250 bytes each.
+ROUND_TRIP_KEPT = 320_000
+#: Stands for the token before a word.
+START = -1
 
 
 def byte_letters() -> dict[str, int]:
@@ -67,9 +71,23 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+class State(dict):
+    """The state after a token: for each next token the state that its arc leads to, None without an arc."""
+
+    __slots__ = ("token", "size", "arc")
+
+    def __init__(self, token: int, size: int, arc: Callable[[State, int], State | None]):
+        self.token, self.size, self.arc = token, size, arc
+
+    def __missing__(self, token: int) -> State | None:
+        return self.arc(self, token)
+
+
 class TokenAutomaton:
-    def __init__(self, labels: dict[int, bytes], merges: list[tuple[int, int, int]], special: dict[str, int] | None = None):
-        """labels: the bytes of each token; merges: (u, v, uv) in order; special: strings that are one token each."""
+    def __init__(
+        self, labels: dict[int, bytes], merges: list[tuple[int, int, int]], special: dict[str, int] | None = None, kept: int = KEPT
+    ):
+        """labels: the bytes of each token; merges: (u, v, uv) in order; special: strings that are one token each; kept: words whose ids are kept."""
         self.labels = labels
         self.special = dict(special or {})
         self.split_special = re.compile("|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True))) if special else None
@@ -80,8 +98,9 @@ class TokenAutomaton:
         #: (part, the merge up to which its losses count), from the whole token on.
         self.right = {token: ((token, end),) for token in by_bytes.values()}
         self.left = dict(self.right)
-        #: The part of the table that was asked for: whether (state after a token, token) has an arc.
-        self.known_arcs: dict[int, bool] = {}
+        #: The part of the table that was asked for: the states by token, and how many arcs they tell of.
+        self.known_arcs: dict[int, State] = {}
+        self.arcs = 0
         for i, (u, v, uv) in enumerate(merges):
             if uv in self.right:
                 raise ValueError("two merges make one token")
@@ -96,10 +115,10 @@ class TokenAutomaton:
         for label, token in by_bytes.items():
             self.endings.add_word(label.decode("latin-1"), (token, len(label)))
         self.endings.make_automaton()
-        self.known = _words(self)
+        self.known = _words(self, kept)
 
     @classmethod
-    def from_file(cls, path: str) -> TokenAutomaton:
+    def from_file(cls, path: str, kept: int = KEPT) -> TokenAutomaton:
         """Of a byte-level BPE vocabulary in the JSON format of public tokenizers."""
         with open(path, encoding="utf-8") as file:
             data = json.load(file)
@@ -108,7 +127,7 @@ class TokenAutomaton:
         merges = [tuple(m if isinstance(m, list) else m.split(" ", 1)) for m in data["model"]["merges"]]
         labels = {i: bytes(letters[c] for c in token) for token, i in vocab.items() if all(c in letters for c in token)}
         special = {t["content"]: t["id"] for t in data.get("added_tokens", [])}
-        automaton = cls(labels, [(vocab[a], vocab[b], vocab[a + b]) for a, b in merges], special)
+        automaton = cls(labels, [(vocab[a], vocab[b], vocab[a + b]) for a, b in merges], special, kept)
         automaton.labels = labels | {i: s.encode() for s, i in special.items()}
         return automaton
 
@@ -122,49 +141,63 @@ class TokenAutomaton:
                     return True
         return False
 
+    def state(self, token: int) -> State:
+        """The state after a token, or before a word."""
+        state = self.known_arcs.get(token)
+        if state is None:
+            size = 0 if token == START else len(self.labels[token])
+            state = self.known_arcs[token] = State(token, size, self._arc)
+        return state
+
+    def _arc(self, before: State, token: int) -> State | None:
+        """Fills in an arc of the table; a full table is begun anew."""
+        if self.arcs >= ARCS:
+            for state in self.known_arcs.values():
+                state.clear()
+            self.known_arcs.clear()
+            self.arcs = 0
+        self.arcs += 1
+        lost = before.token != START and self._lost(before.token, token)
+        after = before[token] = None if lost else self.state(token)
+        return after
+
     def has_arc(self, before: int, token: int) -> bool:
         """Whether the state after one token has an arc for another; the table keeps the answer."""
-        arcs = self.known_arcs
-        answer = arcs.get(before << 32 | token)
-        if answer is None:
-            if len(arcs) >= ARCS:
-                arcs.clear()
-            answer = arcs[before << 32 | token] = not self._lost(before, token)
-        return answer
+        return self.state(before)[token] is not None
 
     def encode_word(self, word: bytes) -> list[int]:
         """The ids of a pre-split word: the only path of arcs that spells it.
 
         Every beginning of a word has one encoding, so just one token that ends
         at a place continues the encoding of what is before it. The places are
-        read once each, from left to right, and the last token at each is kept;
-        the path is read off from the end.
+        read once each, from left to right, and the state at each is kept; the
+        path is read off from the end.
         """
         whole = self.by_bytes.get(word)
         if whole is not None:
             return [whole]
-        arcs, has_arc, n = self.known_arcs, self.has_arc, len(word)
-        last, sizes = [0] * n, [0] * n
+        n = len(word)
+        # The last one stays, and is what comes before the first place.
+        states = [self.state(START)] * (n + 1)
         at = 0
         for end, (token, size) in self.endings.iter(word.decode("latin-1")):
-            if end < at:  # this place has its token
-                continue
-            if end > at:
-                break
-            if size <= end:
-                before = last[end - size]
-                arc = arcs.get(before << 32 | token)
-                if not (has_arc(before, token) if arc is None else arc):
+            if end != at:
+                if end < at:  # this place has its token
                     continue
-            last[end], sizes[end] = token, size
-            at = end + 1
+                break
+            state = states[end - size][token]
+            if state is not None:
+                states[end] = state
+                at = end + 1
         if at < n:
             raise ValueError("a byte has no token")
         ids, end = [], n - 1
         while end >= 0:
-            ids.append(last[end])
-            end -= sizes[end]
-        return ids[::-1]
+            state = states[end]
+            ids.append(state.token)
+            end -= state.size
+        ids.reverse()
+        return ids
 
     def decode(self, ids: list[int]) -> str:
         """The text on the arcs; ids of no token are skipped, bytes that are no UTF-8 replaced."""
@@ -195,10 +228,9 @@ class TokenAutomaton:
                 ids.append(str(self.special[part]))
                 spelled.append(self.decode([self.special[part]]))
             else:
-                for word in pre_split(part):
-                    printed, text_of_ids = self.known[word]
-                    ids.append(printed)
-                    spelled.append(text_of_ids)
+                found = [self.known[word] for word in pre_split(part)]
+                ids += [printed for printed, _ in found]
+                spelled += [text_of_ids for _, text_of_ids in found]
         return ",".join(ids), "".join(spelled)
 
     def digests(self, text: str) -> tuple[int, str, str]:
@@ -208,30 +240,31 @@ class TokenAutomaton:
         return n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(spelled.encode()).hexdigest()
 
 
-def _words(automaton: TokenAutomaton) -> Recent:
+def _words(automaton: TokenAutomaton, kept: int) -> Recent:
     """Printed ids of words, and the text that their arcs spell, kept up to a bound.
 
     Each word is encoded and decoded once; ids that do not spell their word raise.
     """
 
     def make(word: str) -> tuple[str, str]:
-        ids = automaton.encode_word(word.encode())
-        spelled = automaton.decode(ids)
-        if spelled != word:
+        raw, labels = word.encode(), automaton.labels
+        ids = automaton.encode_word(raw)
+        if b"".join([labels[i] for i in ids]) != raw:
             raise ValueError("the ids of a word do not spell it")
-        return ",".join(map(str, ids)), spelled
+        # What is spelled equals the word, whose text stands for both.
+        return ",".join(map(str, ids)), word
 
-    return Recent(make, KEPT, keep=lambda word: len(word) <= KEPT_BYTES // 4 or len(word.encode()) <= KEPT_BYTES)
+    return Recent(make, kept, keep=lambda word: len(word) <= KEPT_BYTES // 4 or len(word.encode()) <= KEPT_BYTES)
 
 
 _AUTOMATA: dict[str, TokenAutomaton] = {}
 at_task_end(_AUTOMATA.clear)
 
 
-def worker_automaton(path: str) -> TokenAutomaton:
+def worker_automaton(path: str, kept: int = KEPT) -> TokenAutomaton:
     """One automaton a task and vocabulary."""
     if path not in _AUTOMATA:
-        _AUTOMATA[path] = TokenAutomaton.from_file(path)
+        _AUTOMATA[path] = TokenAutomaton.from_file(path, kept)
     return _AUTOMATA[path]
 
 
@@ -271,7 +304,7 @@ def round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
     prepare(docs.sparkSession)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
-        automaton = worker_automaton(vocabulary)
+        automaton = worker_automaton(vocabulary, ROUND_TRIP_KEPT)
         for batch in sliced(batches):
             found = [automaton.digests(t or "") for t in batch.column(1).to_pylist()]
             yield {

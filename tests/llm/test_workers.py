@@ -42,3 +42,25 @@ def test_arcs_stay_within_their_bound(monkeypatch):
     automaton.known_arcs.clear()
     assert [automaton.encode_word(w) for w in words] == free
     assert 0 < len(automaton.known_arcs) <= 50
+
+
+def test_arcs_lead_from_state_to_state_and_are_worked_out_once(monkeypatch):
+    automaton = bpe.TokenAutomaton.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    words = ["".join(random.Random(i).choices("etaoinshrdlu", k=12)).encode() for i in range(300)]
+    ids = [automaton.encode_word(w) for w in words]
+    state = automaton.state(bpe.START)
+    for token in ids[0]:
+        state = state[token]
+        assert state is automaton.state(token) and state.size == len(automaton.labels[token])
+    monkeypatch.setattr(automaton, "_lost", lambda *_: 1 / 0)
+    assert [automaton.encode_word(w) for w in words] == ids
+
+
+def test_a_round_trip_keeps_its_words_once():
+    automaton = bpe.worker_automaton(public_tokenizers.path("byte_bpe_50k.json"), bpe.ROUND_TRIP_KEPT)
+    try:
+        assert 2 * automaton.known.half == bpe.ROUND_TRIP_KEPT > bpe.KEPT
+        word = "".join(["hou", "sebo", "at"])
+        assert automaton.printed(word)[1] == word and automaton.known[word][1] is word
+    finally:
+        bpe._AUTOMATA.clear()
