@@ -3,8 +3,9 @@
 A grain is a sum of facts by some dimensions and quarters. A table is taken from
 the smallest stored grain of its family (payments, insured lines, active
 customers) that has its dimensions. A coarse grain is summed from the finest of
-its family where that has its dimensions, else from the facts: loading all nine
-scans lineitems and orders three times each, not once or more for every table.
+its family where that has its dimensions, else from the facts. Both grains of
+insured lines come from one pass, whose joins move each line once: loading all
+nine scans lineitems twice and orders three times, not once or more for every table.
 
 No grain has both a customer or supplier and another dimension of the facts
 (priority, brand): such rows are as many as the facts, and would be shuffled,
@@ -20,7 +21,8 @@ from __future__ import annotations
 from collections.abc import Collection
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -101,6 +103,7 @@ class StarGrains:
         self._star = StarSchema(spark, folder)
         self._rows: dict[Grain, int] = {}
         self._single: dict[Grain, bool] = {}
+        self._lines_summed: DataFrame | None = None
 
     def _versions(self, grain: Grain) -> Versions:
         return Versions(self._spark, f"{self._root}/{grain.name}")
@@ -118,27 +121,45 @@ class StarGrains:
                 "Year", "Quarter", "n", "cents",
             )
         if family == "insured":
-            return self._insured(F.col("s_suppkey").alias("supplier"), F.col("s_nationkey").alias("nation"))
+            return self._insured(self._summed_lines(), "supplier")
         return star._active_customers(None, None).select(
             F.col("c_custkey").alias("customer"), F.col("c_nationkey").alias("nation"), F.col("c_mktsegment").alias("segment"),
             "Year", "Quarter", F.lit(1).cast("bigint").alias("users"), "orders", "opens",
         )
 
-    def _insured(self, *dimensions: Column) -> DataFrame:
-        lines = self._star._lines(None, None, "l_partkey", "l_suppkey", "l_returnflag", _cents("l_extendedprice"))
+    def _summed_lines(self) -> DataFrame:
+        """Lines by supplier and lines by brand in one frame: they are joined once for both.
+
+        A line goes to the joins with its quarter as one number, its flag as a boolean, and its amount only where that counts.
+        """
         returned = F.col("l_returnflag") == "R"
+        amount = F.when(returned, _cents("l_extendedprice")).alias("cents")
+        lines = self._star._lines(None, None, "l_partkey", "l_suppkey", returned.alias("back"), amount)
+        lines = lines.withColumn("period", 4 * F.col("Year") + F.col("Quarter") - 1).drop(*schemas.PERIOD)
+        dimensions = ["s_suppkey", "s_nationkey", "p_brand", "period"]
+        sets = [[d for d in dimensions if d != left_out] for left_out in ("p_brand", "s_suppkey")]
         return (
             self._star._branded_lines(lines)
-            .groupBy(*dimensions, "Year", "Quarter")
-            .agg(F.count("*").alias("lines"), F.count_if(returned).alias("returned"), F.sum(F.when(returned, F.col("cents"))).alias("cents"))
+            .groupingSets(sets, *dimensions)
+            .agg(
+                F.count("*").alias("lines"), F.count_if("back").alias("returned"), F.sum("cents").alias("cents"),
+                F.grouping("s_suppkey").alias("by_brand"),
+            )
+        )
+
+    def _insured(self, summed: DataFrame, by: str) -> DataFrame:
+        """The grain by supplier or by brand of lines that were summed by both."""
+        key = {"supplier": F.col("s_suppkey").alias("supplier"), "brand": F.col("p_brand").alias("brand")}[by]
+        quarter = F.pmod("period", F.lit(4))
+        rows = summed.where(F.col("by_brand") == int(by == "brand")).withColumns(
+            {"Year": ((F.col("period") - quarter) / 4).cast("int"), "Quarter": quarter + 1}
         )
+        return rows.select(key, F.col("s_nationkey").alias("nation"), "Year", "Quarter", *MEASURES["insured"])
 
     def _coarse(self, grain: Grain, finest: Grain) -> DataFrame:
         """A coarse grain, from the finest of its family if that has the dimensions, else from the facts."""
         if grain.dimensions <= finest.dimensions:
             return self._summed(self._read(finest), grain.dimensions, grain.family)
-        if grain.family == "insured":
-            return self._insured(F.col("s_nationkey").alias("nation"), F.col("p_brand").alias("brand"))
         orders = self._star._orders(None, None, "o_custkey", "o_orderpriority", _cents("o_totalprice"))
         return (
             orders.join(self._star._customers(), F.col("o_custkey") == F.col("c_custkey"))
@@ -159,20 +180,32 @@ class StarGrains:
         tables = [f"{self._folder.rstrip('/')}/{t}.parquet" for t in ("customer", "supplier", "part", "orders", "lineitem")]
         of_input = fingerprint(self._spark, tables, CONTENT)
         written = []
-        for grain in GRAINS:
-            if families is not None and grain.family not in families:
-                continue
-            now = self._versions(grain).current()
-            if now is None or now.get("input") != of_input:
-                finest = next(g for g in GRAINS if g.family == grain.family)
-                rows = self.finest(grain.family) if grain is finest else self._coarse(grain, finest)
-                single = "customer" in grain.dimensions and self._single_customers()
-                write_table(rows, path=f"{self._root}/{grain.name}", told={"input": of_input, "single": single})
-                written.append(grain.name)
+        try:
+            for grain in GRAINS:
+                if families is not None and grain.family not in families:
+                    continue
                 now = self._versions(grain).current()
-            self._rows[grain], self._single[grain] = now["rows"], now["single"]
+                if now is None or now.get("input") != of_input:
+                    single = "customer" in grain.dimensions and self._single_customers()
+                    write_table(self._derived(grain), path=f"{self._root}/{grain.name}", told={"input": of_input, "single": single})
+                    written.append(grain.name)
+                    now = self._versions(grain).current()
+                self._rows[grain], self._single[grain] = now["rows"], now["single"]
+        finally:
+            if self._lines_summed is not None:
+                self._lines_summed.unpersist()
+                self._lines_summed = None
         return written
 
+    def _derived(self, grain: Grain) -> DataFrame:
+        """The rows of a grain. Summed lines are kept from the first of their grains to the second."""
+        if grain.family == "insured":
+            if self._lines_summed is None:
+                self._lines_summed = self._summed_lines().persist(StorageLevel.MEMORY_AND_DISK)
+            return self._insured(self._lines_summed, "brand" if "brand" in grain.dimensions else "supplier")
+        finest = next(g for g in GRAINS if g.family == grain.family)
+        return self.finest(grain.family) if grain is finest else self._coarse(grain, finest)
+
     def _read(self, grain: Grain) -> DataFrame:
         return self._spark.read.parquet(self._versions(grain).folder())
 

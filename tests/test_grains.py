@@ -4,6 +4,7 @@ import shutil
 
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import Row
 
 from paylens import schemas
 from paylens.plans.cases import run_case
@@ -136,3 +137,36 @@ def test_rows_of_customers_are_summed_again_only_where_a_customer_repeats(spark,
 
     assert top(tmp_path / "once", "(1L, 0, 'A'), (2L, 0, 'B')") == ([[("100001", 6), ("100002", 6)]] * 2, [False, False])
     assert top(tmp_path / "twice", "(1L, 0, 'A'), (1L, 0, 'B'), (2L, 0, 'B')") == ([[("100001", 12), ("100002", 6)]] * 2, [True, True])
+
+
+def test_insured_lines_are_joined_once_for_both_grains(spark, star, tmp_path):
+    grains = StarGrains(spark, star, str(tmp_path))
+    taken, summed = [], grains._summed_lines
+    grains._summed_lines = lambda: taken.append(summed()) or taken[-1]
+    grains.store()
+    assert len(taken) == 1 and not taken[0].is_cached and grains._lines_summed is None
+    plan = str(taken[0]._jdf.queryExecution().executedPlan())
+    assert plan.count("lineitem.parquet") == plan.count("part.parquet") == 1
+    # What a line carries into the joins: no text, and one number for its quarter.
+    assert " AS back#" in plan and " AS period#" in plan and " AS Year#" not in plan
+
+
+def test_lines_without_date_flag_or_price_and_before_the_common_era(spark, tmp_path):
+    small_star(spark, tmp_path / "at", "(1L, 0, 'A')")
+    spark.sql(
+        "SELECT * FROM VALUES (1L, 7L, 5L, 1.5D, 'R', timestamp_ntz'2000-12-31 23:00:00'), (1L, 8L, 5L, 2D, null, timestamp_ntz'2000-10-01 00:00:00'),"
+        " (1L, 7L, 5L, null, 'R', null), (1L, 7L, 5L, 4D, 'A', null), (1L, null, 5L, 8D, 'R', null), (1L, 7L, 5L, 0.5D, 'R', timestamp_ntz'0001-01-01 00:00:00')"
+        " t(l_orderkey, l_partkey, l_suppkey, l_extendedprice, l_returnflag, l_shipdate)"
+    ).write.mode("overwrite").parquet(f"{tmp_path}/at/lineitem.parquet")
+    grains = StarGrains(spark, f"{tmp_path}/at", f"{tmp_path}/again")
+    grains.store(["insured"])
+    by = {next(iter(g.dimensions - {"nation"})): grains._read(g) for g in GRAINS if g.family == "insured"}
+    columns = ["Year", "Quarter", "lines", "returned", "cents"]
+    assert rows(by["supplier"].select("supplier", *columns)) == sorted(map(repr, [
+        Row(supplier=5, Year=2000, Quarter=4, lines=2, returned=1, cents=150), Row(supplier=5, Year=None, Quarter=None, lines=2, returned=1, cents=None),
+        Row(supplier=5, Year=1, Quarter=1, lines=1, returned=1, cents=50),
+    ]))
+    assert rows(by["brand"].select("brand", *columns)) == sorted(map(repr, [
+        Row(brand="x", Year=2000, Quarter=4, lines=1, returned=1, cents=150), Row(brand="y", Year=2000, Quarter=4, lines=1, returned=0, cents=None),
+        Row(brand="x", Year=None, Quarter=None, lines=2, returned=1, cents=None), Row(brand="x", Year=1, Quarter=1, lines=1, returned=1, cents=50),
+    ]))
