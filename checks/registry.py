@@ -137,7 +137,8 @@ def _summed_up(model: FactModel, names: Sequence[str]) -> DataFrame:
 def _stored_tables(spark: SparkSession, folder: str) -> DataFrame:
     """Load all nine, find them by name and sum up what was stored."""
     root = _scratch(spark, folder, "stored_tables")
-    load_tables(_grained(spark, folder).all_tables(), root=root)
+    model = _grained(spark, folder)
+    load_tables(model.all_tables(), root=root, as_they_lie=model.placed)
     stored = FactModel.from_parquet(spark, root)
     prefix = "stored_tables_"
     listed = register_views(stored.all_tables(), prefix)
@@ -160,14 +161,16 @@ def _catalog_tables(spark: SparkSession, folder: str) -> DataFrame:
     session = spark.sparkContext.applicationId.replace("-", "_")
     database = f"paylens_{session}_{hashlib.sha256(folder.encode()).hexdigest()[:12]}"
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
-    load_tables(_grained(spark, folder).all_tables(), database=database)
+    model = _grained(spark, folder)
+    load_tables(model.all_tables(), database=database, as_they_lie=model.placed)
     return _summed_up(FactModel.of(lambda name: tables.scan_table(spark, name, f"{database}.{name}")), list(schemas.TABLES))
 
 
 def _loaded(report: Callable[..., DataFrame], spark: SparkSession, folder: str) -> DataFrame:
     """What a load of all nine has counted while it wrote them."""
     root = _scratch(spark, folder, f"loaded_{report.__name__}")
-    load_tables(_grained(spark, folder).all_tables(), root=root)
+    model = _grained(spark, folder)
+    load_tables(model.all_tables(), root=root, as_they_lie=model.placed)
     return report(spark, {name: f"{root}/{name}" for name in schemas.TABLES})
 
 

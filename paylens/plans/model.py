@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Collection, Mapping
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -20,11 +20,12 @@ class FactModel:
     """Tables by name, each optionally narrowed to a span of years and a quarter.
 
     The narrowing goes to the loader, which can turn it into partition pruning or
-    a date range on its scan.
+    a date range on its scan. ``placed`` names tables whose rows the loader reads
+    from files by year and quarter, and does not move.
     """
 
-    def __init__(self, loader: Loader):
-        self._loader = loader
+    def __init__(self, loader: Loader, placed: Collection[str] = ()):
+        self._loader, self.placed = loader, frozenset(placed)
         self._cached: dict[str, DataFrame] = {}
 
     def table(

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Collection, Mapping
 from concurrent.futures import ThreadPoolExecutor
 from typing import Any
 
@@ -30,17 +30,19 @@ def _missing(df: DataFrame) -> list[Column]:
     return [F.count(F.lit(1)).alias("rows"), *(F.count_if(null_or_nan(df, c)).alias(f"null:{c}") for c in df.columns)]
 
 
-def _filled(df: DataFrame, more: Mapping[str, Any] | None) -> Callable[[str], dict[str, Any]]:
+def _filled(df: DataFrame, more: Mapping[str, Any] | None, as_it_lies: bool = False) -> Callable[[str], dict[str, Any]]:
     """Write a frame to a folder, partitioned by year and quarter, and tell what was written.
 
     The rebalance hint lets Spark merge small partitions and split a quarter that
-    holds much of the data, so files come out at a sane size either way. Rows
-    and nulls are counted by the tasks that write.
+    holds much of the data, so files come out at a sane size either way. Rows that
+    lie by year and quarter already are not moved again. Rows and nulls are counted
+    by the tasks that write.
     """
 
     def write(folder: str) -> dict[str, Any]:
         seen = Observation()
-        counted = df.hint("rebalance", *schemas.PERIOD).observe(seen, *_missing(df))
+        placed = df if as_it_lies else df.hint("rebalance", *schemas.PERIOD)
+        counted = placed.observe(seen, *_missing(df))
         counted.write.partitionBy(*schemas.PERIOD).parquet(folder)
         told = seen.get
         nulls = {c: told[f"null:{c}"] for c in df.columns}
@@ -50,26 +52,27 @@ def _filled(df: DataFrame, more: Mapping[str, Any] | None) -> Callable[[str], di
 
 
 def write_table(
-    df: DataFrame, path: str | None = None, table: str | None = None, told: Mapping[str, Any] | None = None
+    df: DataFrame, path: str | None = None, table: str | None = None, told: Mapping[str, Any] | None = None, as_it_lies: bool = False
 ) -> None:
     """Replace a Parquet folder or a catalog table, partitioned by year and quarter.
 
     The old version stays in use until the new one is complete. In the catalog, a
     table is a view of its current version, in a folder of its database. ``told`` is
-    kept with the version.
+    kept with the version. ``as_it_lies`` is for rows read from files by year and
+    quarter: they are written by the tasks that read them.
     """
     if (path is None) == (table is None):
         raise ValueError("give either a path or a table name")
     spark = df.sparkSession
     if path is not None:
-        Versions(spark, path).replace(_filled(df, told))
+        Versions(spark, path).replace(_filled(df, told, as_it_lies))
         return
     database, _, name = table.rpartition(".")
     home = spark.catalog.getDatabase(database or spark.catalog.currentDatabase()).locationUri
     if spark.catalog.tableExists(table) and spark.catalog.getTable(table).tableType != "VIEW":
         # A table from before there were versions.
         spark.sql(f"DROP TABLE {_quoted(table)}")
-    folder = Versions(spark, f"{home.rstrip('/')}/{name}.versions").replace(_filled(df, told))
+    folder = Versions(spark, f"{home.rstrip('/')}/{name}.versions").replace(_filled(df, told, as_it_lies))
     columns = ", ".join(f"`{c}`" for c in df.columns)
     spark.sql(f"CREATE OR REPLACE VIEW {_quoted(table)} AS SELECT {columns} FROM parquet.`{folder}`")
 
@@ -134,9 +137,12 @@ def load_tables(
     database: str | None = None,
     at_once: int = 4,
     report: bool = False,
+    as_they_lie: Collection[str] = (),
 ) -> dict[str, str | None]:
     """Create or replace every table.
 
+    ``as_they_lie`` names tables that are read from files by year and quarter.
+
     A table that fails does not keep the others from loading; then all errors are
     raised together, or returned by table if ``report`` is set (None: loaded). The writes do not
     depend on each other, so a few jobs are submitted together: one table's last
@@ -146,9 +152,9 @@ def load_tables(
     def load(name: str) -> str | None:
         try:
             if root is not None:
-                write_table(tables[name], path=f"{root.rstrip('/')}/{name}")
+                write_table(tables[name], path=f"{root.rstrip('/')}/{name}", as_it_lies=name in as_they_lie)
             else:
-                write_table(tables[name], table=f"{database}.{name}" if database else name)
+                write_table(tables[name], table=f"{database}.{name}" if database else name, as_it_lies=name in as_they_lie)
         except Exception as error:
             return f"{type(error).__name__}: {error}"
         return None

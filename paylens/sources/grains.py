@@ -212,12 +212,27 @@ class StarGrains:
     def _summed(self, rows: DataFrame, dimensions: frozenset[str], family: str) -> DataFrame:
         return rows.groupBy(*sorted(dimensions), *schemas.PERIOD).agg(*(F.sum(m).alias(m) for m in MEASURES[family]))
 
+    def _holds(self, grain: Grain, dimensions: frozenset[str]) -> bool:
+        """Whether the rows of a grain are those by the dimensions, and are not summed again."""
+        return grain.dimensions == dimensions or (self._single[grain] and "customer" in dimensions)
+
+    def placed(self) -> list[str]:
+        """Tables whose rows are read from a stored grain by year and quarter, and not moved."""
+        found = []
+        for name, wanted in WANTED.items():
+            dimensions = frozenset({"nation", *wanted.columns})
+            # The shares of agg_user take a window.
+            if name != "agg_user" and any(g.family == wanted.family for g in self._rows):
+                if self._holds(smallest(self._rows, wanted.family, dimensions), dimensions):
+                    found.append(name)
+        return found
+
     def table(self, name: str, years: tuple[int, int] | None = None, quarter: int | None = None) -> DataFrame:
         wanted = WANTED[name]
         dimensions = frozenset({"nation", *wanted.columns})
         grain = smallest(self._rows, wanted.family, dimensions)
         rows = slice_period(self._read(grain), years, quarter)
-        if grain.dimensions != dimensions and not (self._single[grain] and "customer" in dimensions):
+        if not self._holds(grain, dimensions):
             rows = self._summed(rows, dimensions, wanted.family)
         rows = rows.where(wanted.only)
         for dimension, column in wanted.columns.items():
@@ -234,4 +249,4 @@ def grained_model(spark: SparkSession, folder: str, root: str, families: Collect
     """The nine tables, or those of some families, over stored grains, which are brought up to date first."""
     grains = StarGrains(spark, folder, root)
     grains.store(families)
-    return FactModel(grains.table)
+    return FactModel(grains.table, grains.placed())

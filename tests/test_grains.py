@@ -8,6 +8,8 @@ from pyspark.sql import Row
 
 from paylens import schemas
 from paylens.plans.cases import run_case
+from paylens.plans.model import FactModel
+from paylens.sinks import load_tables
 from paylens.sinks.versions import Versions
 from paylens.sources.grains import GRAINS, WANTED, Grain, StarGrains, grained_model, smallest
 from paylens.sources.inputs import fingerprint
@@ -170,3 +172,16 @@ def test_lines_without_date_flag_or_price_and_before_the_common_era(spark, tmp_p
         Row(brand="x", Year=2000, Quarter=4, lines=1, returned=1, cents=150), Row(brand="y", Year=2000, Quarter=4, lines=1, returned=0, cents=None),
         Row(brand="x", Year=None, Quarter=None, lines=2, returned=1, cents=None), Row(brand="x", Year=1, Quarter=1, lines=1, returned=1, cents=50),
     ]))
+
+
+def test_rows_of_a_grain_are_loaded_as_they_lie(spark, star, tmp_path):
+    model = grained_model(spark, star, str(tmp_path / "grains"))
+    assert {"top_trans", "top_ins", "top_user"} <= model.placed and "agg_user" not in model.placed and "agg_ins" not in model.placed
+    for name in model.placed:
+        assert "hashpartitioning" not in str(model.table(name)._jdf.queryExecution().executedPlan()), name
+    load_tables(model.all_tables(), root=str(tmp_path / "loaded"), as_they_lie=model.placed)
+    stored, plain = FactModel.from_parquet(spark, str(tmp_path / "loaded")), star_model(spark, star)
+    for name in schemas.TABLES:
+        assert rows(stored.table(name)) == rows(plain.table(name)), name
+    moved, lies = ("".join(str(df._jdf.queryExecution().executedPlan())) for df in (model.table("top_ins").hint("rebalance", *schemas.PERIOD), model.table("top_ins")))
+    assert "hashpartitioning" in moved and "hashpartitioning" not in lies
